@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from draftlake.llm.common import stored, utf8
+from draftlake.llm.common import stored
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,35 +64,8 @@ class LineIndex:
         return first
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_lines, n_dropped, kept = [], [], []
-        for text, dropped in zip(batch.column(1), batch.column(2), strict=True):
-            lines, gone = text.as_py().split(b"\n"), {h % (1 << 64) for h in dropped.as_py() or ()}
-            left = lines
-            if gone:
-                left = [x for x in lines if xxhash.xxh64_intdigest(x.strip().lower(), SEED) not in gone]
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(left))
-            kept.append(b"\n".join(left))
-        texts = pa.array(kept, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), texts], names=["doc_id", "n_lines", "n_dropped", "kept"])
-
-
-def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row of ``docs`` without the lines that a document of smaller id has: id, n_lines, n_dropped, kept (text).
-
-    A line counts by its key (stripped of ASCII white space, A-Z lower-cased) if that has at least
-    ``min_chars`` code points; repeats within the first document stay. Null and empty texts are one
-    empty line. Rows of one id are one document. Rows with a null id keep all lines and own none.
-    ``batches`` splits the ids into ranges of about equal rows, in ascending order.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    key = line_key(F.col("line"))
-    lines = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.where(F.char_length(key) >= min_chars).select("doc_id", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")).distinct()
-    lines = stored(lines, "lines")
+def _drops(lines: DataFrame, batches: int, fanout: int) -> DataFrame:
+    """(doc_id, gone): hashes of the lines that each document loses."""
     marks = [i / batches for i in range(1, batches)]
     cuts = (lines.agg(F.percentile_approx("doc_id", marks, 10000)).first()[0] or []) if marks else []
     index = LineIndex(fanout)
@@ -99,7 +73,53 @@ def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout:
         part = lines if low is None else lines.where(F.col("doc_id") > low)
         index.add(part if high is None else part.where(F.col("doc_id") <= high))
     drops = lines.join(index.owners(), ["h1", "h2"]).where("owner < doc_id")
-    drops = drops.groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
-    joined = rows.join(drops, "doc_id", "left").select("doc_id", utf8(F.col("text")).alias("text"), "gone")
-    out = joined.mapInArrow(_kept, f"doc_id {kind}, n_lines long, n_dropped long, kept string")
-    return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+    return drops.groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
+
+
+def _rewrite(kind: T.StructType, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_lines, n_dropped, kept = [], [], []
+            at = batch.schema.get_field_index(text_col)
+            for text, dropped in zip(batch.column(at), batch.column(len(kind.fields)), strict=True):
+                lines = left = (text.as_py() or "").encode().split(b"\n")
+                gone = {h % (1 << 64) for h in dropped.as_py() or ()}
+                if gone:
+                    left = [x for x in lines if xxhash.xxh64_intdigest(x.strip().lower(), SEED) not in gone]
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(left))
+                kept.append(b"\n".join(left).decode())
+            columns = [*batch.columns[: len(kind.fields)], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            columns[at] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=[*kind.names, "n_lines__", "n_dropped__"])
+
+    return run
+
+
+def rewritten(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the kept text in ``text_col``, and ``n_lines__`` and ``n_dropped__``.
+
+    A line counts by its key (stripped of ASCII white space, A-Z lower-cased) if that has at least
+    ``min_chars`` code points; a document loses it if one of smaller id has it, and repeats within the
+    first document stay. Null and empty texts are one empty line. Rows of one id are one document.
+    Rows with a null id keep all lines and own none. ``batches`` splits the ids into ranges of about
+    equal lines, in ascending order.
+    """
+    key = line_key(F.col("line"))
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
+    lines = lines.where(F.char_length(key) >= min_chars).select("doc_id", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")).distinct()
+    drops = _drops(stored(lines, "lines"), batches, fanout).withColumnsRenamed({"doc_id": "id__", "gone": "gone__"})
+    both = docs.join(drops, F.col(id_col) == F.col("id__"), "left").drop("id__")
+    kind = T.StructType([*docs.schema.fields, T.StructField("n_lines__", T.LongType()), T.StructField("n_dropped__", T.LongType())])
+    return both.mapInArrow(_rewrite(docs.schema, text_col), kind)
+
+
+def with_kept_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with their own columns and the kept text; options and rules as for ``rewritten``."""
+    return rewritten(docs, **options).select(*docs.columns)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, n_lines (before), n_dropped, kept (text) of each row; options and rules as for ``rewritten``."""
+    out = rewritten(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    return out.select(id_col, F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.col(text_col).alias("kept"))

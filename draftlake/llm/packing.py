@@ -17,6 +17,7 @@ number of queues and the number of pieces.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from draftlake.llm.common import stored
 
 LENGTH, END, MIN_QUANTUM = 4096, 2, 64
-MEMO, MEMO_CHARS = 400_000, 48  # words that a Python worker remembers, and their greatest length
+MEMO, MEMO_CHARS = 1_200_000, 32  # words that a Python worker remembers, and their greatest length
 
 
 @cache
@@ -47,8 +48,21 @@ def _tokenizer(path: str):
 
 
 @cache
-def _memo(path: str) -> dict[str, bytes]:
-    return {}
+def _memo(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Ids of words, and of parts of ASCII words."""
+    return {}, {}
+
+
+#: The tokenizer's own split of lower-cased text, for ASCII.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+@cache
+def _splits_ascii(path: str) -> bool:
+    """Does this tokenizer lower-case, split and merge ASCII words as ``_PARTS`` and its bare model do?"""
+    tokenizer, probe = _tokenizer(path), "It's 20x Don't...WE'LL (ab)c-d"
+    parts = [t.id for w in probe.split() for p in _PARTS.findall(w.lower()) for t in tokenizer.model.tokenize(p)]
+    return parts == tokenizer.encode(probe, add_special_tokens=False).ids
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -58,13 +72,24 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     white space, of which a worker remembers the frequent short ones. Control characters 1C-1F are
     white space to Python but not to the tokenizer; such texts are encoded whole.
     """
-    tokenizer, memo = _tokenizer(path), _memo(path)
+    tokenizer, (memo, parts), ascii_parts = _tokenizer(path), _memo(path), _splits_ascii(path)
     if len(memo) > MEMO:
         memo.clear()
+        parts.clear()
     plain = [not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
     words = [t.split() if p else [t] for t, p in zip(texts, plain, strict=True)]
     known: dict[str, bytes] = {}
-    new = list({w for ws in words for w in ws if w not in memo})
+    new = []
+    for w in {w for ws in words for w in ws if w not in memo}:
+        if not (ascii_parts and w.isascii() and w.isprintable() and len(w) <= MEMO_CHARS and "<|" not in w):
+            new.append(w)
+            continue
+        ids = []
+        for p in _PARTS.findall(w.lower()):
+            if (known_part := parts.get(p)) is None:
+                known_part = parts[p] = b"".join([t.id.to_bytes(4, "little") for t in tokenizer.model.tokenize(p)])
+            ids.append(known_part)
+        memo[w] = b"".join(ids)
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
         for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -193,7 +218,7 @@ def pack(
     parts = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "part-totals")
     total = parts.agg(F.sum("n")).first()[0] or 0
     # at most length / MIN_QUANTUM sources can have such a share
-    heavy = parts.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * length >= F.lit(total) * MIN_QUANTUM).orderBy("source").collect()
+    heavy = parts.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * length >= F.lit(total * MIN_QUANTUM).cast("long")).orderBy("source").collect()
     if targets:
         heavy = [r for r in heavy if targets.get(r.source, 0) > 0]
     totals = {q: r.n for q, r in enumerate(heavy)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,44 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from draftlake.llm.wfst import decode_ids, digest, encode_texts
+
+    return digest(decode_ids(encode_texts(table(spark, sf_dir, "documents"))))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from draftlake.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from draftlake.llm.quality import resample
+
+    scored = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), "accepted")
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from draftlake.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), 10, 100)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from draftlake.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from draftlake.llm.toxicity import grade_toxicity
+
+    graded = grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return graded.select("doc_id", F.round("expected_severity", 6).alias("expected_severity"), "is_toxic")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from draftlake.llm.simhash import near_duplicates
 
@@ -53,12 +93,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op1_shard": op1_shard, "op2_pack": op2_pack, "op3_line_dedup": op3_line_dedup, "op10_simhash": op10_simhash}
+OP5_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_shard, op2_pack, op3_line_dedup, op4_sentencepiece, op5_topk, op6_quality, op7_ann, op8_langid, op9_toxicity, op10_simhash)}
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    """All queries; ``pipeline`` is corpus_pipeline.py at the repository top."""
+    return QUERIES | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    whole = importlib.import_module("corpus_pipeline").ORACLE_SQL
+    return {"op3_line_dedup": OP3_SQL, "op5_topk": OP5_SQL} | ({"pipeline": whole} if whole else {})
