@@ -29,6 +29,7 @@ class Tokens:
     doc: np.ndarray  # place of the text, ascending
     hash: np.ndarray
     kind: np.ndarray
+    heads: list[np.ndarray]  # hashes of the first bytes of longer tokens, else 0, for each length asked for
     shape: np.ndarray  # of letters: 0 lower, 1 first upper, 2 all upper, 3 else, +4 if equal to the token before; of signs and digits: 8 up
 
 
@@ -48,17 +49,15 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         yield i, t
 
 
-def _hash(chunks: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+def _hash(chunks: list[tuple[int, bytes]], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"\n".join(c for _, c in chunks) + b"\n", np.uint8)
     kind = _KIND[data]
     new = kind != SPACE
     new[1:] &= kind[1:] != kind[:-1]
     starts = np.flatnonzero(new)
     if not len(starts):
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8))
-    at = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else None
-    if at is None:
-        at = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(data)]])))
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), *(np.zeros(0, np.uint64) for _ in prefixes))
+    at = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(data)]])))
     value = (_LOWER[data] + np.uint64(1)) * _POWERS[at & 4095]
     value[kind == SPACE] = 0
     hashes = mix(np.add.reduceat(value, starts))
@@ -68,24 +67,26 @@ def _hash(chunks: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
     case = np.where(ups == 0, 0, np.where((ups == length) & (length > 1), 2, np.where((ups == 1) & upper[starts], 1, 3)))
     ends = np.cumsum([len(c) + 1 for _, c in chunks])
     doc = np.array([i for i, _ in chunks], np.int64)[np.searchsorted(ends, starts, "right")]
-    return doc, hashes, kind[starts], case.astype(np.uint8)
+    # 0: the token is no longer than the prefix
+    heads = [np.where(length > n, mix(np.add.reduceat(np.where(at < n, value, 0), starts) + np.uint64(n)), 0) for n in prefixes]
+    return doc, hashes, kind[starts], case.astype(np.uint8), *heads
 
 
-def tokens(texts: list[bytes]) -> Tokens:
+def tokens(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> Tokens:
     out, part, size = [], [], 0
     for i, c in _chunks(texts):
         part.append((i, c))
         size += len(c)
         if size >= CHUNK:
-            out.append(_hash(part))
+            out.append(_hash(part, prefixes))
             part, size = [], 0
     if part or not out:
-        out.append(_hash(part or [(0, b"")]))
-    doc, hashes, kind, case = (np.concatenate(x) for x in zip(*out, strict=True))
+        out.append(_hash(part or [(0, b"")], prefixes))
+    doc, hashes, kind, case, *heads = (np.concatenate(x) for x in zip(*out, strict=True))
     again = np.zeros(len(doc), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     shape = np.where(kind == LETTER, case + 4 * again, np.where(kind == DIGIT, 8, 9 + (hashes & np.uint64(1023)).astype(np.int64)))
-    return Tokens(doc, hashes, kind, shape)
+    return Tokens(doc, hashes, kind, heads, shape)
 
 
 def ngrams(doc: np.ndarray, units: np.ndarray, n: int, tag: int) -> tuple[np.ndarray, np.ndarray]:

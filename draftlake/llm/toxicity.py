@@ -2,7 +2,7 @@
 
 P(grade > j) = sigmoid(w.x - theta_j) for ordered thresholds theta_1 < theta_2 < ..., which share the
 weights w; the expected severity is the sum of these probabilities. x holds log(1 + count) of the
-words most associated with the label, by their 64-bit hashes.
+words and word stems most associated with the label, by their 64-bit hashes.
 
 Labels only tell toxic from not, so the grades of toxic texts are learnt as well: grade 0 is not toxic, and toxic texts
 get grades 1 to ``GRADES`` by how many of their words are strongly associated with the label, cut at
@@ -24,15 +24,22 @@ from draftlake.llm.quality import labelled_sample
 from draftlake.llm.text_features import LETTER, slices, tokens
 
 FIT_ROWS = 20_000  # labelled rows, at most, that the model is fitted on
-WORDS = 512  # words in the model
+WORDS = 512  # words and stems in the model
+STEMS = (4, 5)  # bytes
 GRADES = 3
 SEVERE = 0.5  # expected severity from which a text counts as toxic
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    t = tokens(texts)
+    """(text, hash) of each word and of the first bytes of longer words (stems), by text."""
+    t = tokens(texts, STEMS)
     words = t.kind == LETTER
-    return t.doc[words], t.hash[words].view(np.int64)
+    docs, hashes = [t.doc[words]], [t.hash[words]]
+    for head in t.heads:
+        long = words & (head != 0)
+        docs.append(t.doc[long])
+        hashes.append(head[long])
+    return np.concatenate(docs), np.concatenate(hashes).view(np.int64)
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = W
     found = texts.mapInArrow(_presence, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     expected = F.col("n") * F.lit(toxic / n)
     gain = (F.col("toxic") - expected) * F.abs(F.col("toxic") - expected) / expected
-    # a word that few texts have says nothing: at least 5 texts, and as many as 2 % of the toxic ones
-    best = found.where((F.col("n") < n) & (F.col("n") >= max(5, 0.02 * toxic))).withColumn("gain", gain).orderBy(F.abs("gain").desc(), "word").limit(words).collect()
+    # a word that few texts have says nothing: at least 4 texts, and as many as 2 % of the toxic ones
+    best = found.where((F.col("n") < n) & (F.col("n") >= max(4, 0.02 * toxic))).withColumn("gain", gain).orderBy(F.abs("gain").desc(), "word").limit(words).collect()
     # strongly associated: nine of ten texts with the word are toxic, and they are at least 1 % of the toxic texts
     strong = {r.word for r in best if r.toxic >= 0.9 * r.n and r.toxic >= 0.01 * toxic}
     known = np.array(sorted(r.word for r in best), np.int64)
