@@ -37,8 +37,10 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once for each context."""
+    """Give this package to the Python workers, once for each context; batches sent to them stay small, as texts may be long."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     if not getattr(context, "_draftlake_shipped", False):
         package = Path(__file__).resolve().parents[1]
         folder = tempfile.mkdtemp(prefix="draftlake-package-")  # the driver serves the archive from here

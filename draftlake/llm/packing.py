@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from draftlake.llm.common import stored
 
 LENGTH, END, MIN_QUANTUM = 4096, 2, 64
-MEMO, MEMO_CHARS = 1_200_000, 32  # words that a Python worker remembers, and their greatest length
+MEMO, MEMO_CHARS = 600_000, 32  # words that a Python worker remembers, and their greatest length
 
 
 @cache

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from draftlake.llm.text_features import slices
 
 BLANK = "▁"
-MEMO, MEMO_CHARS = 800_000, 40
+MEMO, MEMO_CHARS = 600_000, 40
 _WORDS = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 
 
