@@ -17,6 +17,7 @@ from draftlake.operators import reconcile as R
 from draftlake.operators.groups import collapse_state, collapse_value
 from draftlake.operators.joins import null_safe
 from draftlake.operators.quality import row_kind
+from draftlake.session import settled
 
 REQUIRED = ("league", "year", "split", "playoffs", "date", "game", "patch")
 METADATA_INVALID, LINEUP_INCOMPLETE, DEPENDENCY_INVALID = "GAME_METADATA_INVALID", "GAME_LINEUP_INCOMPLETE", "GAME_DEPENDENCY_INVALID"
@@ -171,26 +172,29 @@ def entity_records(resolved: DataFrame, prefix: str, id_col: str, names: DataFra
 
 def targets(core: DataFrame, teams: DataFrame, players: DataFrame, champions: DataFrame, team_refs: DataFrame, player_refs: DataFrame) -> dict[str, DataFrame]:
     """The nine candidate tables, ``dispositions``, ``series_codes`` and ``issues`` of a typed feed and its resolved identities."""
-    meta = match_metadata(core)
+    # every table below derives from these few, so each is computed once
+    core, teams, players, champions = settled(core), settled(teams), settled(players), settled(champions)
+    meta = settled(match_metadata(core))
     kinds = core.withColumn("kind", row_kind())
     side_teams = teams.select("gameid", "side", F.col("team_id").alias("source_team"))
-    team_records = entity_records(teams, "team_", "team_id", core.select(F.col("teamid").alias("source_id"), F.col("teamname").alias("name")).where("source_id IS NOT NULL"), team_refs)
-    player_records = entity_records(players, "player_", "player_id", core.select(F.col("playerid").alias("source_id"), F.col("playername").alias("name")).where("source_id IS NOT NULL"), player_refs)
+    team_records = settled(entity_records(teams, "team_", "team_id", core.select(F.col("teamid").alias("source_id"), F.col("teamname").alias("name")).where("source_id IS NOT NULL"), team_refs))
+    player_records = settled(entity_records(players, "player_", "player_id", core.select(F.col("playerid").alias("source_id"), F.col("playername").alias("name")).where("source_id IS NOT NULL"), player_refs))
     good_teams = team_records.where("reason IS NULL").select(F.col("source_id").alias("source_team"), F.col("target_id").alias("team_id"))
     good_players = player_records.where("reason IS NULL").select(F.col("source_id").alias("source_player"), F.col("target_id").alias("player_id"))
-    sides = side_teams.join(good_teams, "source_team", "left").select("gameid", "side", "team_id")
+    sides = settled(side_teams.join(good_teams, "source_team", "left").select("gameid", "side", "team_id"))
     team_rows = kinds.where("kind = 'team'").select("gameid", "side", "result").join(sides, ["gameid", "side"], "left")
     lineup = kinds.where("kind = 'player'").select("gameid", "side", "participantid", "position", "champion")
     resolved = players.select("gameid", F.col("participantid").cast("long").alias("participantid"), F.col("player_id").alias("source_player"))
     lineup = null_safe(lineup, resolved, ["gameid", "participantid"]).join(good_players, "source_player", "left").join(sides, ["gameid", "side"], "left")
-    lineup = lineup.join(champions.where("status = 'MAPPED'").select("champion", "champion_id"), "champion", "left")
-    own = dependency_codes(team_rows)
-    judged = dispositions(meta, lineup_codes(lineup), own)
+    lineup = settled(lineup.join(champions.where("status = 'MAPPED'").select("champion", "champion_id"), "champion", "left"))
+    own = settled(dependency_codes(team_rows))
+    judged = settled(dispositions(meta, lineup_codes(lineup), own))
     games = contexts(meta.join(judged.where("reason IS NULL").select("gameid"), "gameid", "left_semi")).join(own.select("gameid", "blue", "red", "winner"), "gameid")
+    games = settled(games)
     pairs = games.select("gameid", F.array_join(F.sort_array(F.array("blue", "red")), "|").alias("team_pair"))
-    in_series = series_evidence(games, pairs)
+    in_series = settled(series_evidence(games, pairs))
     belongs = in_series.where(F.size("codes") == 0).select("gameid", S.stable_id("series_", F.col("series_key")).alias("series_id"), "best_of")
-    games = games.join(belongs, "gameid", "left")
+    games = settled(games.join(belongs, "gameid", "left"))
     side = F.create_map(*(F.lit(x) for kv in C.TARGET_SIDES.items() for x in kv))
     role = F.create_map(*(F.lit(x) for kv in C.TARGET_ROLES.items() for x in kv))
     ids = games.select("gameid")
