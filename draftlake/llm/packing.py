@@ -204,9 +204,9 @@ def pack(
 ) -> DataFrame:
     """Pieces of all ``docs`` in sequences of ``length`` tokens, each in the target proportions of sources.
 
-    ``targets`` maps sources to weights; the default is each source's share of all tokens, with which
-    all queues run dry together. Sources without a weight, and sources with under MIN_QUANTUM tokens a
-    window, share one queue. Only the last sequence of all can be short. Null texts are empty (one
+    ``targets`` maps sources to positive weights; the sources without one share a queue. The default is
+    each source's share of all tokens, with which all queues run dry together; sources with under
+    MIN_QUANTUM tokens a window then share a queue. Only the last sequence of all can be short. Null texts are empty (one
     token, ``end``); a null source is the source "". Rows with null or repeated ids are documents like
     any other. An empty table gives no pieces.
     Columns: id, start, length, ids (binary, little-endian 32 bits), doc_tokens, sequence_id, offset, source_queue.
@@ -217,10 +217,14 @@ def pack(
     tokens = stored(tokenised(docs, tokenizer, end, id_col, text_col, source_col), "tokens")
     parts = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "part-totals")
     total = parts.agg(F.sum("n")).first()[0] or 0
-    # at most length / MIN_QUANTUM sources can have such a share
-    heavy = parts.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * length >= F.lit(total * MIN_QUANTUM).cast("long")).orderBy("source").collect()
+    sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
     if targets:
-        heavy = [r for r in heavy if targets.get(r.source, 0) > 0]
+        if min(targets.values()) * length < sum(targets.values()):
+            raise ValueError("a target share is under one token a window")
+        own = sources.where(F.col("source").isin(*targets))
+    else:  # at most length / MIN_QUANTUM sources can have such a share
+        own = sources.where(F.col("n") * length >= F.lit(total * MIN_QUANTUM).cast("long"))
+    heavy = own.orderBy("source").collect()
     totals = {q: r.n for q, r in enumerate(heavy)}
     if (rest := total - sum(totals.values())) > 0:
         if targets is None and 0 < rest * length < total and heavy:  # under a token a window: with the last queue
