@@ -27,7 +27,7 @@ FIT_ROWS = 20_000  # labelled rows, at most, that the model is fitted on
 WORDS = 512  # words and stems in the model
 STEMS = (4, 5)  # bytes
 GRADES = 3
-SEVERE = 0.5  # expected severity from which a text counts as toxic
+SEVERE = 0.5  # expected severity from which a text counts as toxic, where the labelled rows set no other
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +71,10 @@ def vectors(texts: list[bytes], words: np.ndarray) -> Iterator[tuple[int, int, n
 
 
 class Ordinal:
-    """A fitted model: sorted word hashes, their weights, ordered thresholds."""
+    """A fitted model: sorted word hashes, their weights, ordered thresholds; the severity from which a text is toxic."""
 
-    def __init__(self, words: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
-        self.words, self.weights, self.thresholds = words, weights, thresholds
+    def __init__(self, words: np.ndarray, weights: np.ndarray, thresholds: np.ndarray, severe: float = SEVERE):
+        self.words, self.weights, self.thresholds, self.severe = words, weights, thresholds, severe
 
     def severity(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -87,7 +87,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the mean log loss. Thresholds are a first one and positive gaps."""
     n, d = x.shape
     free = np.zeros(d + grades)  # weights, first threshold, log gaps
@@ -145,7 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = W
     marks = np.quantile(hits[y == 1], [g / grades for g in range(1, grades)])
     grade = np.where(y == 1, 1 + (hits[:, None] > marks).sum(1), 0)
     weights, thresholds = fit_ordinal(x, grade, grades)
-    return Ordinal(known, weights, thresholds)
+    # midway between the clean and the toxic rows where they are apart
+    fitted = sigmoid((x @ weights)[:, None] - thresholds).sum(1)
+    clean, bad = np.quantile(fitted[y == 0], 0.999), np.quantile(fitted[y == 1], 0.005)
+    return Ordinal(known, weights, thresholds, float(clean + bad) / 2 if clean < bad else SEVERE)
 
 
 SEVERITY = "expected_severity"
@@ -170,10 +173,11 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_
     kinds nothing is toxic.
     """
     keep = docs.drop(SEVERITY, "is_toxic")
-    return severities(keep, fit(docs, labels, rows, id_col=id_col, text_col=text_col), text_col).withColumn("is_toxic", F.col(SEVERITY) >= SEVERE)
+    model = fit(docs, labels, rows, id_col=id_col, text_col=text_col)
+    return severities(keep, model, text_col).withColumn("is_toxic", F.col(SEVERITY) >= model.severe)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not toxic, with their own columns."""
-    graded = severities(docs, fit(docs, labels, rows, id_col=id_col, text_col=text_col), text_col, SEVERITY + "__")
-    return graded.where(F.col(SEVERITY + "__") < SEVERE).select(*docs.columns)
+    model = fit(docs, labels, rows, id_col=id_col, text_col=text_col)
+    return severities(docs, model, text_col, SEVERITY + "__").where(F.col(SEVERITY + "__") < model.severe).select(*docs.columns)

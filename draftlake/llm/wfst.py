@@ -10,11 +10,12 @@ A path is a segmentation. Its weight is the sum of its arcs' (all 0) and of its
 neighbouring pieces weigh 0 if merging their joint characters by score yields just these two pieces,
 else infinity. For merge-based models this local condition is exact: merging yields a sequence of pieces if and only if it yields
 each neighbouring pair on its own, since up to the first merge across a boundary both run alike. So
-each prefix of the input has one last piece with a finite path, the shortest path is found in one
-forward sweep with one state a position, and its ids are those of the merge algorithm.
+each prefix of the input has one last piece with a finite path, a search of the shortest path has one
+state a position, and its ids are those of the merge algorithm.
 
-No piece holds U+2581 after another character, nor a line feed, so the composed machine passes through one state at each such
-place: inputs are composed word by word, and a worker remembers the paths of frequent short words.
+No piece holds U+2581 after another character, nor a line feed, nor a full stop or the like after a
+letter (all this is checked when a model is compiled), so the composed machine passes through one
+state at each such place: inputs are composed word by word, and a worker remembers the paths of short words.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from draftlake.llm.text_features import slices
 
 BLANK = "▁"
-MEMO, MEMO_CHARS = 600_000, 40
-_WORDS = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
+MEMO, MEMO_CHARS = 800_000, 40
+LETTER = r"[^\W\d_]"
+BREAKS = ".,;:!?|"  # signs at which a run of letters is cut, those of them that no piece joins to a letter before
 
 
 class Transducer:
@@ -50,12 +52,20 @@ class Transducer:
         self.unknown = model.unk_id()
         self.piece = {names[i]: i for i in range(self.size) if not special[i] and not model.is_byte(i)}
         self.score = {i: model.get_score(i) for i in self.piece.values()}
-        # the longest piece that ends in given two characters
-        self.reach: dict[str, int] = {}
+        # the pieces' machine: states by character, and under "" the piece that ends in a state
+        self.root: dict = {}
         for p in self.piece:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
+            state = self.root
+            for c in p:
+                state = state.setdefault(c, {})
+            state[""] = p
         # the words split at blanks and line feeds only if the pieces allow it
         self.splits = not any("\n" in p or BLANK in p.lstrip(BLANK) or (p.startswith(BLANK * 2) and p.strip(BLANK)) for p in self.piece)
+        joined = {b for p in self.piece for a, b in re.findall(f"(?=({LETTER})([^\\w\\s]))", p)}
+        breaks = re.escape("".join(c for c in BREAKS if c not in joined))
+        ends = f"[{BLANK}\n{breaks}]"
+        cut = f"{BLANK}*{LETTER}+(?={ends}|\\Z)|[{breaks}][^{BLANK}\n]*|" if breaks else ""
+        self.words = re.compile(f"{cut}\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+").findall
         self.normalises = model.normalize("a  ½ﬁ\n") == f"{BLANK}a{BLANK}{BLANK}½ﬁ\n"
         if not self.normalises:
             raise ValueError("only models whose normaliser is the identity with a blank in front can be compiled")
@@ -96,32 +106,57 @@ class Transducer:
             known = self.alone[piece] = self.merged(piece) == [piece]
         return known
 
+    def arcs(self, word: str, at: int) -> list[str]:
+        """Arcs that leave a position, by length; a character that is no piece is an arc as well."""
+        found, state, end = [], self.root, len(word)
+        i = at
+        while i < end:
+            state = state.get(word[i])
+            if state is None:
+                break
+            i += 1
+            if "" in state:
+                found.append(state[""])
+        if not found or len(found[0]) > 1:
+            found.insert(0, word[at])
+        return found
+
     def path(self, word: str) -> list[int]:
-        """Ids on the shortest path of a normalised word."""
-        n, piece, reach, pairs = len(word), self.piece, self.reach, self.pairs
-        last: list[str] = [""] * (n + 1)  # the last piece of the finite path to each position
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - reach.get(word[max(0, end - 2) : end], 1)), end):
-                arc = word[begin:end]
-                if arc in piece or begin == end - 1:
-                    ok = pairs.get((last[begin], arc)) if begin else self.starts(arc)
-                    if ok or (ok is None and self.joins(last[begin], arc)):
-                        last[end] = arc
-                        break
+        """Ids on the shortest path of a normalised word.
+
+        Depth first, the longest arc first. All finite paths weigh 0, so the first whole one is
+        shortest; and as each position has one last piece, one that can't be left is dead for good.
+        """
+        n, pairs, dead = len(word), self.pairs, set()
+        at, last, taken, open_ = 0, "", [], [self.arcs(word, 0)]
+        while at < n:
+            todo = open_[-1]
+            while todo:
+                arc = todo.pop()
+                if at + len(arc) in dead:
+                    continue
+                ok = pairs.get((last, arc)) if at else self.starts(arc)
+                if ok or (ok is None and self.joins(last, arc)):
+                    taken.append(arc)
+                    at, last = at + len(arc), arc
+                    if at < n:
+                        open_.append(self.arcs(word, at))
+                    break
             else:
-                raise AssertionError("no finite path")
+                dead.add(at)
+                open_.pop()
+                at -= len(taken.pop())
+                last = taken[-1] if taken else ""
         out: list[int] = []
-        while n:
-            arc = last[n]
-            n -= len(arc)
-            found = piece.get(arc)
+        for arc in taken:
+            found = self.piece.get(arc)
             if found is not None:
                 out.append(found)
             elif self.byte:
-                out.extend(self.byte[b] for b in reversed(arc.encode()))
+                out.extend(self.byte[b] for b in arc.encode())
             else:
                 out.append(self.unknown)
-        return out[::-1]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
@@ -129,15 +164,17 @@ class Transducer:
             return b""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        normal, memo, out = BLANK + text.replace(" ", BLANK), self.memo, []
-        for word in _WORDS.findall(normal) if self.splits else [normal]:
-            ids = memo.get(word)
-            if ids is None:
-                ids = np.array(self.path(word), "<u4").tobytes()
-                if len(word) <= MEMO_CHARS:
-                    memo[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        normal, memo = BLANK + text.replace(" ", BLANK), self.memo
+        words = self.words(normal) if self.splits else [normal]
+        try:
+            return b"".join([memo[w] for w in words])
+        except KeyError:
+            pass
+        rare = {}
+        for w in words:
+            if w not in memo and w not in rare:
+                (memo if len(w) <= MEMO_CHARS else rare)[w] = np.array(self.path(w), "<u4").tobytes()
+        return b"".join([memo[w] if w in memo else rare[w] for w in words])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, by the inverse machine: surfaces and bytes joined, the blank in front dropped."""
