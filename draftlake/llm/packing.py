@@ -47,12 +47,6 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@cache
-def _memo(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
-    """Ids of words, and of parts of ASCII words."""
-    return {}, {}
-
-
 #: The tokenizer's own split of lower-cased text, for ASCII.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -65,6 +59,32 @@ def _splits_ascii(path: str) -> bool:
     return parts == tokenizer.encode(probe, add_special_tokens=False).ids
 
 
+class Words(dict):
+    """Ids of words, each found when it is first asked for; long words are not remembered."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.ascii_parts, self.parts = _tokenizer(path), _splits_ascii(path), {}
+
+    def __missing__(self, word: str) -> bytes:
+        short = len(word) <= MEMO_CHARS
+        if short and self.ascii_parts and word.isascii() and word.isprintable() and "<|" not in word:
+            ids = b"".join([self.parts.get(p) or self.part(p) for p in _PARTS.findall(word.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if short:
+            self[word] = ids
+        return ids
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(part)])
+        return ids
+
+
+@cache
+def _words(path: str) -> Words:
+    return Words(path)
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, little-endian 32 bits, without special tokens.
 
@@ -72,31 +92,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     white space, of which a worker remembers the frequent short ones. Control characters 1C-1F are
     white space to Python but not to the tokenizer; such texts are encoded whole.
     """
-    tokenizer, (memo, parts), ascii_parts = _tokenizer(path), _memo(path), _splits_ascii(path)
-    if len(memo) > MEMO:
-        memo.clear()
-        parts.clear()
-    plain = [not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-    words = [t.split() if p else [t] for t, p in zip(texts, plain, strict=True)]
-    known: dict[str, bytes] = {}
-    new = []
-    for w in {w for ws in words for w in ws if w not in memo}:
-        if not (ascii_parts and w.isascii() and w.isprintable() and len(w) <= MEMO_CHARS and "<|" not in w):
-            new.append(w)
-            continue
-        ids = []
-        for p in _PARTS.findall(w.lower()):
-            if (known_part := parts.get(p)) is None:
-                known_part = parts[p] = b"".join([t.id.to_bytes(4, "little") for t in tokenizer.model.tokenize(p)])
-            ids.append(known_part)
-        memo[w] = b"".join(ids)
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            (memo if len(w) <= MEMO_CHARS else known)[w] = np.array(e.ids, "<u4").tobytes()
-    if not known:
-        return [b"".join([memo[w] for w in ws]) for ws in words]
-    return [b"".join([memo[w] if w in memo else known[w] for w in ws]) for ws in words]
+    words = _words(path)
+    if len(words) > MEMO:
+        words.clear()
+        words.parts.clear()
+    return [b"".join(map(words.__getitem__, [t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())) for t in texts]
 
 
 def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
