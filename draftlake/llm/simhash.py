@@ -30,6 +30,7 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0b101011100011  # of the Golay code of length 23
 BUCKET = 16
+BITS = 2  # what the three segments and the radius of the code are made for
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -97,14 +98,14 @@ def _golay_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[owners])], names=["key", "fp"])
 
 
-def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp): their components are those of all links."""
+def links(prints: DataFrame) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp): their components are those of all links of at most two bits."""
     keys = stored(prints.mapInArrow(_golay_rows, "key long, fp long"), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(keys.join(sizes, "key"), "golay-shared")
     few = shared.where(F.col("n") <= BUCKET).select("key", "fp")
     pairs = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key")
-    pairs = pairs.where("u < v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
+    pairs = pairs.where("u < v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v")
     many = shared.where(F.col("n") > BUCKET).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
     middles = many.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("middle"))
@@ -123,7 +124,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
     rows = stored(rows.mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "fingerprints")
-    # 2 bits is what the three segments and the radius of the code are made for
     owners = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     found = stored(components(links(owners.select("fp"))), "components")
     heads = owners.join(found, owners.fp == found.node).groupBy("root").agg(F.min("first").alias("head"))
