@@ -2,13 +2,14 @@
 
 Groups (rows of equal text) are ordered by the MD5 of their text and never split. The smallest
 capacity for which a greedy sweep needs at most ``n_shards`` shards is found by binary search,
-and the groups are cut within it.
+and the groups are cut within it. A group larger than the capacity has a shard of its own, so that
+a hot group does not raise the capacity of the others; the greatest shard is the least possible.
 
 Any cuts within that capacity will do, and a sweep that fills each shard leaves the last one short;
-so each cut is made at its even share of the whole where the greedy check shows that the rest still
-fits, and greedily elsewhere.
+so each cut is made at its even share of what is left where the greedy check shows that the rest still
+fits, and greedily elsewhere. Shards that are left over then halve the largest ones of several groups.
 
-The sweep needs one question only: *the largest group end not beyond x*. Group ends (running sums of
+The sweep needs two questions only: *the largest group end not beyond x* and *the next after x*. Group ends (running sums of
 bytes) are summarised in cells of equal width, a bounded number of rows; where a cell leaves an
 answer open, only such cells are summarised again, more finely, until the capacity and all cuts are
 exact. The driver therefore sees a bounded summary, never the groups.
@@ -43,6 +44,17 @@ class _Ends:
         least, greatest = self.cells[i][:2]
         return (greatest, greatest, None) if greatest <= x else (least, x, i)
 
+    def next(self, x: int) -> tuple[int, int, int | None]:
+        """Bounds of the least end > x (the last end, if there is none), and the cell that leaves it open."""
+        i = bisect_right(self.least, x) - 1
+        if i >= 0 and x < self.cells[i][1]:
+            return x + 1, self.cells[i][1], i
+        return (self.least[i + 1],) * 2 + (None,) if i + 1 < len(self.cells) else (self.cells[-1][1],) * 2 + (None,)
+
+    def filled(self, at: int, capacity: int, side: int) -> int:
+        """The end of a shard that starts at ``at``: as full as the capacity allows, or one larger group."""
+        return max(self.last(at + capacity)[side], self.next(at)[side])
+
     def refined(self, gone: set[int], cells: list[tuple[int, int, int, int]]) -> _Ends:
         return _Ends([c for i, c in enumerate(self.cells) if i not in gone] + cells)
 
@@ -51,7 +63,7 @@ def _sweep(ends: _Ends, capacity: int, n: int, side: int) -> list[int]:
     """Ends of at most n shards; side 0 takes the lower bound of each open answer, 1 the upper."""
     out, at = [], 0
     for _ in range(n):
-        at = ends.last(at + capacity)[side]
+        at = ends.filled(at, capacity, side)
         out.append(at)
     return out
 
@@ -68,37 +80,52 @@ def _open_cells(ends: _Ends, low: int, high: int, n: int) -> set[int]:
     found: set[int] = set()
     near = far = 0
     for _ in range(n):
-        a, b = bisect_right(ends.least, near + low) - 1, bisect_right(ends.least, far + high) - 1
-        found.update(i for i in range(max(a, 0), b + 1) if ends.cells[i][0] != ends.cells[i][1])
-        near, far = ends.last(near + low)[0], ends.last(far + high)[1]
+        for x, y in ((near, far), (near + low, far + high)):
+            a, b = bisect_right(ends.least, x) - 1, bisect_right(ends.least, y) - 1
+            found.update(i for i in range(max(a, 0), b + 1) if ends.cells[i][0] != ends.cells[i][1])
+        near, far = ends.filled(near, low, 0), ends.filled(far, high, 1)
     return found
 
 
 def _even_cuts(ends: _Ends, capacity: int, total: int, n: int) -> tuple[list[int], set[int]]:
-    """Ends of n shards within the capacity, each cut at its even share if the rest still fits, else greedily.
+    """Ends of n shards within the capacity, each cut at its even share of what is left if the rest still fits, else greedily.
 
     Also the cells that must be known more finely before these ends are exact.
     """
     asked: set[int] = set()
 
-    def last(x: int) -> int:
-        low, _, cell = ends.last(x)
-        if cell is not None:
-            asked.add(cell)
-        return low
+    def exact(answer: tuple[int, int, int | None]) -> int:
+        if answer[2] is not None:
+            asked.add(answer[2])
+        return answer[0]
+
+    def filled(at: int, size: int) -> int:
+        return max(exact(ends.last(at + size)), exact(ends.next(at)))
 
     out, at = [], 0
     for i in range(1, n + 1):
-        end = rest = last(min(total * i // n, at + capacity))
+        if at >= total:
+            break
+        end = rest = filled(at, min((total - at) // (n - i + 1), capacity))
         for _ in range(n - i):
-            rest = last(rest + capacity)
-        at = end if end > at and rest >= total else last(at + capacity)
+            rest = filled(rest, capacity)
+        at = end if rest >= total else filled(at, capacity)
         out.append(at)
-    return out, asked
-
-
-def minimax_cuts(ends: DataFrame, total: int, largest: int, n_shards: int) -> tuple[int, list[int]]:
-    """The least capacity and the shards' ends, for a table of group ends (column ``end``)."""
+    whole: set[int] = set()  # ends of shards of one group
+    while len(out) < n and len(whole) < len(out):
+        start, end = max(((a, b) for a, b in zip([0, *out], out) if b not in whole), key=lambda x: x[1] - x[0])
+        half = filled(start, (end - start) // 2)
+        if half < end:
+            out = sorted([*out, half])
+        elif (first := exact(ends.next(start))) < end:
+            out = sorted([*out, first])
+        else:
+            whole.add(end)
+    return out + [total] * (n - len(out)), asked
+
+
+def minimax_cuts(ends: DataFrame, total: int, n_shards: int) -> tuple[int, list[int]]:
+    """The least capacity (of shards of several groups) and the shards' ends, for a table of group ends (column ``end``)."""
 
     def summary(df: DataFrame, width: int) -> list[tuple[int, int, int, int]]:
         rows = df.groupBy(F.expr(f"(end - 1) div {width}").alias("cell")).agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()
@@ -106,8 +133,7 @@ def minimax_cuts(ends: DataFrame, total: int, largest: int, n_shards: int) -> tu
 
     known = _Ends(summary(ends, max(1, -(-total // CELLS))))
     while True:
-        least = max(largest, -(-total // n_shards))
-        low = _least_capacity(known, total, n_shards, 1, least, total)
+        low = _least_capacity(known, total, n_shards, 1, 1, total)
         high = _least_capacity(known, total, n_shards, 0, low, total)
         todo = _open_cells(known, low, high, n_shards)
         if low == high:
@@ -162,9 +188,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
         "g", "salt", "n", "is_end", (F.col("end_in") + F.col("b0")).alias("end"), (F.col("rows_in") + F.col("r0")).alias("rows")
     )
     ends = parts.where("is_end").select("end", "rows")
-    groups = rows.groupBy("g").agg(F.sum("size").alias("s"))
-    total, largest = groups.agg(F.sum("s"), F.max("s")).first()
-    cuts = minimax_cuts(ends, total, largest, n_shards)[1][:-1] if total else []
+    total = rows.agg(F.sum("size")).first()[0]
+    cuts = minimax_cuts(ends, total, n_shards)[1][:-1] if total else []
     starts = {r.end: r.rows for r in ends.where(F.col("end").isin(cuts)).collect()} if cuts else {}
     shard = sum((F.when(F.col("end") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     first = F.element_at(F.array(F.lit(0).cast("long"), *(F.lit(starts[c]).cast("long") for c in cuts)), F.col("shard") + 1)
