@@ -54,6 +54,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_held(rows: DataFrame, names: DataFrame, key: str, part: int = 1000) -> DataFrame:
+    """``rows`` with what ``names`` (``key`` unique, ``held``: the rows that hold it) says of their key.
+
+    Fewer than ``part`` keys can each be held by over a ``part``-th of all rows: only those are broadcast,
+    so that no task of the join gets the rows of a hot key. Both tables are read twice and should be stored ones.
+    """
+    total = names.agg(F.sum("held")).first()[0] or 0
+    hot = names.where(F.col("held") * part > total).drop("held")
+    rest = names.where(F.col("held") * part <= total).drop("held")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column) -> F.Column:
     """A text column as its bytes, null as none."""
     return F.coalesce(column.cast("binary"), F.lit(b""))

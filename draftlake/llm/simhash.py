@@ -10,12 +10,14 @@ fingerprint are (segment number, the segment, a codeword index of the next): joi
 Fingerprints are made distinct first. A key with more than ``BUCKET`` fingerprints is not paired up:
 its fingerprints are keyed by themselves and their 64 one-bit neighbours instead, where all that
 share a key are linked with each other, so that a star replaces the pairs. No link is lost.
+
+``near_duplicates`` is the operator at a radius of two bits; ``near_copies.first_of_each`` is the same
+operator at a wide radius, five words and a similarity of 0.8, which takes more segments and soft decoding.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import stored, utf8
+from draftlake.llm.common import join_held, stored, utf8
 from draftlake.llm.components import components
+from draftlake.llm.golay import golay_index
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
-GENERATOR = 0b101011100011  # of the Golay code of length 23
 BUCKET = 16
 BITS = 2  # what the three segments and the radius of the code are made for
 
@@ -56,23 +58,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
 
-@cache
-def golay_index() -> np.ndarray:
-    """For each word of 23 bits the index of the codeword within three bits of it."""
-    shifts = np.arange(4096, dtype=np.int32)
-    code = np.zeros(4096, np.int32)
-    for bit in range(12):
-        code ^= np.where(shifts >> bit & 1, GENERATOR << bit, 0).astype(np.int32)
-    one = 1 << np.arange(23, dtype=np.int32)
-    two = (one[:, None] | one)[np.triu_indices(23, 1)]
-    three = np.unique((two[:, None] | one).ravel())
-    three = three[np.bitwise_count(three.astype(np.uint32)) == 3]
-    table = np.empty(1 << 23, np.int16)
-    for error in np.concatenate([[0], one, two, three]):
-        table[code ^ error] = shifts
-    return table
-
-
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of unsigned fingerprints and, for each, the place of its fingerprint."""
     table, keys, owners = golay_index(), [], []
@@ -124,11 +109,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
     rows = stored(rows.mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "fingerprints")
-    owners = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    owners = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held")), "distinct-fingerprints")
     found = stored(components(links(owners.select("fp"))), "components")
     heads = owners.join(found, owners.fp == found.node).groupBy("root").agg(F.min("first").alias("head"))
     named = found.join(heads, "root").select(F.col("node").alias("fp"), "head")
-    named = owners.join(named, "fp", "left").select("fp", F.coalesce("head", "first").alias("component_id"))
-    return rows.join(named, "fp").select(
+    named = stored(owners.join(named, "fp", "left").select("fp", F.coalesce("head", "first").alias("component_id"), "held"), "named-fingerprints")
+    return join_held(rows, named, "fp").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
