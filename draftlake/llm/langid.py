@@ -15,6 +15,8 @@ by text alone.
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,16 +29,22 @@ from draftlake.llm.common import stored, utf8
 from draftlake.llm.text_features import mix, slices
 
 BITS = 15
-LANGUAGES = 64  # at most; rarer ones of the labelled documents are left out
 EVIDENCE = 60.0
 SMOOTH = 20.0
-TAG = r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>"
+# comments, scripts, styles and tags; one that is never closed runs to the end, so that no part of a page is read twice
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*+>|\Z)|<[a-z/!?][^>]*+(?:>|\Z)", re.DOTALL | re.IGNORECASE | re.ASCII)
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
 
 
+def text_of(page: str) -> bytes:
+    """The text of an HTML page outside of its markup, with character references decoded, in one pass over the page."""
+    text = MARKUP.sub(" ", page)
+    return (html.unescape(text) if "&" in text else text).encode("utf-8", "replace")
+
+
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of the byte trigrams within texts, A-Z lower-cased."""
     data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
@@ -49,9 +57,8 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probabilities of their trigrams, from all labelled documents."""
-    names = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    names = sorted(r.lang for r in names.collect())
+    """All languages, and the log probabilities of their trigrams, from all labelled documents: 128 KB a language."""
+    names = sorted(r.lang for r in docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang")).distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, place = np.zeros((len(names), 1 << BITS), np.int64), {n: i for i, n in enumerate(names)}
@@ -66,20 +73,20 @@ def text_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     counts = np.full((max(1, len(names)), 1 << BITS), 0.5)
     rows = docs.select(utf8(F.col(text_col)), F.col(lang_col)).mapInArrow(run, "lang long, bucket long, n long")
-    for r in rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # LANGUAGES x 2**BITS at most
+    for r in rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # languages x 2**BITS at most
         counts[r.lang, r.bucket] += r.n
-    return names, np.log(counts / counts.sum(1, keepdims=True))
+    return names, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
 def text_scores(pages: DataFrame, models: np.ndarray) -> DataFrame:
-    """(.., text) rows with ``ll``: the text's log likelihood by language, and without the text."""
-    others = [c for c in pages.columns if c != "text"]
+    """(.., html) rows with ``ll``: the log likelihood of the page's text by language, and without the page."""
+    others = [c for c in pages.columns if c != "html"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column(batch.schema.get_field_index("text")).to_pylist(), []
-            for a, b in slices([len(x) for x in texts], 1 << 20):
-                doc, bucket = trigrams(texts[a:b])
+            whole, out = batch.column(batch.schema.get_field_index("html")).to_pylist(), []
+            for a, b in slices([len(x) for x in whole], 1 << 20):
+                doc, bucket = trigrams([text_of(x) for x in whole[a:b]])
                 n = np.bincount(doc, minlength=b - a)
                 sums = np.stack([np.bincount(doc, weights=m[bucket], minlength=b - a) for m in models], axis=1)
                 out += (sums * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]).tolist()
@@ -110,19 +117,21 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     """Each row of ``pages`` with its language: id, host, declared, by_text, language, confidence (posterior).
 
     Null or empty pages have no text evidence, null addresses no host (the prior of all pages). Rows
-    with null or repeated ids are pages like any other. Ties go to the first language by name.
-    Without labelled documents the language is null.
+    with null or repeated ids, and repeated rows, are pages like any other. Markup that is never closed
+    runs to the end of its page; the work is linear in a page's length. Ties go to the first language by
+    name. Without labelled documents the language is null. Other columns are left out, so none can clash.
     """
     names, models = text_models(docs)
     n = len(names)
     host = F.lower(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), TAG, " ")
+    path = F.split(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1), "/")
+    head = F.regexp_extract(html_col, r"(?is)<html\b([^>]*+)", 1)  # of the first such tag
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         F.when(host != "", host).alias("host"),
-        F.nullif(F.lower(F.regexp_extract(html_col, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit("")).alias("declared"),
-        F.nullif(F.lower(F.regexp_extract(url_col, r"^[^?#]*?://[^/?#]+(?:/[^/?#]+)*?/([A-Za-z]{2})(?:[/?#]|$)", 1)), F.lit("")).alias("tag"),
-        utf8(text).alias("text"),
+        F.nullif(F.lower(F.regexp_extract(head, r"(?i)\blang\s*+=\s*+[\"']?([a-z]{2,3})", 1)), F.lit("")).alias("declared"),
+        F.lower(F.get(F.filter(path, lambda x: x.rlike("^[A-Za-z]{2}$")), F.lit(0))).alias("tag"),
+        F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
     if not n:
         return rows.select(F.col("page_id").alias(id_col), "host", "declared", *(F.lit(None).cast(k).alias(c) for c, k in (("by_text", "string"), ("language", "string"), ("confidence", "double"))))
@@ -131,7 +140,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     rows = rows.withColumn("domain", F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host")))
     rows = stored(rows.withColumn("suffix", F.element_at(labels, -1)), "page-evidence")
 
-    # at most LANGUAGES rows each: all pages, by language
+    # a row for each language: all pages, by language
     whole = {r.by_text: r.n for r in rows.groupBy("by_text").agg(F.count(F.lit(1)).alias("n")).collect()}
     base = F.array(*(F.lit((whole.get(i, 0) + 1.0) / (sum(whole.values()) + n)) for i in range(n)))
     size = F.array(*(F.lit(float(whole.get(i, 0))) for i in range(n)))
