@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from draftlake.llm.common import stored, utf8
 from draftlake.llm.quality import labelled_sample
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = W
                 yield pa.RecordBatch.from_arrays([pa.array(label[a:b], pa.int32()), pa.array(ats, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["label", "at", "count"])
 
     data = texts.mapInArrow(run, "label int, at array<long>, count array<long>").collect()  # ``rows`` sparse vectors at most
-    x, y, hits = np.zeros((len(data), len(known)), np.float32), np.zeros(len(data), int), np.zeros(len(data))
+    x, y, hits = np.zeros((len(data), len(known))), np.zeros(len(data), int), np.zeros(len(data))
     is_strong = np.array([w in strong for w in known.tolist()])
     for i, r in enumerate(data):
         at, count = np.array(r["at"], int), np.array(r["count"], float)
@@ -154,15 +154,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = W
 SEVERITY = "expected_severity"
 
 
-def severities(docs: DataFrame, model: Ordinal, text_col: str = "text", name: str = SEVERITY) -> DataFrame:
-    """All rows and columns of ``docs`` with the expected severity (null and empty texts: that of no words)."""
+def severities(text: Column, model: Ordinal) -> Column:
+    """Expected severity of a text column (null and empty texts: that of no words); only the texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.severity(texts))], names=[*batch.schema.names, name])
+    @F.pandas_udf("double")
+    def severity(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.severity([x or b"" for x in texts]))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return severity(utf8(text))
 
 
 def grade_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,10 +173,10 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_
     """
     keep = docs.drop(SEVERITY, "is_toxic")
     model = fit(docs, labels, rows, id_col=id_col, text_col=text_col)
-    return severities(keep, model, text_col).withColumn("is_toxic", F.col(SEVERITY) >= model.severe)
+    return keep.withColumn(SEVERITY, severities(F.col(text_col), model)).withColumn("is_toxic", F.col(SEVERITY) >= model.severe)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with their own columns."""
+    """The rows of ``docs`` that are not toxic, with their own columns, whatever these are called."""
     model = fit(docs, labels, rows, id_col=id_col, text_col=text_col)
-    return severities(docs, model, text_col, SEVERITY + "__").where(F.col(SEVERITY + "__") < model.severe).select(*docs.columns)
+    return docs.where(severities(F.col(text_col), model) < model.severe)
