@@ -7,9 +7,13 @@ to the weights. N-grams are of words (1, 2) and of word shapes (1 to 3: case, re
 before, digits, signs).
 
 k is not given but learnt: a cut on the log weight per n-gram is set on the labelled sample, above
-its rejected and below its good texts, and k is the number of documents whose weight is above it. With hundreds
+its rejected and below its good texts. It acts as a prior odds of the raw model: the weight that is drawn by is the sum
+of log p_target - log p_raw - cut, and k is the number of documents whose weight is positive. With hundreds
 of n-grams a text the weights differ by far more than the noise, so that the draw keeps nearly
 exactly these.
+
+Two passes over the texts: one counts the models, one weighs; what it found is stored, and the cut, k and
+the k-th key are taken from there.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from draftlake.llm.common import stored, utf8
+from draftlake.llm.common import free_name, stored, utf8
 from draftlake.llm.text_features import ngrams, slices, tokens
 
 BITS = 16
@@ -55,8 +59,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Log ratio of each bucket, and the cut on the log weight per n-gram."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Log ratio of each bucket."""
     sample = labelled_sample(labels, "quality", rows)
     marked = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text")).join(F.broadcast(sample), "doc_id", "left")
     marked = marked.select("text", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
@@ -65,42 +69,50 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     for r in counts.collect():  # 2**BITS rows at most
         raw[r.bucket] += r.raw
         target[r.bucket] += r.target
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > len(target) else np.zeros(1 << BITS)
-    seen = weighed(marked.where("label >= 0"), ratio, "text").groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), *(F.expr(f"percentile({MEAN}, {p})").alias(n) for n, p in (("low", 0.002), ("high", 0.995)))
-    )
+    return np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > len(target) else np.zeros(1 << BITS)
+
+
+def cut_of(scored: DataFrame, labels: DataFrame, rows: int, id_col: str, names: Names) -> float:
+    """The cut on the log weight per n-gram that parts the labelled sample; minus infinity without good texts."""
+    sample = labelled_sample(labels, "quality", rows)
+    mean = names.total / F.greatest(names.n, F.lit(1))
+    seen = scored.select(F.col(id_col).alias("doc_id"), mean.alias("mean")).join(F.broadcast(sample), "doc_id").groupBy("label")
+    seen = seen.agg(*(F.percentile("mean", p).alias(n) for n, p in (("low", 0.002), ("high", 0.995))))
     found = {r.label: r for r in seen.collect()}
     if 1 not in found:
-        return ratio, float("-inf")
+        return float("-inf")
     low = found[1].low
-    return ratio, low if 0 not in found else (min(low, found[0].high) + low) / 2 if found[0].high < low else low
+    return low if 0 not in found else (min(low, found[0].high) + low) / 2 if found[0].high < low else low
+
 
+class Names:
+    """Helper columns that clash with none of a table's: sum of the log ratios, and number of n-grams."""
 
-WEIGHT, MEAN = "log_weight__", "mean_log_weight__"
+    def __init__(self, docs: DataFrame):
+        self.scores = free_name(docs, "scores")
+        self.total, self.n = F.col(f"{self.scores}.total"), F.col(f"{self.scores}.n")
 
 
-def weighed(df: DataFrame, ratio: np.ndarray, text_col: str) -> DataFrame:
-    """All columns of ``df``, then the log weight of the text and its mean over the n-grams (0 without any)."""
-    names = [WEIGHT, MEAN]
+def weighed(text: Column, ratio: np.ndarray) -> Column:
+    """(total, n): the sum of the log ratios of a text's n-grams, and their number; only the texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.encode() if isinstance(x, str) else x or b"" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            total, n = np.zeros(len(texts)), np.zeros(len(texts))
-            for a, b in slices([len(x) for x in texts]):
-                doc, bucket = features(texts[a:b])
-                total[a:b] = np.bincount(doc, weights=ratio[bucket], minlength=b - a)
-                n[a:b] = np.bincount(doc, minlength=b - a)
-            columns = [*batch.columns, pa.array(total), pa.array(total / np.maximum(n, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+    @F.pandas_udf("total double, n long")
+    def weigh(texts: pd.Series) -> pd.DataFrame:
+        raw = [x or b"" for x in texts]
+        total, n = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
+        for a, b in slices([len(x) for x in raw]):
+            doc, bucket = features(raw[a:b])
+            total[a:b] = np.bincount(doc, weights=ratio[bucket], minlength=b - a)
+            n[a:b] = np.bincount(doc, minlength=b - a)
+        return pd.DataFrame({"total": total, "n": n})
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return weigh(utf8(text))
 
 
-def gumbel_key(id_col: str, seed: int = SEED):
-    """Log weight plus Gumbel noise that the id fixes."""
+def gumbel(id_col: str, seed: int = SEED) -> Column:
+    """Gumbel noise that the id fixes."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) + 0.5) / float(1 << 53)
-    return F.col(WEIGHT) - F.log(-F.log(u))
+    return -F.log(-F.log(u))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int, rows: int = 4096) -> float:
@@ -120,12 +132,19 @@ def kth_largest(keys: DataFrame, column: str, k: int, rows: int = 4096) -> float
     return low if low == high else sorted((r[0] for r in left.select(column).collect()), reverse=True)[k - 1]
 
 
-def _threshold(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str) -> tuple[np.ndarray, float]:
-    ratio, cut = fit(docs, labels, rows, id_col, text_col)
-    keys = weighed(docs.select(F.col(id_col), F.col(text_col)), ratio, text_col).select(gumbel_key(id_col).alias("key"), (F.col(MEAN) >= cut).alias("above"))
-    keys = stored(keys, "gumbel-keys")
-    k = keys.where("above").count()
-    return ratio, kth_largest(keys.select("key"), "key", k) if k else float("inf")
+def _drawn(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, Names, Column, Column]:
+    """The stored rows with their scores; their weight, and whether they are drawn."""
+    names = Names(docs)
+    ratio = fit(docs, labels, rows, id_col, text_col)
+    scored = stored(docs.withColumn(names.scores, weighed(F.col(text_col), ratio)), "quality-scores")
+    cut = cut_of(scored, labels, rows, id_col, names)
+    if cut == float("-inf"):
+        return scored, names, names.total, F.lit(True)
+    weight = names.total - cut * names.n
+    k = scored.where(weight >= 0).count()
+    key = weight + gumbel(id_col)
+    least = kth_largest(scored.select(key.alias("key")), "key", k) if k else float("inf")
+    return scored, names, weight, key >= least
 
 
 def resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,17 +152,15 @@ def resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: s
 
     Null and empty texts have log weight 0. Rows with null ids share one noise value; repeated rows
     are drawn together, as are ties with the k-th key. Without labelled good texts all is accepted.
-    Columns of these names are replaced.
+    Columns of these three names are replaced; others may have any name.
     """
-    ratio, least = _threshold(docs, labels, rows, id_col, text_col)
-    key = gumbel_key(id_col)
     keep = docs.drop("log_weight", "gumbel_key", "accepted")
-    return weighed(keep, ratio, text_col).select(
-        *keep.columns, F.col(WEIGHT).alias("log_weight"), key.alias("gumbel_key"), (key >= least).alias("accepted")
-    )
+    scored, names, weight, accepted = _drawn(keep, labels, rows, id_col, text_col)
+    out = [F.col(f"`{c}`") for c in keep.columns]
+    return scored.select(*out, weight.alias("log_weight"), (weight + gumbel(id_col)).alias("gumbel_key"), accepted.alias("accepted"))
 
 
 def select(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The drawn rows of ``docs`` with their own columns."""
-    ratio, least = _threshold(docs, labels, rows, id_col, text_col)
-    return weighed(docs, ratio, text_col).where(gumbel_key(id_col) >= least).select(*docs.columns)
+    """The drawn rows of ``docs`` with their own columns, whatever these are called."""
+    scored, names, _, accepted = _drawn(docs, labels, rows, id_col, text_col)
+    return scored.where(accepted).drop(names.scores)

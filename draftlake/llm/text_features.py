@@ -100,7 +100,7 @@ def ngrams(doc: np.ndarray, units: np.ndarray, n: int, tag: int) -> tuple[np.nda
     return doc[n - 1 :][inside], mix(x[inside] * BASE)
 
 
-def slices(sizes: list[int], most: int = 4 * CHUNK) -> Iterator[tuple[int, int]]:
+def slices(sizes: list[int], most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Bounds of slices with about so many bytes."""
     start = total = 0
     for i, n in enumerate(sizes):
