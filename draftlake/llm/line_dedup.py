@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftlake.llm.common import stored
+from draftlake.llm.common import free_name, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,6 +64,16 @@ class LineIndex:
         return first
 
 
+def _with_owners(lines: DataFrame, owners: DataFrame, part: int = 1000) -> DataFrame:
+    """Lines with their owners. Lines that over a ``part``-th of all rows hold (fewer than ``part`` of them) are joined by broadcast."""
+    keys = ["h1", "h2"]
+    most = lines.count() // part
+    common = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys)
+    common = F.broadcast(stored(owners.join(F.broadcast(common), keys), "common-lines"))
+    rare = lines.join(common.select(*keys), keys, "left_anti").join(owners, keys)
+    return lines.join(common, keys).unionByName(rare)
+
+
 def _drops(lines: DataFrame, batches: int, fanout: int) -> DataFrame:
     """(doc_id, gone): hashes of the lines that each document loses."""
     marks = [i / batches for i in range(1, batches)]
@@ -72,16 +82,16 @@ def _drops(lines: DataFrame, batches: int, fanout: int) -> DataFrame:
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = lines if low is None else lines.where(F.col("doc_id") > low)
         index.add(part if high is None else part.where(F.col("doc_id") <= high))
-    drops = lines.join(index.owners(), ["h1", "h2"]).where("owner < doc_id")
+    drops = _with_owners(lines, index.owners()).where("owner < doc_id")
     return drops.groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
 
 
-def _rewrite(kind: T.StructType, text_col: str):
+def _rewrite(names: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_dropped, kept = [], [], []
             at = batch.schema.get_field_index(text_col)
-            for text, dropped in zip(batch.column(at), batch.column(len(kind.fields)), strict=True):
+            for text, dropped in zip(batch.column(at), batch.column(len(names) - 2), strict=True):
                 lines = left = (text.as_py() or "").encode().split(b"\n")
                 gone = {h % (1 << 64) for h in dropped.as_py() or ()}
                 if gone:
@@ -89,37 +99,40 @@ def _rewrite(kind: T.StructType, text_col: str):
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
                 kept.append(b"\n".join(left).decode())
-            columns = [*batch.columns[: len(kind.fields)], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            columns = [*batch.columns[: len(names) - 2], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
             columns[at] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[*kind.names, "n_lines__", "n_dropped__"])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def rewritten(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept text in ``text_col``, and ``n_lines__`` and ``n_dropped__``.
+def rewritten(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """``docs`` with the kept text in ``text_col``, and two more columns: lines, and dropped lines; the names of these.
 
     A line counts by its key (stripped of ASCII white space, A-Z lower-cased) if that has at least
     ``min_chars`` code points; a document loses it if one of smaller id has it, and repeats within the
-    first document stay. Null and empty texts are one empty line. Rows of one id are one document.
-    Rows with a null id keep all lines and own none. ``batches`` splits the ids into ranges of about
-    equal lines, in ascending order.
+    first document stay. Null and empty texts are one empty line. Rows of one id are one document, so
+    repeated rows keep the same lines. Rows with a null id keep all lines and own none. Helper columns
+    get names that ``docs`` does not have. ``batches`` splits the ids into ranges of about equal lines,
+    in ascending order.
     """
     key = line_key(F.col("line"))
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
     lines = lines.where(F.char_length(key) >= min_chars).select("doc_id", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")).distinct()
-    drops = _drops(stored(lines, "lines"), batches, fanout).withColumnsRenamed({"doc_id": "id__", "gone": "gone__"})
-    both = docs.join(drops, F.col(id_col) == F.col("id__"), "left").drop("id__")
-    kind = T.StructType([*docs.schema.fields, T.StructField("n_lines__", T.LongType()), T.StructField("n_dropped__", T.LongType())])
-    return both.mapInArrow(_rewrite(docs.schema, text_col), kind)
+    owner, gone, n_lines, n_dropped = (free_name(docs, c) for c in ("lines_of", "lines_gone", "lines_before", "lines_dropped"))
+    drops = _drops(stored(lines, "lines"), batches, fanout).withColumnsRenamed({"doc_id": owner, "gone": gone})
+    both = docs.join(drops, F.col(id_col) == F.col(owner), "left").drop(owner)
+    kind = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
+    return both.mapInArrow(_rewrite(kind.names, text_col), kind), n_lines, n_dropped
 
 
 def with_kept_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with their own columns and the kept text; options and rules as for ``rewritten``."""
-    return rewritten(docs, **options).select(*docs.columns)
+    out, n_lines, n_dropped = rewritten(docs, **options)
+    return out.drop(n_lines, n_dropped)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, n_lines (before), n_dropped, kept (text) of each row; options and rules as for ``rewritten``."""
-    out = rewritten(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
-    return out.select(id_col, F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.col(text_col).alias("kept"))
+    out, n_lines, n_dropped = rewritten(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    return out.select(id_col, F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), F.col(text_col).alias("kept"))
