@@ -23,6 +23,7 @@ from draftlake.llm.common import stored
 SCALE = 256
 BLOCK = 8192  # vectors in a block
 QUERIES = 1024  # queries in a block
+RANGES = 256  # of lengths, at most
 HEAD = 16  # rotated coordinates in the partial product
 TILE = 512
 
@@ -108,23 +109,31 @@ def _search(rotation: np.ndarray, k: int):
     return run
 
 
-def blocked(vectors: DataFrame, order: F.Column, rows: int) -> DataFrame:
-    """``vectors`` with ``block``: ascending by ``order`` and about ``rows`` rows each, from quantiles of the order."""
+def blocked(vectors: DataFrame, order: F.Column, rows: int) -> tuple[DataFrame, list[int], list[int]]:
+    """``vectors`` with ``range`` and ``block`` of about ``rows`` rows; the first block and the number of blocks of each range.
+
+    Ranges are ascending by ``order``, from its quantiles; a range of several blocks is dealt out by id. As
+    there are at most ``RANGES`` ranges, what the plan holds of them does not grow with the table.
+    """
     n = vectors.count()
-    count = max(1, -(-n // rows))
-    if count == 1:
-        return vectors.withColumn("block", F.lit(0))
-    marks = vectors.agg(F.percentile_approx(order, [i / count for i in range(1, count)], 10 * count)).first()[0]
+    count = max(1, min(RANGES, -(-n // rows)))
+    marks = vectors.agg(F.percentile_approx(order, [i / count for i in range(1, count)], 10 * count)).first()[0] if count > 1 else []
     marks = sorted(set(marks))
-    # equal values share a range; a range that they make too large is dealt out by id
-    ranged = vectors.withColumn("range", F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < order)))
+    before = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < order)) if marks else F.lit(0)
+    ranged = vectors.withColumn("range", before)
     sizes = {r.range: r.n for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, parts = [], []
     for i in range(len(marks) + 1):
         first.append(sum(parts))
-        parts.append(max(1, -(-sizes.get(i, 0) // (2 * rows))))
+        parts.append(max(1, -(-sizes.get(i, 0) // rows)))
     at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("range") + 1)
-    return ranged.withColumn("block", (at(first) + F.pmod(F.xxhash64("vec_id"), at(parts))).cast("int")).drop("range")
+    return ranged.withColumn("block", (at(first) + F.pmod(F.xxhash64("vec_id"), at(parts))).cast("int")), first, parts
+
+
+def usual_length(vectors: DataFrame) -> int | None:
+    """The most common number of components (the greatest of ties); None without vectors."""
+    sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    return sizes and sizes.dim
 
 
 def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -132,42 +141,47 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
 
     Queries are the rows whose id is divisible by ``every``. Components x count as floor(256 x), which
     must stay below 2**27 in size. Ties go to the smaller id; fewer candidates give fewer rows. Vectors
-    that are null, empty, of another length than the longest, or hold null or non-finite components take no part, nor do
-    rows with a null id. A repeated id is one vector (the greatest by components).
+    that are null, empty, of another length than most, or hold null or non-finite components take no part, nor do
+    rows with a null id. Rows of a repeated id are each a candidate of the queries with other ids; as
+    queries they share one ranking. Other columns are left out, so none can clash.
     """
-    rows = table.where(F.col(id_col).isNotNull() & valid(F.col(vector_col))).groupBy(F.col(id_col).cast("long").alias("vec_id"))
-    rows = rows.agg(F.max(integers(F.col(vector_col))).alias("v"))
+    rows = table.where(F.col(id_col).isNotNull() & valid(F.col(vector_col)))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col)).alias("v"))
     rows = rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).where(F.size("v") > 0)
     rows = stored(rows, "integer-vectors")
-    dim = rows.agg(F.max(F.size("v"))).first()[0]
+    dim = usual_length(rows)
     if dim is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = rows.where(F.size("v") == dim)
     rotation = np.linalg.eigh(second_moments(rows, dim))[1][:, ::-1].copy()
-    rows = stored(blocked(rows, -F.col("norm2"), BLOCK), "norm-blocks")
-    longest = {r.block: r.m for r in rows.groupBy("block").agg(F.max("norm2").alias("m")).collect()}
-    marks = [longest.get(i, 0.0) for i in range(max(longest) + 1)]
+    rows, first_block, blocks = blocked(rows, -F.col("norm2"), BLOCK)
+    rows = stored(rows, "norm-blocks")
+    longest = {r.range: r.m for r in rows.groupBy("range").agg(F.max("norm2").alias("m")).collect()}
+    marks = [longest.get(i, 0.0) for i in range(len(blocks))]
     parts = max(1, -(-rows.count() // (every * QUERIES)))
     queries = rows.where(F.col("vec_id") % every == 0).select(
         F.col("vec_id").alias("query_id"), "v", "norm2", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part")
     )
     queries = stored(queries, "queries")
 
-    def search(sent: DataFrame) -> DataFrame:
-        """Queries (with block and floor) against the blocks that they are sent to, a task for each pair of blocks."""
-        pairs = sent.select("part", "block").distinct()
-        cells = rows.join(pairs, "block").select(F.col("part").alias("cell_part"), F.col("block").alias("cell_block"), "vec_id", "v")
-        both = cells.groupBy("cell_part", "cell_block").cogroup(sent.select("part", "block", "query_id", "v", "floor").groupBy("part", "block"))
+    def search(cells: DataFrame, sent: DataFrame) -> DataFrame:
+        """Queries (part, block, query_id, v, floor) against blocks of vectors (part, block, vec_id, v), a task for each pair."""
+        cells = cells.select(F.col("part").alias("cell_part"), F.col("block").alias("cell_block"), "vec_id", "v")
+        both = cells.groupBy("cell_part", "cell_block").cogroup(sent.groupBy("part", "block"))
         return both.applyInArrow(_search(rotation, k), "query_id long, vec_id long, score long")
 
     lowest = F.lit(-float(2**62))
-    first = stored(search(queries.withColumn("block", F.lit(0)).withColumn("floor", lowest)), "first-block")
+    longest_block = rows.where("block = 0").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", "vec_id", "v")
+    asked = queries.select("part", F.lit(0).alias("block"), "query_id", "v", lowest.alias("floor"))
+    first = stored(search(longest_block, asked), "first-block")
     floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score").cast("double")).otherwise(lowest).alias("floor"))
     open_ = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest))
-    reach = F.array(*(F.struct(F.lit(i).alias("block"), F.lit(m).alias("m")) for i, m in enumerate(marks) if i))
     found = first
-    if len(marks) > 1:
-        sent = open_.select("*", F.explode(F.filter(reach, lambda b: F.sqrt(b.m * F.col("norm2")) * (1 + 1e-9) >= F.col("floor"))).alias("b"))
-        found = first.union(search(sent.select("part", "query_id", "v", "floor", "b.block")))
+    if sum(blocks) > 1:
+        reach = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(a).alias("a"), F.lit(a + n - 1).alias("z")) for m, a, n in zip(marks, first_block, blocks, strict=True)))
+        sent = open_.select("*", F.explode(F.filter(reach, lambda r: F.sqrt(r.m * F.col("norm2")) * (1 + 1e-9) >= F.col("floor"))).alias("r"))
+        sent = sent.select("part", F.explode(F.sequence("r.a", "r.z")).alias("block"), "query_id", "v", "floor").where("block > 0")
+        pairs = sent.select("part", "block").distinct()
+        found = first.union(search(rows.join(pairs, "block").select("part", "block", "vec_id", "v"), sent))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
