@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.llm.common import stored
-from draftlake.llm.topk import matrix, valid
+from draftlake.llm.topk import matrix, usual_length, valid
 
 BLOCK, QUERIES = 16384, 1024
 PROJECTIONS = 96
@@ -98,13 +98,14 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
 
     Queries are the rows whose id is divisible by ``every``; all other rows are candidates. Nearest
     first, ties to the smaller id; fewer candidates give fewer rows. Vectors that are null, empty,
-    zero, of another length than the longest, or hold null or non-finite components take no part, nor
-    do rows with a null id. A repeated id is one vector (the greatest by components).
+    zero, of another length than most, or hold null or non-finite components take no part, nor
+    do rows with a null id. Rows of a repeated id are each a candidate of the queries with other ids; as
+    queries they share one ranking. Other columns are left out, so none can clash.
     """
-    rows = table.where(F.col(id_col).isNotNull() & valid(F.col(vector_col))).groupBy(F.col(id_col).cast("long").alias("vec_id"))
-    rows = rows.agg(F.max(F.transform(F.col(vector_col), lambda x: x.cast("double"))).alias("v")).where(F.exists("v", lambda x: x != 0))
-    rows = stored(rows, "vectors")
-    dim, n = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    rows = table.where(F.col(id_col).isNotNull() & valid(F.col(vector_col)))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
+    rows = stored(rows.where(F.exists("v", lambda x: x != 0)), "vectors")
+    dim, n = usual_length(rows), rows.count()
     if dim is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == dim)
