@@ -11,8 +11,11 @@ so that a window is always full, a deficit is always below one token, and any ta
 document's tokens go without a sequential pass: deficits are carried across windows and partitions by
 arithmetic. When a queue runs dry the rest go on in the same proportions (a new phase).
 
-Sources whose quantum is under ``MIN_QUANTUM`` tokens a window share one queue, which bounds both the
-number of queues and the number of pieces.
+A source whose quantum is under ``MIN_QUANTUM`` tokens a window would be cut into very short pieces. Such
+sources share one queue, and take turns in it by the same rule with a window ``MIN_QUANTUM`` times as long,
+where those that are still too small share one queue again, and so on (``levels``). So every source goes
+out in its proportions, the smaller in the longer turns, in pieces of about ``MIN_QUANTUM`` tokens or more, and the driver
+knows at most ``MIN_QUANTUM`` sources a level, with a level for each factor ``MIN_QUANTUM`` of the number of windows.
 """
 
 from __future__ import annotations
@@ -59,6 +62,14 @@ def _splits_ascii(path: str) -> bool:
     return parts == tokenizer.encode(probe, add_special_tokens=False).ids
 
 
+@cache
+def _drops_space(path: str) -> bool:
+    """Does this tokenizer encode a text as the words between its white space, one by one?"""
+    tokenizer, probes = _tokenizer(path), ("Hello big  world\n\nagain", " a\tb \r\n c", "It's  20x\n  (Don't)", "Ünï\u00a0cöde \u3000日本 x", "\x0b.\x0c, a ")
+    whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return all(whole(p) == [i for w in p.split() for i in whole(w)] for p in probes)
+
+
 class Words(dict):
     """Ids of words, each found when it is first asked for; long words are not remembered."""
 
@@ -88,10 +99,13 @@ def _words(path: str) -> Words:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, little-endian 32 bits, without special tokens.
 
-    The tokenizer drops white space and no token spans it, so that ids are those of the words between
+    If the tokenizer drops white space and no token spans it, ids are those of the words between
     white space, of which a worker remembers the frequent short ones. Control characters 1C-1F are
-    white space to Python but not to the tokenizer; such texts are encoded whole.
+    white space to Python but not to the tokenizer; such texts are encoded whole. With any other
+    tokenizer all texts are.
     """
+    if not _drops_space(path):
+        return [np.array(x.ids, "<u4").tobytes() for x in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
     words = _words(path)
     if len(words) > MEMO:
         words.clear()
@@ -174,29 +188,78 @@ def phases(totals: dict[int, int], shares: dict[int, Fraction]) -> list[Phase]:
     return out
 
 
-def cuts(plan: list[Phase], bounds: dict[int, list[int]], q: int, start: int, n: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """Where n tokens of queue q from ``start`` go: (tokens before, tokens, window, offset), in order."""
-    done = 0
-    while done < n:
-        k = bisect_right(bounds[q], start + done) - 1
-        phase = [p for p in plan if q in p.sends][k]
-        at = start + done - phase.starts[q]
-        window = (phase.base + at * phase.total // phase.sends[q]) // length
-        clip = lambda w: min(max(w * length - phase.base, 0), phase.total)  # noqa: B023, E731
-        while phase.sent(q, clip(window)) > at:
-            window -= 1
-        while phase.sent(q, clip(window + 1)) <= at:
-            window += 1
-        end = min(n - done, phase.sends[q] - at)
-        while end:
-            x0, x1 = clip(window), clip(window + 1)
-            first, last = phase.sent(q, x0), phase.sent(q, x1)
-            if last > at:
-                take = min(end, last - at)
-                offset = phase.base + x0 - window * length + phase.below(q, x1) - phase.below(q, x0) + at - first
-                yield done, take, window, offset
-                done, at, end = done + take, at + take, end - take
-            window += 1
+class Level:
+    """Queues that fill windows of ``length`` tokens; those of the sources too small for it share the queue ``rest``."""
+
+    def __init__(self, length: int, names: list[str], totals: dict[int, int], shares: dict[int, Fraction], rest: int | None):
+        self.length, self.names, self.rest = length, names, rest
+        self.plan = phases(totals, shares)
+        self.phases = {q: [p for p in self.plan if q in p.sends] for q in totals}
+        self.starts = {q: [p.starts[q] for p in own] for q, own in self.phases.items()}
+
+    def cuts(self, q: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """Where n tokens of queue q from ``start`` go: (tokens before, tokens, window, offset), in order."""
+        done, length = 0, self.length
+        while done < n:
+            phase = self.phases[q][bisect_right(self.starts[q], start + done) - 1]
+            at = start + done - phase.starts[q]
+            window = (phase.base + at * phase.total // phase.sends[q]) // length
+            clip = lambda w: min(max(w * length - phase.base, 0), phase.total)  # noqa: B023, E731
+            while phase.sent(q, clip(window)) > at:
+                window -= 1
+            while phase.sent(q, clip(window + 1)) <= at:
+                window += 1
+            end = min(n - done, phase.sends[q] - at)
+            while end:
+                x0, x1 = clip(window), clip(window + 1)
+                first, last = phase.sent(q, x0), phase.sent(q, x1)
+                if last > at:
+                    take = min(end, last - at)
+                    offset = phase.base + x0 - window * length + phase.below(q, x1) - phase.below(q, x0) + at - first
+                    yield done, take, window, offset
+                    done, at, end = done + take, at + take, end - take
+                window += 1
+
+
+def place(levels: list[Level], level: int, q: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """Where n tokens of a queue of some level go in the sequences: (tokens before, tokens, sequence, offset)."""
+    for done, take, window, offset in levels[level].cuts(q, start, n):
+        if not level:
+            yield done, take, window, offset
+        else:
+            above = levels[level - 1]
+            for before, part, *where in place(levels, level - 1, above.rest, window * levels[level].length + offset, take):
+                yield done + before, part, *where
+
+
+def levels_of(sources: DataFrame, total: int, length: int, targets: dict[str, float] | None) -> list[Level]:
+    """The levels of all sources (columns source, n): at most ``MIN_QUANTUM`` rows of each come to the driver, or the targets."""
+    out: list[Level] = []
+    while total:
+        if targets and not out:
+            own = F.col("source").isin(*targets)
+        else:
+            own = F.col("n").cast("decimal(38,0)") * length >= F.lit(total * MIN_QUANTUM).cast("decimal(38,0)")
+        heavy = sources.where(own).orderBy("source").collect()
+        totals = {q: r.n for q, r in enumerate(heavy)}
+        rest = total - sum(totals.values())
+        if not (targets and not out) and 0 < rest * length < total and heavy:  # under a token a window: with the last queue
+            heavy, last = heavy[:-1], len(heavy) - 1
+            totals[last] += rest
+            rest = totals[last]
+        elif rest:
+            totals[len(heavy)] = rest
+        shares = {q: Fraction(n, total) for q, n in totals.items()}
+        if targets and not out:
+            whole = sum(targets[r.source] for r in heavy)
+            for q, r in enumerate(heavy):
+                shares[q] = Fraction(targets[r.source] / whole).limit_denominator(10**6)
+        names = [r.source for r in heavy]
+        out.append(Level(length, names, totals, shares, len(names) if rest else None))
+        if not rest or length >= total:
+            break
+        sources, total, length = sources.where(~F.col("source").isin(*names)) if names else sources, rest, length * MIN_QUANTUM
+    return out
 
 
 def pack(
@@ -205,8 +268,8 @@ def pack(
     """Pieces of all ``docs`` in sequences of ``length`` tokens, each in the target proportions of sources.
 
     ``targets`` maps sources to positive weights; the sources without one share a queue. The default is
-    each source's share of all tokens, with which all queues run dry together; sources with under
-    MIN_QUANTUM tokens a window then share a queue. Only the last sequence of all can be short. Null texts are empty (one
+    each source's share of all tokens, with which all queues run dry together. Sources with under
+    MIN_QUANTUM tokens a window take longer turns in the queue that they share. Only the last sequence of all can be short. Null texts are empty (one
     token, ``end``); a null source is the source "". Rows with null or repeated ids are documents like
     any other. An empty table gives no pieces.
     Columns: id, start, length, ids (binary, little-endian 32 bits), doc_tokens, sequence_id, offset, source_queue.
@@ -217,55 +280,39 @@ def pack(
     tokens = stored(tokenised(docs, tokenizer, end, id_col, text_col, source_col), "tokens")
     parts = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "part-totals")
     total = parts.agg(F.sum("n")).first()[0] or 0
-    sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    if targets:
-        if min(targets.values()) * length < sum(targets.values()):
-            raise ValueError("a target share is under one token a window")
-        own = sources.where(F.col("source").isin(*targets))
-    else:  # at most length / MIN_QUANTUM sources can have such a share
-        own = sources.where(F.col("n") * length >= F.lit(total * MIN_QUANTUM).cast("long"))
-    heavy = own.orderBy("source").collect()
-    totals = {q: r.n for q, r in enumerate(heavy)}
-    if (rest := total - sum(totals.values())) > 0:
-        if targets is None and 0 < rest * length < total and heavy:  # under a token a window: with the last queue
-            totals[len(heavy) - 1] += rest
-            heavy = heavy[:-1]
-        else:
-            totals[len(heavy)] = rest
-    shares = {q: Fraction(n, max(total, 1)) for q, n in totals.items()}
-    if targets:
-        whole = sum(targets[r.source] for r in heavy)
-        for q, r in enumerate(heavy):
-            shares[q] = Fraction(targets[r.source] / whole).limit_denominator(10**6)
-    plan = phases(totals, shares)
-    bounds = {q: [p.starts[q] for p in plan if q in p.sends] for q in totals}
-
-    queue = F.lit(len(heavy))
-    for q, r in enumerate(heavy):
-        queue = F.when(F.col("source") == r.source, q).otherwise(queue)
-    parts = parts.withColumn("queue", queue.cast("int")).withColumn("block", F.expr("part div 512"))
+    if targets and min(targets.values()) * length < sum(targets.values()):
+        raise ValueError("a target share is under one token a window")
+    levels = levels_of(stored(parts.groupBy("source").agg(F.sum("n").alias("n")), "source-totals"), total, length, targets)
+
+    last = levels[-1] if levels else None
+    level, queue = F.lit(len(levels) - 1), F.lit(last.rest if last else None)
+    for i, own in enumerate(levels):
+        if own.names:
+            here = F.col("source").isin(*own.names)
+            level, queue = F.when(here, i).otherwise(level), F.when(here, F.array_position(F.array(*map(F.lit, own.names)), F.col("source")) - 1).otherwise(queue)
+    parts = parts.withColumn("level", level.cast("int")).withColumn("queue", queue.cast("int")).withColumn("block", F.expr("part div 512"))
     inside = Window.partitionBy("source", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = parts.groupBy("queue", "source", "block").agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy("queue").orderBy("source", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = parts.groupBy("level", "queue", "source", "block").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("level", "queue").orderBy("source", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("source", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     zero = F.coalesce(F.sum("n").over(inside), F.lit(0))
-    bases = parts.withColumn("inside", zero).join(blocks, ["source", "block"]).select("part", "source", "queue", (F.col("inside") + F.col("ahead")).alias("base"))
+    bases = parts.withColumn("inside", zero).join(blocks, ["source", "block"]).select("part", "source", "level", "queue", (F.col("inside") + F.col("ahead")).alias("base"))
     # stored, so that Spark knows its size: it is broadcast only below spark.sql.autoBroadcastJoinThreshold
     bases = stored(bases, "queue-bases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for doc, q, first, n, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                raw = ids if wide else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                for done, take, window, offset in cuts(plan, bounds, q, first, n, length):
-                    for column, x in zip(out, (doc, done, take, raw[4 * done : 4 * (done + take)], n, window, offset, q), strict=True):
+            for doc, k, q, first, n, ids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                raw, shown = ids if wide else np.frombuffer(ids, "<u2").astype("<u4").tobytes(), levels[0].rest if k else q
+                for done, take, window, offset in place(levels, k, q, first, n):
+                    for column, x in zip(out, (doc, done, take, raw[4 * done : 4 * (done + take)], n, window, offset, shown), strict=True):
                         column.append(x)
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source_queue"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    placed = tokens.join(bases, ["part", "source"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
+    placed = tokens.join(bases, ["part", "source"]).select("doc_id", "level", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
     pieces = placed.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source_queue int")
     return pieces.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else pieces
 
