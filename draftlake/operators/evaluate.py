@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 STORAGE_CONFLICT = "E_STORAGE_CONFLICT"
 
 
+# What a reader of an evaluation is warned of, in this order.
+WARNINGS = ("W_TEAM_HISTORY_SMALL", "W_H2H_MISSING", "W_PAIR_HISTORY_MISSING")
+
+
+def warning_codes(small: F.Column, never_met: F.Column, never_played: F.Column) -> F.Column:
+    """The warnings that hold, in order: history under the window, no match against each other, a player new to a champion."""
+    return F.array_compact(F.array(*(F.when(c, w) for c, w in zip((small, never_met, never_played), WARNINGS, strict=True))))
+
+
 def content_key(*columns: str) -> F.Column:
     """SHA-256 of the columns' text in order (null: <NULL>, numbers as Spark writes them, -0.0 as 0.0)."""
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")) for c in columns)), 256)

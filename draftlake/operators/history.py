@@ -57,6 +57,25 @@ def last_n_before(
     return seen.select("row__.*", *(F.col(f"seen__.{s}").alias(s) for s in states))
 
 
+def reason_counts(history: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str = "ended_at", id_col: str = "game_id", cutoff: str = "cutoff") -> DataFrame:
+    """(reason, n): how many matches of its keys each reason keeps out of a target's history, or ACCEPTED, over all targets.
+
+    ``targets`` have the ids of their own matches. Counted by running sums and grouped counts, never target by match.
+    """
+    seen = last_n_before(history, targets, keys, None, {"earlier__": F.count(F.lit(1))}, ts, id_col, cutoff)
+    whole = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("all__"), F.count_if(F.col(ts).isNull()).alias("open__"))
+    own = history.groupBy(id_col, *keys).agg(F.count(F.lit(1)).alias("self__"), F.count_if(F.col(ts).isNull()).alias("self_open__"), F.sort_array(F.collect_list(ts)).alias("ends__"))
+    seen = seen.join(whole, list(keys), "left").join(own, [id_col, *keys], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    own_earlier = F.coalesce(F.size(F.filter("ends__", lambda e: e < F.col(cutoff))), F.lit(0))
+    accepted = zero("earlier__") - own_earlier
+    missing = zero("open__") - zero("self_open__")
+    late = zero("all__") - zero("self__") - missing - accepted
+    counts = F.array(*(F.struct(F.lit(r).alias("reason"), n.cast("long").alias("n")) for r, n in ((TARGET_GAME, zero("self__")), (MISSING_ENDED_AT, missing), (END_NOT_BEFORE_CUTOFF, late), ("ACCEPTED", accepted))))
+    found = seen.select(F.explode(counts).alias("c")).groupBy("c.reason").agg(F.sum("c.n").alias("n"))
+    return found.where("n > 0")
+
+
 def rate(wins: Column, games: Column) -> Column:
     """Share of wins; null, never 0 or 0.5, without games."""
     return F.when(games > 0, wins / games)

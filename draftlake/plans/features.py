@@ -11,6 +11,7 @@ from draftlake.operators.metrics import calibration, metrics
 from draftlake.plans.matches import SQL as M
 from draftlake.plans.matches import matches
 from draftlake.plans.registry import query
+from draftlake.session import settled
 
 def states() -> dict:
     return {"games": F.count(F.lit(1)), "wins": F.sum("win")}
@@ -104,7 +105,7 @@ def roster_continuity(t) -> DataFrame:
 
 @query(
     "p08_history_reasons",
-    f"""WITH {M}, x AS (SELECT game_id AS target_id, blue AS team, cutoff FROM m WHERE role = 1)
+    f"""WITH {M}, x AS (SELECT game_id AS target_id, blue AS team, cutoff FROM m)
     SELECT reason, count(*) AS n FROM (
       SELECT CASE WHEN m.game_id = x.target_id THEN 'TARGET_GAME' WHEN m.ended_at IS NULL THEN 'MISSING_ENDED_AT'
                   WHEN m.ended_at >= x.cutoff THEN 'END_NOT_BEFORE_CUTOFF' ELSE 'ACCEPTED' END AS reason
@@ -112,10 +113,7 @@ def roster_continuity(t) -> DataFrame:
 )
 def history_reasons(t) -> DataFrame:
     m = matches(t)
-    targets = m.where("role = 1").select(F.col("game_id").alias("target_id"), F.col("blue").alias("team"), F.col("cutoff").alias("target_cutoff"))
-    both = targets.join(m, m.blue == targets.team)
-    reason = H.exclusion_reason(F.col("game_id"), F.col("ended_at"), F.col("target_id"), F.col("target_cutoff"))
-    return both.groupBy(F.coalesce(reason, F.lit("ACCEPTED")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return H.reason_counts(m, m.select("game_id", "blue", "cutoff"), ["blue"])
 
 
 X08 = """CASE WHEN ended_at IS NULL THEN 'E_LABEL_END_MISSING' WHEN ended_at <= cutoff THEN 'E_LABEL_END_NOT_AFTER_CUTOFF' END"""
@@ -167,10 +165,14 @@ def _scored(t) -> DataFrame:
     return matches(t).select(F.col("win").alias("y"), (1 / (1 + F.exp(-((F.col("champion") % 97) / 24.0 - 2)))).alias("p"))
 
 
-@query("m02_baseline", f"WITH {M}, {SPLIT} SELECT round(avg(win), 9) AS prior, count(*) AS n FROM s WHERE partition = 'train' AND NOT purged")
+@query("m02_baseline", f"WITH {M}, {SPLIT} SELECT round(avg(win), 9) AS p, (SELECT count(*) FROM s WHERE partition = 'validation') AS n FROM s WHERE partition = 'train' AND NOT purged")
 def baseline(t) -> DataFrame:
-    split = P.temporal_split(P.with_exclusions(matches(t)).where("excluded_reason IS NULL"))
-    return split.where("partition = 'train' AND NOT purged").agg(F.round(F.avg("win"), 9).alias("prior"), F.count(F.lit(1)).alias("n"))
+    """The prior of the training part, as the model family gives it to the validation part."""
+    from draftlake.operators.models import fit
+
+    split = settled(P.temporal_split(P.with_exclusions(matches(t)).where("excluded_reason IS NULL")), "split")
+    fitted = fit("baseline", split.where("partition = 'train' AND NOT purged"), [], [], [], "win")
+    return fitted.score(split.where("partition = 'validation'")).groupBy(F.round("p", 9).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -199,22 +201,23 @@ def calibration_table(t) -> DataFrame:
 @query(
     "e02_warnings",
     f"""WITH {M}, h AS ({TEAM_HISTORY}),
-    c AS (SELECT x.game_id, count(h.game_id) AS games FROM (SELECT * FROM m WHERE role = 1) x
-          LEFT JOIN h ON h.team = x.blue AND h.ended_at < x.cutoff GROUP BY x.game_id),
-    p AS (SELECT x.game_id, count(h.game_id) AS met FROM (SELECT * FROM m WHERE role = 1) x
-          LEFT JOIN m h ON h.blue = x.blue AND h.red = x.red AND h.ended_at < x.cutoff GROUP BY x.game_id),
-    w AS (SELECT game_id, unnest(list_filter([CASE WHEN least(games, 10) < 10 THEN 'W_TEAM_HISTORY_SMALL' END, CASE WHEN met = 0 THEN 'W_H2H_MISSING' END], lambda x: x IS NOT NULL)) AS code
-          FROM c JOIN p USING (game_id))
-    SELECT game_id, code, (row_number() OVER (PARTITION BY game_id ORDER BY CASE code WHEN 'W_TEAM_HISTORY_SMALL' THEN 0 ELSE 1 END) - 1)::INTEGER AS position FROM w""",
+    c AS (SELECT x.game_id, count(h.game_id) AS games FROM m x LEFT JOIN h ON h.team = x.blue AND h.ended_at < x.cutoff GROUP BY x.game_id),
+    p AS (SELECT x.game_id, count(h.game_id) AS met FROM m x LEFT JOIN m h ON h.blue = x.blue AND h.red = x.red AND h.ended_at < x.cutoff GROUP BY x.game_id),
+    d AS (SELECT x.game_id, count(h.game_id) AS played FROM m x LEFT JOIN m h ON h.blue = x.blue AND h.champion = x.champion AND h.ended_at < x.cutoff GROUP BY x.game_id),
+    w AS (SELECT game_id, unnest(list_filter([CASE WHEN games < 10 THEN 'W_TEAM_HISTORY_SMALL' END, CASE WHEN met = 0 THEN 'W_H2H_MISSING' END, CASE WHEN played = 0 THEN 'W_PAIR_HISTORY_MISSING' END], lambda x: x IS NOT NULL)) AS code
+          FROM c JOIN p USING (game_id) JOIN d USING (game_id))
+    SELECT game_id, code, (row_number() OVER (PARTITION BY game_id ORDER BY CASE code WHEN 'W_TEAM_HISTORY_SMALL' THEN 0 WHEN 'W_H2H_MISSING' THEN 1 ELSE 2 END) - 1)::INTEGER AS position FROM w""",
 )
 def warnings(t) -> DataFrame:
+    from draftlake.operators.evaluate import warning_codes
+
     m = matches(t)
-    targets = m.where("role = 1").select("game_id", F.col("blue").alias("team"), "blue", "red", "cutoff")
-    seen = H.last_n_before(team_history(m), targets, ["team"], 10, {"games": F.count(F.lit(1))})
-    seen = H.last_n_before(m.select("blue", "red", "game_id", "ended_at"), seen, ["blue", "red"], None, {"met": F.count(F.lit(1))})
-    codes = F.array_compact(F.array(
-        F.when(F.coalesce("games", F.lit(0)) < 10, "W_TEAM_HISTORY_SMALL"), F.when(F.coalesce("met", F.lit(0)) == 0, "W_H2H_MISSING"),
-    ))
+    one = {"n": F.count(F.lit(1))}
+    targets = m.select("game_id", F.col("blue").alias("team"), "blue", "red", "champion", "cutoff")
+    seen = H.last_n_before(team_history(m), targets, ["team"], 10, one).withColumnRenamed("n", "games")
+    seen = H.last_n_before(m.select("blue", "red", "game_id", "ended_at"), seen, ["blue", "red"], None, one).withColumnRenamed("n", "met")
+    seen = H.last_n_before(m.select("blue", "champion", "game_id", "ended_at"), seen, ["blue", "champion"], None, one).withColumnRenamed("n", "played")
+    codes = warning_codes(F.coalesce("games", F.lit(0)) < 10, F.coalesce("met", F.lit(0)) == 0, F.coalesce("played", F.lit(0)) == 0)
     return seen.select("game_id", F.posexplode(codes).alias("position", "code"))
 
 
@@ -236,23 +239,34 @@ def asof_last(t) -> DataFrame:
     "j11_range_topn",
     f"""WITH {M} SELECT target_id, rn::INTEGER AS place, game_id FROM (
         SELECT x.game_id AS target_id, h.game_id, row_number() OVER (PARTITION BY x.game_id ORDER BY h.ended_at DESC, h.game_id) AS rn
-        FROM m x JOIN m h ON x.blue = h.blue AND h.ended_at < x.cutoff WHERE x.role = 2) WHERE rn <= 3""",
+        FROM m x JOIN m h ON x.blue = h.blue AND h.ended_at < x.cutoff) WHERE rn <= 3""",
 )
 def range_topn(t) -> DataFrame:
     m = matches(t)
-    targets = m.where("role = 2").select(F.col("game_id").alias("target_id"), "blue", "cutoff")
+    targets = m.select(F.col("game_id").alias("target_id"), "blue", "cutoff")
     seen = H.last_n_before(m.select("blue", "game_id", "ended_at"), targets, ["blue"], 3, {"ids": F.collect_list("game_id")})
     return seen.select("target_id", F.posexplode(F.reverse("ids")).alias("place", "game_id")).withColumn("place", F.col("place") + 1)
 
 
 @query(
     "e05_idempotent_latest",
-    """WITH s AS (SELECT event_id, user_id, event_type, ts, value, sha256(concat_ws(chr(31), user_id, event_type, round(value, 0)::BIGINT)) AS k FROM events),
-       f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts, event_id) = 1)
-       SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1 AS is_active FROM f""",
+    """WITH s AS (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, ts, round(value, 0)::BIGINT AS v,
+                  user_id || '-' || CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END || '-' || round(value, 0)::BIGINT AS k FROM events WHERE event_type <> 'purchase'),
+       f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts, event_id) = 1),
+       p AS (SELECT * FROM f WHERE event_id % 3 <> 0)
+       SELECT event_id, user_id, model, row_number() OVER (PARTITION BY user_id, model ORDER BY ts DESC, event_id DESC) = 1 AS is_active FROM p""",
 )
 def idempotent_latest(t) -> DataFrame:
-    events = t("events").withColumn("k", F.sha2(F.concat_ws("\x1f", F.col("user_id"), F.col("event_type"), F.round("value", 0).cast("long")), 256))
-    first = events.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("ts", "event_id"))).where("n = 1")
-    latest = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return first.select("event_id", "user_id", "event_type", (F.row_number().over(latest) == 1).alias("is_active"))
+    """Events as saved evaluations: those of two thirds are kept (the others are stored already), the latest of user and model is active."""
+    from draftlake.operators import evaluate as E
+
+    model = F.when(F.col("event_id") % 2 == 0, "a").otherwise("b")
+    rows = t("events").where("event_type <> 'purchase'").select(
+        F.col("event_id").alias("evaluation_id"), F.col("user_id").alias("subject_id"), model.alias("model_id"), F.lit("PRE").alias("phase"), F.lit(None).cast("long").alias("parent_id"),
+        F.col("ts").alias("created_at"), F.concat_ws("-", F.col("user_id"), model, F.round("value", 0).cast("long")).alias("idempotency_key"),
+    )
+    rows = rows.withColumn("content_sha256", F.lpad(F.col("evaluation_id").cast("string"), 20, "0"))
+    first = E.save(rows, rows.limit(0))[0]
+    known = first.where("evaluation_id % 3 = 0")
+    fresh = E.save(first, known)[0]
+    return E.with_activity(fresh).select(F.col("evaluation_id").alias("event_id"), F.col("subject_id").alias("user_id"), F.col("model_id").alias("model"), "is_active")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import scalars as S
+from draftlake.session import settled
 
 SQL = """
 m AS (
@@ -25,11 +26,12 @@ m AS (
 
 
 def matches(t) -> DataFrame:
+    """The match view as a stored table: most queries use it twice, as history and as targets."""
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
         "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
     )
     lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.withColumn("n", F.row_number().over(order)).where("n = 1").select(
+    return settled(lines.withColumn("n", F.row_number().over(order)).where("n = 1").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("game_id"),
         F.col("o_custkey").alias("blue"),
         F.col("l_suppkey").alias("red"),
@@ -40,4 +42,4 @@ def matches(t) -> DataFrame:
         F.col("l_shipdate").alias("ended_at"),
         S.cutoff(F.col("o_orderdate")).alias("cutoff"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("win"),
-    )
+    ), "matches")

@@ -35,15 +35,6 @@ def missing(t) -> DataFrame:
     return t("documents").select("doc_id", S.is_missing(F.col("text")).alias("text_missing"), S.is_missing(F.col("source")).alias("source_missing"))
 
 
-@query("p03_classify", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'player' WHEN event_type = 'purchase' THEN 'team'
-    WHEN event_id % 12 < 10 THEN 'player' WHEN event_id % 12 IN (10, 11) THEN 'team' ELSE 'unknown' END AS kind FROM events) GROUP BY kind""")
-def classify(t) -> DataFrame:
-    """By type first, by the row's number only where the type says nothing."""
-    place = F.col("event_id") % 12
-    kind = F.when(F.col("event_type").isin("click", "view"), "player").when(F.col("event_type") == "purchase", "team").when(place < 10, "player").when(place.isin(10, 11), "team").otherwise("unknown")
-    return t("events").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("p07_missing_cells", """SELECT event_type, count(*) FILTER (WHERE props IS NULL OR trim(props) = '') AS props_missing, count(*) FILTER (WHERE value IS NULL) AS value_missing,
     count(*) FILTER (WHERE user_id IS NULL) AS user_missing, count(*) FILTER (WHERE props IS NULL OR trim(props) = '' OR value IS NULL OR user_id IS NULL) AS any_missing FROM events GROUP BY event_type""")
 def missing_cells(t) -> DataFrame:
@@ -252,10 +243,12 @@ def coverage(t) -> DataFrame:
     return rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("total"), valid.alias("valid"), F.round(valid * 100.0 / F.count(F.lit(1)), 4).alias("percent"))
 
 
-@query("a25_percentiles", "SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS low, median(l_extendedprice) AS median, quantile_cont(l_extendedprice, 0.9) AS p90, max(l_extendedprice) AS high FROM lineitem GROUP BY l_returnflag")
+@query("a25_percentiles", "SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS low, round(median(l_extendedprice), 3) AS median, round(quantile_cont(l_extendedprice, 0.9), 3) AS p90, max(l_extendedprice) AS high FROM lineitem GROUP BY l_returnflag")
 def percentiles(t) -> DataFrame:
-    x = F.col("l_extendedprice")
-    return t("lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.median(x).alias("median"), F.percentile(x, 0.9).alias("p90"), F.max(x).alias("high"))
+    from draftlake.operators.quantiles import exact_quantiles
+
+    found = exact_quantiles(t("lineitem"), "l_returnflag", "l_extendedprice", {"median": 0.5, "p90": 0.9})
+    return found.select("l_returnflag", "n", "low", F.round("median", 3).alias("median"), F.round("p90", 3).alias("p90"), "high")
 
 
 @query("a28_latest", "SELECT user_id, count(*) AS n, arg_max(event_type, ts) AS latest_type, max(ts) AS latest_ts FROM events WHERE ts < (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY user_id")
@@ -308,10 +301,10 @@ def position(t) -> DataFrame:
     return t("conversations").select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("position"))
 
 
-@query("o01_canonical_order", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, o_orderpriority FROM orders ORDER BY rank, o_orderpriority, o_orderkey LIMIT 100")
+@query("o01_canonical_order", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, o_orderpriority FROM orders")
 def canonical_order(t) -> DataFrame:
     rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return t("orders").select("o_orderkey", rank.alias("rank"), "o_orderpriority").orderBy("rank", "o_orderpriority", "o_orderkey").limit(100)
+    return t("orders").select("o_orderkey", rank.alias("rank"), "o_orderpriority").orderBy("rank", "o_orderpriority", "o_orderkey")
 
 
 SEARCH = "CASE WHEN lower(p_name) = 'a' THEN 0 WHEN lower(p_name) LIKE 'a%' THEN 1 WHEN regexp_matches(lower(p_name), '(^|[^a-z0-9])a') THEN 2 WHEN contains(lower(p_name), 'a') THEN 3 END"

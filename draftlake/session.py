@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's ``spark.checkpoint.dir``: later plans start from there.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor reaches: ``spark.checkpoint.dir`` of the session.
 
     Only a local master may run without that setting (tests); it then gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and (made := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = made.get()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="draftlake-"))
-    return df.checkpoint()
+        base = tempfile.mkdtemp(prefix="draftlake-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: later plans start from a table of known size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/draftlake/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
