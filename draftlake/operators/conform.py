@@ -35,10 +35,11 @@ def match_metadata(core: DataFrame) -> DataFrame:
         *(collapse_state(F.col(c)).alias(f"{c}_state") for c in REQUIRED), *(collapse_value(F.col(c)).alias(c) for c in REQUIRED),
         collapse_state(F.col("url")).alias("url_state"), collapse_value(F.col("url")).alias("url"),
     )
-    codes = [F.when(F.col(f"{c}_state") != "SINGLE", F.concat(F.lit(f"{c.upper()}_"), F.col(f"{c}_state"))) for c in REQUIRED]
+    state = {"CONFLICT": "CONFLICTING", "MIXED": "MIXED_MISSING", "MISSING": "MISSING"}  # fixed values
+    codes = [F.when(F.col(f"{c}_state") == k, f"{v}_{c.upper()}") for c in REQUIRED for k, v in state.items()]
     ranges = [
-        F.when(~F.col("game").between(1, 32767), "GAME_OUT_OF_RANGE"), F.when(~F.col("year").between(-32768, 32767), "YEAR_OUT_OF_RANGE"),
-        F.when(F.length("patch") > 20, "PATCH_TOO_LONG"), F.when(F.length("gameid") > 100, "GAME_ID_TOO_LONG"), F.when(~F.col("playoffs").isin(0, 1), "PLAYOFFS_INVALID"),
+        F.when(~F.col("game").between(1, 32767), "INVALID_GAME_NUMBER"), F.when(~F.col("year").between(-32768, 32767), "INVALID_SOURCE_YEAR"),
+        F.when(F.length("patch") > 20, "PATCH_TOO_LONG"), F.when(F.length("gameid") > 100, "GAME_ID_TOO_LONG"), F.when(~F.col("playoffs").isin(0, 1), "INVALID_PLAYOFFS"),
     ]
     first = F.sort_array(F.array_compact(F.array(*codes)))
     return own.withColumn("codes", F.when(F.size(first) > 0, first).otherwise(F.sort_array(F.array_compact(F.array(*ranges)))))
@@ -70,12 +71,14 @@ def series_evidence(games: DataFrame, pairs: DataFrame) -> DataFrame:
     host = F.lower(F.split_part("url", F.lit("/"), F.lit(3)))
     best = F.coalesce(S.best_of(F.col("url")), *(S.whole_number(S.url_parameter(F.col("url"), p)).cast("int") for p in ("bestof", "best_of", "bo")))
     own = games.join(pairs, "gameid", "left").withColumns(
-        {"series_key": F.coalesce(by_id, F.concat(host, F.lit("|"), by_url)), "best_of": best, "shares": F.when(F.col("url").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("url")))}
+        {"series_key": F.coalesce(by_id, F.concat(host, F.lit("|"), by_url)), "best_of": best, }
     )
+    shares = games.where("url IS NOT NULL").groupBy("url").agg(F.count(F.lit(1)).alias("shares"))  # matches without one never meet
+    own = own.where("url IS NOT NULL").join(shares, "url").unionByName(own.where("url IS NULL").withColumn("shares", F.lit(None).cast("long")))
     first = F.array_compact(
         F.array(
-            F.when(F.col("series_key").isNull(), "SERIES_KEY_MISSING"), F.when(F.length("series_key") > 80, "SERIES_KEY_TOO_LONG"), F.when(number != F.col("game"), "SERIES_NUMBER_CONFLICT"),
-            F.when(F.col("best_of").isNull() | ~F.col("best_of").isin(1, 3, 5), "BEST_OF_MISSING"), F.when(F.col("shares") > 1, "SERIES_URL_SHARED"), F.when(F.col("team_pair").isNull(), "TEAM_PAIR_INVALID"),
+            F.when(F.col("series_key").isNull(), "SOURCE_SERIES_KEY_MISSING"), F.when(F.length("series_key") > 80, "SERIES_ID_TOO_LONG"), F.when(number != F.col("game"), "GAMEID_GAME_NUMBER_CONFLICT"),
+            F.when(F.col("best_of").isNull() | ~F.col("best_of").isin(1, 3, 5), "EXPLICIT_BEST_OF_MISSING"), F.when(F.col("shares") > 1, "URL_TO_GAMEID_CONFLICT"), F.when(F.col("team_pair").isNull(), "TEAM_PAIR_UNRESOLVED"),
         )
     )
     own = own.withColumn("codes", first)
@@ -86,32 +89,38 @@ def series_evidence(games: DataFrame, pairs: DataFrame) -> DataFrame:
         F.array_compact(
             F.array(
                 *(F.when(F.countDistinct(c) > 1, f"SERIES_{c.upper()}_CONFLICT") for c in one),
-                F.when(F.countDistinct("game") < F.count(F.lit(1)), "SERIES_GAME_DUPLICATE"), F.when((F.min("game") != 1) | (F.max("game") != F.countDistinct("game")), "SERIES_GAMES_NOT_CONTIGUOUS"),
-                F.when(F.max("game") > F.max("best_of"), "SERIES_BEST_OF_EXCEEDED"), F.when(F.max(F.coalesce(F.col("prev") > F.col("date"), F.lit(False))), "SERIES_DATES_DECREASE"),
+                F.when(F.countDistinct("game") < F.count(F.lit(1)), "DUPLICATE_SERIES_GAME_NUMBER"), F.when(F.min("game") < 1, "INVALID_SERIES_GAME_NUMBER"), F.when((F.min("game") != 1) | (F.max("game") != F.countDistinct("game")), "NON_CONTIGUOUS_SERIES_GAME_NUMBER"),
+                F.when(F.max("game") > F.max("best_of"), "GAME_NUMBER_EXCEEDS_EXPLICIT_BEST_OF"), F.when(F.max(F.coalesce(F.col("prev") > F.col("date"), F.lit(False))), "SERIES_DATE_ORDER_CONFLICT"),
             )
         ).alias("of_series")
     )
-    out = own.join(whole, "series_key", "left")
+    keyed, none = own.where("series_key IS NOT NULL"), own.where("series_key IS NULL")
+    out = keyed.join(whole, "series_key", "left").unionByName(none.withColumn("of_series", F.lit(None).cast("array<string>")))
     return out.select("gameid", "series_key", "best_of", F.concat("codes", F.when(F.size("codes") == 0, F.coalesce("of_series", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))).alias("codes"))
 
 
 def lineup_codes(players: DataFrame) -> DataFrame:
-    """(gameid, codes): what keeps a match's ten player rows from being a lineup (sorted; empty: complete)."""
-    role, ok = F.col("position").isin(*C.POSITIONS), F.col("side").isin(*C.SIDES)
+    """(gameid, codes): what keeps a match's ten player rows from being a lineup (sorted; empty: complete).
+
+    A row with a code is no valid row; a match needs ten valid ones, of ten players and participant ids, five roles a side.
+    """
+    role, ok = F.coalesce(F.col("position").isin(*C.POSITIONS), F.lit(False)), F.coalesce(F.col("side").isin(*C.SIDES), F.lit(False))
     row = F.array_compact(
         F.array(
-            F.when(~ok | F.col("side").isNull(), "INVALID_SIDE"), F.when(~role | F.col("position").isNull(), "INVALID_ROLE"),
-            F.when(F.col("player_id").isNull(), "PLAYER_UNRESOLVED"), F.when(F.col("champion_id").isNull(), "CHAMPION_UNMAPPED"), F.when(F.col("team_id").isNull(), "TEAM_UNRESOLVED"),
+            F.when(~ok, "INVALID_SIDE"), F.when(~role, "INVALID_ROLE"), F.when(F.col("participantid").isNull(), "MISSING_PARTICIPANT_ID"),
+            F.when(F.col("player_id").isNull(), "PLAYER_ID_UNRESOLVED"), F.when(F.col("champion_id").isNull(), "CHAMPION_UNMAPPED"),
         )
     )
-    rows = players.withColumn("row_codes", row)
-    full = lambda side: F.size(F.collect_set(F.when((F.col("side") == side) & role, F.col("position")))) != 5
+    rows = players.withColumn("row_codes", row).withColumn("valid", F.size("row_codes") == 0)
+    good = lambda c: F.when(F.col("valid"), F.col(c))
+    side = lambda s: F.col("valid") & (F.col("side") == s)
+    torn = lambda s: (F.count_if(side(s)) != 5) | (F.countDistinct(F.when(side(s), F.col("position"))) != 5)
     whole = rows.groupBy("gameid").agg(
         F.flatten(F.collect_set("row_codes")).alias("of_rows"),
         F.array_compact(
             F.array(
-                F.when(F.count(F.lit(1)) != 10, "PLAYER_ROW_COUNT"), F.when(F.countDistinct("player_id") != 10, "PLAYERS_NOT_DISTINCT"), F.when(F.countDistinct("participantid") != 10, "PARTICIPANTS_NOT_DISTINCT"),
-                F.when(full("Blue"), "BLUE_ROLES_INCOMPLETE"), F.when(full("Red"), "RED_ROLES_INCOMPLETE"),
+                F.when(F.count_if("valid") != 10, "GAME_REQUIRES_TEN_RESOLVED_PLAYERS"), F.when(F.countDistinct(good("player_id")) != 10, "GAME_REQUIRES_TEN_UNIQUE_PLAYERS"),
+                F.when(F.countDistinct(good("participantid")) != 10, "DUPLICATE_GAME_PARTICIPANT_ID"), F.when(torn("Blue") | torn("Red"), "TEAM_ROLE_SET_INCOMPLETE"),
             )
         ).alias("of_match"),
     )
@@ -121,13 +130,15 @@ def lineup_codes(players: DataFrame) -> DataFrame:
 def dependency_codes(teams: DataFrame) -> DataFrame:
     """(gameid, codes, blue, red, winner) from team rows (side, team_id, result)."""
     row = F.when(~F.coalesce(F.col("side").isin(*C.SIDES), F.lit(False)), "INVALID_SIDE").when(F.col("team_id").isNull(), "TEAM_UNRESOLVED").when(~F.coalesce(F.col("result").isin(0, 1), F.lit(False)), "INVALID_TEAM_RESULT")
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("team_id")))
+    sound = F.col("code").isNull()
+    of = lambda side: F.max(F.when(sound & (F.col("side") == side), F.col("team_id")))
+    good = lambda c: F.when(sound, F.col(c))
     whole = teams.withColumn("code", row).groupBy("gameid").agg(
-        F.collect_set("code").alias("of_rows"), of("Blue").alias("blue"), of("Red").alias("red"), F.max(F.when(F.col("result") == 1, F.col("team_id"))).alias("winner"),
+        F.collect_set("code").alias("of_rows"), of("Blue").alias("blue"), of("Red").alias("red"), F.max(F.when(sound & (F.col("result") == 1), F.col("team_id"))).alias("winner"),
         F.array_compact(
             F.array(
-                F.when(F.array_sort(F.collect_list("side")) != F.array(*map(F.lit, C.SIDES)), "SIDES_INVALID"), F.when(F.countDistinct("team_id") != 2, "TEAMS_NOT_DISTINCT"),
-                F.when(F.count_if(F.col("result") == 1) != 1, "WINNER_INVALID"),
+                F.when(F.array_sort(F.collect_list(good("side"))) != F.array(*map(F.lit, C.SIDES)), "GAME_REQUIRES_BLUE_AND_RED"), F.when(F.countDistinct(good("team_id")) != 2, "GAME_REQUIRES_TWO_TEAMS"),
+                F.when(F.count_if(sound & (F.col("result") == 1)) != 1, "GAME_REQUIRES_ONE_WINNER"),
             )
         ).alias("of_match"),
     )
@@ -139,10 +150,10 @@ def dispositions(metadata: DataFrame, lineups: DataFrame, dependencies: DataFram
     none = F.array().cast("array<string>")
     both = metadata.select("gameid", F.col("codes").alias("m")).join(lineups.select("gameid", F.col("codes").alias("l")), "gameid", "left")
     both = both.join(dependencies.select("gameid", F.col("codes").alias("d")), "gameid", "left")
-    lineup, dependency = F.coalesce("l", F.array(F.lit("PLAYER_ROWS_MISSING"))), F.coalesce("d", F.array(F.lit("TEAM_ROWS_MISSING")))
+    lineup, dependency = F.coalesce("l", F.array(F.lit("GAME_REQUIRES_TEN_RESOLVED_PLAYERS"))), F.coalesce("d", F.array(F.lit("GAME_REQUIRES_BLUE_AND_RED")))
     reason = F.when(F.size("m") > 0, METADATA_INVALID).when(F.size(lineup) > 0, LINEUP_INCOMPLETE).when(F.size(dependency) > 0, DEPENDENCY_INVALID)
     codes = F.when(F.size("m") > 0, F.col("m")).otherwise(F.array_sort(F.array_union(F.array_union(lineup, dependency), none)))
-    return both.select("gameid", reason.alias("reason"), F.when(reason.isNotNull(), F.array_join(codes, ";")).alias("detail"))
+    return both.select("gameid", reason.alias("reason"), F.when(reason.isNotNull(), F.array_join(codes, ",")).alias("detail"))
 
 
 def _target_id(prefix: str, source: Column) -> Column:
@@ -160,8 +171,8 @@ def entity_records(resolved: DataFrame, prefix: str, id_col: str, names: DataFra
     taken = references.select(F.col("target_id").alias("new_id")).distinct().withColumn("taken", F.lit(True))
     out = ids.join(own, "source_id", "left").join(known, "source_id", "left").withColumn("new_id", _target_id(prefix, F.col("source_id"))).join(taken, "new_id", "left")
     reason = (
-        F.when(F.col("n") > 1, "TARGET_CONFLICT").when(F.col("n") == 1, F.lit(None).cast("string"))
-        .when(F.coalesce("n_names", F.lit(0)) == 0, "NAME_MISSING").when(F.col("n_names") > 1, "NAME_CONFLICT").when(F.col("taken"), "TARGET_ID_COLLISION")
+        F.when(F.col("n") > 1, "TARGET_ORACLE_ID_CONFLICT").when(F.col("n") == 1, F.lit(None).cast("string"))
+        .when(F.coalesce("n_names", F.lit(0)) == 0, "MISSING_SOURCE_NAME").when(F.col("n_names") > 1, "SOURCE_NAME_CONFLICT").when(F.col("taken"), "TARGET_PRIMARY_KEY_COLLISION")
     )
     exists = F.col("n") == 1
     return out.select(
@@ -204,10 +215,10 @@ def targets(core: DataFrame, teams: DataFrame, players: DataFrame, champions: Da
         DataFrame.unionByName,
         [
             judged.where("reason IS NOT NULL").select(F.lit("game").alias("entity"), F.col("gameid").alias("source_key"), "reason", "detail"),
-            in_series.where(F.size("codes") > 0).select(F.lit("series").alias("entity"), F.col("gameid").alias("source_key"), F.element_at("codes", 1).alias("reason"), F.array_join("codes", ";").alias("detail")),
+            in_series.where(F.size("codes") > 0).select(F.lit("series").alias("entity"), F.col("gameid").alias("source_key"), F.element_at("codes", 1).alias("reason"), F.array_join("codes", ",").alias("detail")),
             *(r.where("reason IS NOT NULL").select(F.lit(n).alias("entity"), F.col("source_id").alias("source_key"), "reason", null_text.alias("detail")) for n, r in (("team", team_records), ("player", player_records))),
             champions.where("status <> 'MAPPED'").select(F.lit("champion").alias("entity"), F.col("champion").alias("source_key"), "reason", null_text.alias("detail")),
-            lineup.join(judged.where("reason IS NOT NULL").select("gameid", "reason"), "gameid").select(F.lit("game_player").alias("entity"), F.concat_ws("|", "gameid", "participantid").alias("source_key"), F.lit("PARENT_GAME_REJECTED").alias("reason"), F.col("reason").alias("detail")),
+            lineup.join(judged.where("reason IS NOT NULL").select("gameid", "reason"), "gameid").select(F.lit("game_player").alias("entity"), F.concat_ws("|", "gameid", "participantid").alias("source_key"), F.lit("GAME_PLAYER_BLOCKED_BY_GAME").alias("reason"), F.col("reason").alias("detail")),
         ],
     )
     return {
@@ -236,13 +247,14 @@ def plan(candidates: dict[str, DataFrame], snapshot: dict[str, DataFrame]) -> di
 
 def reconciliation(core: DataFrame, out: dict[str, DataFrame]) -> DataFrame:
     """Invariants as rows (name, left, right, holds), all of which must hold before anything is written."""
-    count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    count = lambda df, name, times=1: df.agg(F.lit(name).alias("name"), (F.count(F.lit(1)) * times).alias("n"))
+    times = {"two teams for each game": 2, "ten players for each game": 10}
     accepted = out["dispositions"].where("reason IS NULL")
     pairs = {
         "every match has one disposition": (core.select("gameid").distinct(), out["dispositions"]),
         "a game for each accepted match": (accepted, out["game"]),
-        "two teams for each game": (accepted.select(F.explode(F.array(F.lit(0), F.lit(1)))), out["game_team"]),
-        "ten players for each game": (accepted.select(F.explode(F.sequence(F.lit(1), F.lit(10)))), out["game_player"]),
+        "two teams for each game": (accepted, out["game_team"]),
+        "ten players for each game": (accepted, out["game_player"]),
         "each game has exactly one parent": (out["game"], out["game"].where("(series_id IS NULL) <> (stage_id IS NULL)")),
         "winners take part": (out["game"], out["game"].join(out["game_team"].select("game_id", F.col("team_id").alias("winner_team_id")), ["game_id", "winner_team_id"], "left_semi")),
         "teams of participations exist": (out["game_team"], out["game_team"].join(out["team"], "team_id", "left_semi")),
@@ -250,7 +262,7 @@ def reconciliation(core: DataFrame, out: dict[str, DataFrame]) -> DataFrame:
         "stages have tournaments": (out["tournament_stage"], out["tournament_stage"].join(out["tournament"], "tournament_id", "left_semi")),
         "series have stages": (out["series"], out["series"].join(out["tournament_stage"], "stage_id", "left_semi")),
     }
-    rows = [count(a, n).withColumnRenamed("n", "left").join(count(b, n).withColumnRenamed("n", "right"), "name") for n, (a, b) in pairs.items()]
+    rows = [count(a, n, times.get(n, 1)).withColumnRenamed("n", "left").join(count(b, n).withColumnRenamed("n", "right"), "name") for n, (a, b) in pairs.items()]
     return reduce(DataFrame.unionByName, rows).withColumn("holds", F.col("left") == F.col("right"))
 
 

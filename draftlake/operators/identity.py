@@ -36,7 +36,7 @@ def team_groups(feed: DataFrame) -> DataFrame:
     named = feed.select(
         "gameid", "side", S.blank_to_null(F.col("teamid")).alias("id"), S.source_id_state(F.col("teamid")).alias("id_state"),
         S.canonical_key(F.col("teamname")).alias("name_key"), S.canonical_key(F.col("league")).alias("league_key"), F.col("year").cast("string").alias("year"),
-        S.canonical_key(F.col("split")).alias("split_key"), F.col("playoffs").cast("string").alias("playoffs"), F.to_date(F.col("date")).alias("day"),
+        S.canonical_key(F.col("split")).alias("split_key"), F.col("playoffs").cast("string").alias("playoffs"), F.to_date(S.timestamp(F.col("date"))).alias("day"),
     )
     return named.groupBy("gameid", "side").agg(
         F.sort_array(F.collect_set(F.when(F.col("id_state") == "VALID", F.col("id")))).alias("ids"), F.count_if(F.col("id_state") == "INVALID").alias("n_invalid"),
@@ -121,8 +121,8 @@ def map_champions(names: DataFrame, champions: DataFrame, name: str = "champion"
     known = keys.where("key IS NOT NULL").groupBy("key").agg(F.countDistinct("champion_id").alias("n"), F.min("champion_id").alias("one"))
     asked = names.select(name).distinct().withColumn("key", S.canonical_key(F.col(name)))
     both = asked.join(known, "key", "left")
-    reason = F.when(F.col("key").isNull(), "MISSING_CHAMPION").when(F.col("n").isNull(), "NO_MATCH").when(F.col("n") == 1, "UNIQUE_NAME").otherwise("AMBIGUOUS_NAME")
-    return both.select(name, F.when(F.col("n") == 1, F.col("one")).alias("champion_id"), F.when(reason == "UNIQUE_NAME", "MAPPED").otherwise("UNMAPPED").alias("status"), reason.alias("reason"))
+    reason = F.when(F.col("key").isNull(), "MISSING_SOURCE_NAME").when(F.col("n").isNull(), "NO_CHAMPION_MATCH").when(F.col("n") == 1, "UNIQUE_CANONICAL_OR_DISPLAY_NAME").otherwise("AMBIGUOUS_CHAMPION_MATCH")
+    return both.select(name, F.when(F.col("n") == 1, F.col("one")).alias("champion_id"), F.when(reason == "UNIQUE_CANONICAL_OR_DISPLAY_NAME", "MAPPED").otherwise("UNMAPPED").alias("status"), reason.alias("reason"))
 
 
 __all__ = ["RESOLVED", "SINGLE", "direct", "map_champions", "recover", "resolve_players", "resolve_teams", "target_status", "team_groups"]

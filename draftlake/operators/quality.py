@@ -21,12 +21,16 @@ from draftlake.operators.groups import repeated
 
 @dataclass
 class Rule:
-    """Rows where ``broken`` holds are issues."""
+    """Rows where ``broken`` holds are issues; group and severity of the audit's own codes are fixed (``schemas.ISSUES``)."""
 
     broken: Column
     code: str
-    group: str
-    severity: str = "error"
+    group: str | None = None
+    severity: str | None = None
+
+    def issue(self) -> Column:
+        group, severity = C.ISSUES.get(self.code, (self.group, self.severity))
+        return F.when(self.broken, F.struct(F.lit(self.code).alias("issue_code"), F.lit(group).alias("issue_group"), F.lit(severity).alias("severity")))
 
 
 KEYS = ("gameid", "participantid")
@@ -34,8 +38,7 @@ KEYS = ("gameid", "participantid")
 
 def row_issues(rows: DataFrame, rules: Iterable[Rule], keys: Iterable[str] = KEYS) -> DataFrame:
     """An issue for each row and each rule that it breaks; one pass over the rows whatever the number of rules."""
-    said = [F.when(r.broken, F.struct(F.lit(r.code).alias("issue_code"), F.lit(r.group).alias("issue_group"), F.lit(r.severity).alias("severity"))) for r in rules]
-    return rows.select(*keys, F.explode(F.array_compact(F.array(*said))).alias("issue")).select(*keys, "issue.*")
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*(r.issue() for r in rules)))).alias("issue")).select(*keys, "issue.*")
 
 
 def _match_issues(matches: DataFrame, rules: Iterable[Rule]) -> DataFrame:
@@ -60,13 +63,13 @@ def identifier_issues(feed: DataFrame) -> DataFrame:
     blank = row_issues(
         feed,
         [
-            Rule(S.is_missing(F.col("gameid")), "MISSING_GAME_ID", "identifier"),
-            Rule(S.is_missing(F.col("participantid")), "MISSING_PARTICIPANT_ID", "identifier"),
+            Rule(S.is_missing(F.col("gameid")), "MISSING_GAME_ID"),
+            Rule(S.is_missing(F.col("participantid")), "MISSING_PARTICIPANT_ID"),
         ],
     )
     named = feed.where(~S.is_missing(F.col("gameid")) & ~S.is_missing(F.col("participantid")))
     twice = named.select(*KEYS).join(repeated(named, *KEYS), list(KEYS), "left_semi")
-    return blank.unionByName(row_issues(twice, [Rule(F.lit(True), "DUPLICATE_GAME_PARTICIPANT", "identifier")]))
+    return blank.unionByName(row_issues(twice, [Rule(F.lit(True), "DUPLICATE_GAME_PARTICIPANT")]))
 
 
 def _games(feed: DataFrame) -> DataFrame:
@@ -80,84 +83,93 @@ def structure_issues(feed: DataFrame) -> DataFrame:
     return _match_issues(
         counts,
         [
-            Rule(F.col("n") != 12, "INVALID_GAME_ROW_COUNT", "structure"),
-            Rule(F.col("players") != 10, "INVALID_PLAYER_ROW_COUNT", "structure"),
-            Rule(F.col("teams") != 2, "INVALID_TEAM_ROW_COUNT", "structure"),
+            Rule(F.col("n") != 12, "INVALID_GAME_ROW_COUNT"),
+            Rule(F.col("players") != 10, "INVALID_PLAYER_ROW_COUNT"),
+            Rule(F.col("teams") != 2, "INVALID_TEAM_ROW_COUNT"),
         ],
     )
 
 
-PLAYER_FIELDS = {"playerid": "PLAYER_ID", "teamid": "TEAM_ID", "playername": "PLAYER_NAME", "teamname": "TEAM_NAME", "position": "POSITION", "side": "SIDE", "patch": "PATCH", "champion": "CHAMPION"}
+PLAYER_FIELDS = {"playerid": "PLAYER_ID", "teamid": "TEAM_ID", "playername": "PLAYER_NAME", "teamname": "TEAM_NAME", "position": "POSITION", "side": "SIDE", "patch": "PATCH", "champion": "PLAYER_CHAMPION"}
 TEAM_FIELDS = {"teamid": "TEAM_ID", "teamname": "TEAM_NAME", "side": "SIDE", "patch": "PATCH"}
 
 
 def player_issues(feed: DataFrame) -> DataFrame:
     players = _games(feed).where("kind__ = 'player'")
-    rules = [Rule(S.is_missing(F.col(c)), f"MISSING_{n}", "player", "warning" if c in ("playerid", "teamid") else "error") for c, n in PLAYER_FIELDS.items() if c in feed.columns]
-    rules.append(Rule(~S.is_missing(F.col("position")) & ~F.col("position").isin(*C.POSITIONS), "INVALID_POSITION", "player"))
+    rules = [Rule(S.is_missing(F.col(c)), f"MISSING_{n}") for c, n in PLAYER_FIELDS.items() if c in feed.columns]
+    rules.append(Rule(~S.is_missing(F.col("position")) & ~F.col("position").isin(*C.POSITIONS), "INVALID_POSITION"))
     sides = players.where(~S.is_missing(F.col("side"))).groupBy("gameid", "side")
-    roles = sides.agg(
-        F.collect_set(F.when(F.col("position").isin(*C.POSITIONS), F.col("position"))).alias("roles"), F.count(F.when(F.col("position").isin(*C.POSITIONS), 1)).alias("n")
-    )
-    of_sides = _match_issues(
-        roles, [Rule(F.col("n") > F.size("roles"), "DUPLICATE_TEAM_ROLE", "player"), Rule(F.size("roles") < 5, "INCOMPLETE_TEAM_ROLES", "player")]
-    )
-    return row_issues(players, rules).unionByName(of_sides)
+    roles = sides.agg(F.collect_set(F.when(F.col("position").isin(*C.POSITIONS), F.col("position"))).alias("roles"))
+    of_sides = _match_issues(roles, [Rule(F.size("roles") < 5, "INCOMPLETE_TEAM_ROLES")])
+    named = players.where(~S.is_missing(F.col("side")) & F.col("position").isin(*C.POSITIONS))
+    twice = named.join(repeated(named, "gameid", "side", "position"), ["gameid", "side", "position"], "left_semi")
+    return row_issues(players, rules).unionByName(of_sides).unionByName(row_issues(twice, [Rule(F.lit(True), "DUPLICATE_TEAM_ROLE")]))
 
 
 def team_issues(feed: DataFrame) -> DataFrame:
     games = _games(feed)
     teams = games.where("kind__ = 'team'")
-    rules = [Rule(S.is_missing(F.col(c)), f"MISSING_{n}", "team") for c, n in TEAM_FIELDS.items() if c in feed.columns]
+    rules = [Rule(S.is_missing(F.col(c)), f"MISSING_{n}") for c, n in TEAM_FIELDS.items() if c in feed.columns]
     for code, columns in (("MISSING_TEAM_PICK", C.PICKS), ("MISSING_TEAM_BAN", C.BANS)):
         if not missing_columns(feed, columns):
-            rules.append(Rule(reduce(lambda a, b: a | b, (S.is_missing(F.col(c)) for c in columns)), code, "team", "warning"))
+            rules.append(Rule(reduce(lambda a, b: a | b, (S.is_missing(F.col(c)) for c in columns)), code))
     # matches without any team row count as well
     own = games.groupBy("gameid").agg(
         F.collect_set(F.when(F.col("kind__") == "team", F.col("side"))).alias("sides"), F.count_if(F.col("kind__") == "team").alias("n")
     )
     wrong = ~((F.col("n") == 2) & (F.array_sort("sides") == F.array(*map(F.lit, sorted(C.SIDES)))))
-    return row_issues(teams, rules).unionByName(_match_issues(own, [Rule(wrong, "INVALID_TEAM_SIDE_STRUCTURE", "team")]))
+    return row_issues(teams, rules).unionByName(_match_issues(own, [Rule(wrong, "INVALID_TEAM_SIDE_STRUCTURE")]))
 
 
 def result_issues(feed: DataFrame) -> DataFrame:
     result = S.whole_number(F.col("result"))
     games = _games(feed).withColumn("result__", F.when(result.isin(0, 1), result))
     rules = [
-        Rule(S.is_missing(F.col("result")), "MISSING_RESULT", "result"),
-        Rule(~S.is_missing(F.col("result")) & F.col("result__").isNull(), "INVALID_RESULT_VALUE", "result"),
+        Rule(S.is_missing(F.col("result")), "MISSING_RESULT"),
+        Rule(~S.is_missing(F.col("result")) & F.col("result__").isNull(), "INVALID_RESULT_VALUE"),
     ]
     team = F.col("kind__") == "team"
     own = games.groupBy("gameid").agg(F.count_if(team).alias("n"), F.count_if(team & (F.col("result__") == 1)).alias("won"), F.count_if(team & (F.col("result__") == 0)).alias("lost"))
-    whole = _match_issues(own, [Rule(~((F.col("n") == 2) & (F.col("won") == 1) & (F.col("lost") == 1)), "INVALID_RESULT_STRUCTURE", "result")])
+    whole = _match_issues(own, [Rule(~((F.col("n") == 2) & (F.col("won") == 1) & (F.col("lost") == 1)), "INVALID_RESULT_STRUCTURE")])
     sides = games.where(team).groupBy("gameid", "side").agg(F.count(F.lit(1)).alias("n"), F.max("result__").alias("of_team")).where("n = 1 AND of_team IS NOT NULL")
     players = games.where("kind__ = 'player' AND result__ IS NOT NULL").join(sides.drop("n"), ["gameid", "side"])
-    mismatch = row_issues(players, [Rule(F.col("result__") != F.col("of_team"), "PLAYER_TEAM_RESULT_MISMATCH", "result")])
+    mismatch = row_issues(players, [Rule(F.col("result__") != F.col("of_team"), "PLAYER_TEAM_RESULT_MISMATCH")])
     return row_issues(games, rules).unionByName(whole).unionByName(mismatch)
 
 
 def time_issues(feed: DataFrame) -> DataFrame:
     games = feed.withColumns({"date__": S.timestamp(F.col("date")), "year__": S.whole_number(F.col("year"))})
     rules = [
-        Rule(S.is_missing(F.col("date")), "MISSING_DATE", "time"),
-        Rule(~S.is_missing(F.col("date")) & F.col("date__").isNull(), "INVALID_DATE", "time"),
-        Rule(S.is_missing(F.col("year")), "MISSING_YEAR", "time"),
-        Rule(~S.is_missing(F.col("year")) & F.col("year__").isNull(), "INVALID_YEAR", "time"),
-        Rule(F.coalesce(F.year("date__") != F.col("year__"), F.lit(False)), "YEAR_DATE_MISMATCH", "time", "warning"),
+        Rule(S.is_missing(F.col("date")), "MISSING_DATE"),
+        Rule(~S.is_missing(F.col("date")) & F.col("date__").isNull(), "INVALID_DATE"),
+        Rule(S.is_missing(F.col("year")), "MISSING_YEAR"),
+        Rule(~S.is_missing(F.col("year")) & F.col("year__").isNull(), "INVALID_YEAR"),
+        Rule(F.coalesce(F.year("date__") != F.col("year__"), F.lit(False)), "YEAR_DATE_MISMATCH"),
     ]
     years = games.where(~S.is_missing(F.col("gameid"))).groupBy("gameid").agg(F.countDistinct("year__").alias("n"))
-    return row_issues(games, rules).unionByName(_match_issues(years, [Rule(F.col("n") > 1, "INCONSISTENT_GAME_YEAR", "time")]))
+    return row_issues(games, rules).unionByName(_match_issues(years, [Rule(F.col("n") > 1, "INCONSISTENT_GAME_YEAR")]))
+
+
+END_COLUMNS = ("ended_at", "end_time", "game_end", "gameendtime")
+
+
+def end_time_issues(feed: DataFrame) -> DataFrame:
+    """One issue of the file if no column tells when a match ended (dates of the feed are starts)."""
+    spark = feed.sparkSession
+    found = {c.lower().replace(" ", "") for c in feed.columns} & set(END_COLUMNS)
+    rows = [] if found else [(None, None, "MISSING_EXPLICIT_GAME_END_TIME", *C.ISSUES["MISSING_EXPLICIT_GAME_END_TIME"])]
+    return spark.createDataFrame(rows, "gameid string, participantid string, issue_code string, issue_group string, severity string")
 
 
 def completeness_issues(feed: DataFrame) -> DataFrame:
     value = F.col("datacompleteness")
     rules = [
-        Rule(S.is_missing(value), "MISSING_DATA_COMPLETENESS", "completeness"),
-        Rule(~S.is_missing(value) & ~value.isin(*C.COMPLETENESS), "UNKNOWN_DATA_COMPLETENESS", "completeness"),
+        Rule(S.is_missing(value), "MISSING_DATA_COMPLETENESS"),
+        Rule(~S.is_missing(value) & ~value.isin(*C.COMPLETENESS), "UNKNOWN_DATA_COMPLETENESS"),
     ]
     own = feed.where(~S.is_missing(F.col("gameid"))).groupBy("gameid").agg(F.collect_set(F.coalesce(S.blank_to_null(value), F.lit("<MISSING>"))).alias("values"))
     wrong = ~((F.size("values") == 1) & F.element_at("values", 1).isin(*C.COMPLETENESS))
-    return row_issues(feed, rules).unionByName(_match_issues(own, [Rule(wrong, "INVALID_GAME_DATA_COMPLETENESS", "completeness")]))
+    return row_issues(feed, rules).unionByName(_match_issues(own, [Rule(wrong, "INVALID_GAME_DATA_COMPLETENESS")]))
 
 
 RULES = {
@@ -165,7 +177,7 @@ RULES = {
     "structure": (structure_issues, ("gameid", "position", "participantid")),
     "players": (player_issues, ("gameid", "position", "participantid", "side")),
     "teams": (team_issues, ("gameid", "position", "participantid", "side")),
-    "results": (result_issues, ("gameid", "position", "participantid", "side", "result")),
+    "results": (result_issues, ("gameid", "position", "participantid", "side")),
     "time": (time_issues, ("gameid", "participantid", "date", "year")),
     "completeness": (completeness_issues, ("gameid", "participantid", "datacompleteness")),
 }
@@ -173,7 +185,7 @@ RULES = {
 
 def schema_issues(feed: DataFrame, required: Iterable[str] = (*C.CORE_COLUMNS[:-2], "result", *C.PICKS, *C.BANS)) -> DataFrame:
     spark = feed.sparkSession
-    rows = [(None, None, "MISSING_REQUIRED_COLUMN", "schema", "error", c) for c in missing_columns(feed, required)]
+    rows = [(None, None, "MISSING_REQUIRED_COLUMN", *C.ISSUES["MISSING_REQUIRED_COLUMN"], c) for c in missing_columns(feed, required)]
     return spark.createDataFrame(rows, "gameid string, participantid string, issue_code string, issue_group string, severity string, detail string")
 
 

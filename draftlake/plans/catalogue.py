@@ -1,6 +1,6 @@
 """All registered queries over the driver's tables."""
 
-from draftlake.plans import features, relational, scalars
+from draftlake.plans import drafts, features, feed, relational, scalars
 from draftlake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "features", "relational", "scalars"]
+__all__ = ["QUERIES", "SQL", "drafts", "features", "feed", "relational", "scalars"]

@@ -96,13 +96,6 @@ CHECKS = {
 }
 
 
-@query("q02_identifiers", "SELECT l_orderkey, l_linenumber, count(*) AS n_rows, 'DUPLICATE_GAME_PARTICIPANT' AS issue_code FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
-def identifiers(t) -> DataFrame:
-    from draftlake.operators.groups import repeated
-
-    return repeated(t("lineitem"), "l_orderkey", "l_linenumber", count="n_rows").withColumn("issue_code", F.lit("DUPLICATE_GAME_PARTICIPANT"))
-
-
 @query("q11_row_rules", "SELECT o_orderkey, l_linenumber, l_partkey, issue_code, issue_group, severity FROM (" + " UNION ALL ".join(f"SELECT o_orderkey, l_linenumber, l_partkey, '{c}' AS issue_code, '{g}' AS issue_group, '{s}' AS severity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {w}" for w, (c, g, s) in CHECKS.items()) + ")")
 def row_rules(t) -> DataFrame:
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -141,14 +134,6 @@ def context_ids(t) -> DataFrame:
     return t("orders").select(F.col("o_orderpriority").alias("split"), S.stable_id("stage_", F.year("o_orderdate"), F.col("o_orderpriority")).alias("stage_id")).distinct()
 
 
-@query("t08_preflight", """SELECT l_orderkey, list_aggregate(list_filter([CASE WHEN count(*) <> 4 THEN 'ROW_COUNT' END, CASE WHEN count(DISTINCT l_suppkey) <> count(*) THEN 'DUPLICATE_PLAYER' END,
-    CASE WHEN count(DISTINCT l_linenumber) <> count(*) THEN 'DUPLICATE_ROLE' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS codes FROM lineitem GROUP BY l_orderkey""")
-def preflight(t) -> DataFrame:
-    n = F.count(F.lit(1))
-    codes = F.array_compact(F.array(F.when(n != 4, "ROW_COUNT"), F.when(F.countDistinct("l_suppkey") != n, "DUPLICATE_PLAYER"), F.when(F.countDistinct("l_linenumber") != n, "DUPLICATE_ROLE")))
-    return t("lineitem").groupBy("l_orderkey").agg(F.nullif(F.array_join(codes, ","), F.lit("")).alias("codes"))
-
-
 @query("t14_action_counts", """WITH old AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS bal FROM supplier WHERE s_suppkey % 6 <> 1),
     new AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS bal FROM supplier)
     SELECT CASE WHEN old.id IS NULL THEN 'INSERT' WHEN new.bal IS NOT DISTINCT FROM old.bal AND new.name IS NOT DISTINCT FROM old.name THEN 'SKIP' ELSE 'UPDATE' END AS action, count(*) AS n

@@ -22,7 +22,44 @@ TARGET_SIDES = {"Blue": "BLUE", "Red": "RED"}
 TARGET_ROLES = {"top": "TOP", "jng": "JUNGLE", "mid": "MID", "bot": "BOT", "sup": "SUPPORT"}
 ROLES = ("TOP", "JUNGLE", "MID", "BOT", "SUPPORT")
 
-FEED = T.StructType([T.StructField(c, T.StringType()) for c in CORE_COLUMNS])
+# The audit's issue codes with their group and severity.
+ISSUES = {
+    "MISSING_REQUIRED_COLUMN": ("SCHEMA", "ERROR"),
+    "MISSING_GAME_ID": ("IDENTIFIER", "ERROR"),
+    "MISSING_PARTICIPANT_ID": ("IDENTIFIER", "ERROR"),
+    "DUPLICATE_GAME_PARTICIPANT": ("IDENTIFIER", "ERROR"),
+    "INVALID_GAME_ROW_COUNT": ("STRUCTURE", "ERROR"),
+    "INVALID_PLAYER_ROW_COUNT": ("STRUCTURE", "ERROR"),
+    "INVALID_TEAM_ROW_COUNT": ("STRUCTURE", "ERROR"),
+    "MISSING_PLAYER_ID": ("IDENTIFIER", "WARNING"),
+    "MISSING_TEAM_ID": ("IDENTIFIER", "WARNING"),
+    "MISSING_PLAYER_NAME": ("IDENTIFIER", "WARNING"),
+    "MISSING_TEAM_NAME": ("IDENTIFIER", "WARNING"),
+    "MISSING_POSITION": ("CONTENT", "ERROR"),
+    "MISSING_SIDE": ("CONTENT", "ERROR"),
+    "MISSING_PATCH": ("CONTENT", "ERROR"),
+    "MISSING_PLAYER_CHAMPION": ("CONTENT", "ERROR"),
+    "INVALID_POSITION": ("CONTENT", "ERROR"),
+    "DUPLICATE_TEAM_ROLE": ("STRUCTURE", "ERROR"),
+    "INCOMPLETE_TEAM_ROLES": ("STRUCTURE", "ERROR"),
+    "MISSING_DATE": ("TIME", "ERROR"),
+    "INVALID_DATE": ("TIME", "ERROR"),
+    "MISSING_YEAR": ("TIME", "ERROR"),
+    "INVALID_YEAR": ("TIME", "ERROR"),
+    "YEAR_DATE_MISMATCH": ("TIME", "ERROR"),
+    "INCONSISTENT_GAME_YEAR": ("TIME", "ERROR"),
+    "MISSING_EXPLICIT_GAME_END_TIME": ("TIME", "WARNING"),
+    "MISSING_RESULT": ("CONTENT", "ERROR"),
+    "INVALID_RESULT_VALUE": ("CONTENT", "ERROR"),
+    "INVALID_RESULT_STRUCTURE": ("CONTENT", "ERROR"),
+    "PLAYER_TEAM_RESULT_MISMATCH": ("CONTENT", "ERROR"),
+    "MISSING_TEAM_PICK": ("CONTENT", "WARNING"),
+    "MISSING_TEAM_BAN": ("CONTENT", "WARNING"),
+    "INVALID_TEAM_SIDE_STRUCTURE": ("STRUCTURE", "ERROR"),
+    "MISSING_DATA_COMPLETENESS": ("CONTENT", "WARNING"),
+    "UNKNOWN_DATA_COMPLETENESS": ("CONTENT", "WARNING"),
+    "INVALID_GAME_DATA_COMPLETENESS": ("CONTENT", "WARNING"),
+}
 
 SLOT = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("player_id", T.StringType())]))
 MATCH = T.StructType(

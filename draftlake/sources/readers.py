@@ -53,10 +53,10 @@ def time_reason(platform: str | None = None) -> F.Column:
     """Why a time row proves nothing, null if it does; the first reason counts."""
     start, end = F.col("start_timestamp_ms"), F.col("end_timestamp_ms")
     millis = lambda c: F.unix_millis(F.col(c).try_cast("timestamp"))
-    chain = F.when(F.coalesce(F.col("status"), F.lit("")) != "OK", "STATUS_NOT_OK").when(start.isNull() | end.isNull(), "TIMESTAMP_MISSING").when(start >= end, "START_NOT_BEFORE_END")
-    chain = chain.when(~(F.coalesce(F.col("started_at").rlike(ISO), F.lit(False)) & F.coalesce(F.col("ended_at").rlike(ISO), F.lit(False))), "ISO_INVALID")
-    chain = chain.when((millis("started_at") != start) | (millis("ended_at") != end), "ISO_MISMATCH")
-    return chain.when(~F.col("game_id").startswith(platform), "PLATFORM_MISMATCH") if platform else chain
+    chain = F.when(F.coalesce(F.col("status"), F.lit("")) != "OK", "E_TIME_SOURCE_NOT_SUCCESS").when(start.isNull() | end.isNull(), "E_TIME_MILLISECONDS_INVALID").when(start >= end, "E_TIME_ORDER_INVALID")
+    chain = chain.when(~(F.coalesce(F.col("started_at").rlike(ISO), F.lit(False)) & F.coalesce(F.col("ended_at").rlike(ISO), F.lit(False))), "E_TIME_TIMESTAMP_INVALID")
+    chain = chain.when((millis("started_at") != start) | (millis("ended_at") != end), "E_TIME_SOURCE_CONFLICT")
+    return chain.when(~F.col("game_id").startswith(platform), "E_TIME_IDENTITY_CONFLICT") if platform else chain
 
 
 def load_times(rows: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def load_times(rows: DataFrame) -> DataFrame:
     own = judged.groupBy("game_id").agg(F.countDistinct(pair).alias("n"), F.min(pair).alias("times"), F.min("reason").alias("reason"))
     return own.select(
         "game_id", F.when(F.col("n") == 1, F.timestamp_millis("times.start_timestamp_ms")).alias("started_at"), F.when(F.col("n") == 1, F.timestamp_millis("times.end_timestamp_ms")).alias("ended_at"),
-        F.when(F.col("n") > 1, "TIMES_CONFLICT").when(F.col("n") == 0, F.col("reason")).alias("reason"),
+        F.when(F.col("n") > 1, "E_TIME_RETRIEVAL_CONFLICT").when(F.col("n") == 0, F.col("reason")).alias("reason"),
     )
 
 

@@ -47,7 +47,7 @@ def test_rejections_and_fallback_to_the_stage(spark, feed):
     core, out = run(spark, feed(match_rows("G1") + bad + torn + tied))
     got = {r.gameid: (r.reason, r.detail) for r in out["dispositions"].collect()}
     assert got == {
-        "G1": (None, None), "G2": ("GAME_LINEUP_INCOMPLETE", "CHAMPION_UNMAPPED"), "G3": ("GAME_METADATA_INVALID", "PATCH_CONFLICT"), "G4": ("GAME_DEPENDENCY_INVALID", "WINNER_INVALID"),
+        "G1": (None, None), "G2": ("GAME_LINEUP_INCOMPLETE", "CHAMPION_UNMAPPED,DUPLICATE_GAME_PARTICIPANT_ID,GAME_REQUIRES_TEN_RESOLVED_PLAYERS,GAME_REQUIRES_TEN_UNIQUE_PLAYERS,TEAM_ROLE_SET_INCOMPLETE"), "G3": ("GAME_METADATA_INVALID", "CONFLICTING_PATCH"), "G4": ("GAME_DEPENDENCY_INVALID", "GAME_REQUIRES_ONE_WINNER"),
     }
     game = out["game"].first()
     assert game.game_id == "G1" and game.series_id is None and game.stage_id.startswith("stage_")
@@ -57,7 +57,7 @@ def test_rejections_and_fallback_to_the_stage(spark, feed):
 
 def test_series_codes(spark, feed):
     _, out = run(spark, feed(series(1) + series(3)))
-    assert {tuple(r.codes) for r in out["series_codes"].collect()} == {("SERIES_GAMES_NOT_CONTIGUOUS",)}
+    assert {tuple(r.codes) for r in out["series_codes"].collect()} == {("NON_CONTIGUOUS_SERIES_GAME_NUMBER",)}
 
 
 def test_publish_then_replay_only_skips(spark, feed, tmp_path):

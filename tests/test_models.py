@@ -65,7 +65,7 @@ def test_readers_and_times(spark, tmp_path):
     assert core.columns == list(CORE_COLUMNS) and core.first().gameid == "g"
     (tmp_path / "times.json").write_text('[{"game_id":"a","status":"OK","start_timestamp_ms":1000,"end_timestamp_ms":2000,"started_at":"1970-01-01T00:00:01Z","ended_at":"1970-01-01T00:00:02Z"},{"game_id":"b","status":"LOST"},{"game_id":"c","status":"OK","start_timestamp_ms":1000,"end_timestamp_ms":1000}]')
     times = readers.load_times(readers.read_times(spark, str(tmp_path / "times.json")))
-    assert {r.game_id: r.reason for r in times.collect()} == {"a": None, "b": "STATUS_NOT_OK", "c": "START_NOT_BEFORE_END"}
+    assert {r.game_id: r.reason for r in times.collect()} == {"a": None, "b": "E_TIME_SOURCE_NOT_SUCCESS", "c": "E_TIME_ORDER_INVALID"}
     games = spark.createDataFrame([("a", None, None), ("b", None, None)], "game_id string, started_at timestamp, ended_at timestamp")
     filled, bad = writers.backfill_times(games, times)
     assert filled.where("ended_at IS NOT NULL").count() == 1 and bad.count() == 0

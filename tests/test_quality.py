@@ -28,7 +28,7 @@ def changed(change, rows=None):
         (lambda r: r.pop(), {"INVALID_GAME_ROW_COUNT", "INVALID_TEAM_ROW_COUNT", "INVALID_TEAM_SIDE_STRUCTURE", "INVALID_RESULT_STRUCTURE"}),
         (lambda r: r[2].update(position="xyz"), {"INVALID_POSITION", "INCOMPLETE_TEAM_ROLES"}),
         (lambda r: r[2].update(playerid=" "), {"MISSING_PLAYER_ID"}),
-        (lambda r: r[2].update(champion=""), {"MISSING_CHAMPION"}),
+        (lambda r: r[2].update(champion=""), {"MISSING_PLAYER_CHAMPION"}),
         (lambda r: r[5].update(pick3=""), {"MISSING_TEAM_PICK"}),
         (lambda r: r[11].update(ban5=None), {"MISSING_TEAM_BAN"}),
         (lambda r: r[11].update(side="Blue"), {"INVALID_TEAM_SIDE_STRUCTURE"}),
