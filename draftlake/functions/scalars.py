@@ -1,6 +1,6 @@
 """Column functions of the match data: text keys, stable ids, series keys, dates, numbers.
 
-NFKC and case folding have no built-in; they are Arrow functions, to be applied to distinct names.
+NFKC and case folding have no built-in; they are Arrow functions that only see texts beyond ASCII.
 """
 
 from __future__ import annotations
@@ -29,17 +29,39 @@ def blank_to_null(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def clean_label(texts: pd.Series) -> pd.Series:
-    """NFKC with runs of white space as one blank; null if nothing is left."""
+def _clean(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()) or None if t is not None else None)
 
 
 @F.pandas_udf(T.StringType())
-def canonical_key(texts: pd.Series) -> pd.Series:
-    """The clean label, case-folded."""
+def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()).casefold() or None if t is not None else None)
 
 
+def _ascii(text: Column) -> Column:
+    return text.rlike(r"^[\x00-\x7F]*\z")
+
+
+def _plain(text: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(text, r"[\x09-\x0D\x1C-\x20]+", " ")), F.lit(""))
+
+
+def clean_label(text: Column) -> Column:
+    """NFKC with runs of white space as one blank; null if nothing is left. Only texts that are not ASCII go to Python."""
+    return F.when(_ascii(text), _plain(text)).otherwise(_clean(F.when(~_ascii(text), text)))
+
+
+def canonical_key(text: Column) -> Column:
+    """The clean label, case-folded."""
+    return F.when(_ascii(text), F.lower(_plain(text))).otherwise(_folded(F.when(~_ascii(text), text)))
+
+
+def media_url(reference: Column, kind: str) -> Column:
+    """The address of an image in the kind's folder of assets; null for any other path."""
+    name = F.regexp_extract(reference, rf"(?i)^assets[/\\]{kind}[/\\]([^/\\]+\.(?:png|jpe?g|webp|gif))\z", 1)
+    return F.when(name != "", F.concat(F.lit(f"/api/media/{kind}/"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))))
+
+
 def stable_id(prefix: str, *parts: Column, length: int = 64) -> Column:
     """A prefix and the SHA-256 of the parts (null: <NULL>), cut to ``length`` characters."""
     joined = F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("<NULL>")) for p in parts))

@@ -13,15 +13,12 @@ IN_GAME_ROLES = ("Top", "Jungle", "Mid", "Bot", "Support")
 
 
 def search(entities: DataFrame, name: str, typed: str, tie: str, most: int = 40) -> DataFrame:
-    """Entities by rank: exact (0), prefix (1), a word's prefix (2), substring (3); then by length; at most ``most``."""
-    text, typed = F.lower(name), typed.lower()
-    rank = (
-        F.when(text == typed, 0)
-        .when(text.startswith(typed), 1)
-        .when(text.rlike(r"(^|[^a-z0-9])\Q" + typed + r"\E"), 2)
-        .when(text.contains(typed), 3)
-    )
-    return entities.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", F.length(name), tie).limit(most)
+    """Entities by rank: equal to the name's words or initials (0), a prefix (1), of two signs or more a prefix of the initials (2),
+    a part (3); then by the length of the words, then by ``tie``; at most ``most``. Words are without case, marks and signs."""
+    words, term = S.search_words(F.col(name)), F.array_join(S.search_words(F.lit(typed)), "")
+    joined, initials = F.array_join(words, ""), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    rank = F.when((joined == term) | (initials == term), 0).when(joined.startswith(term), 1).when((F.length(term) >= 2) & initials.startswith(term), 2).when(joined.contains(term), 3)
+    return entities.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", F.length(joined), tie).limit(most)
 
 
 def removable(current: DataFrame, key: str, keep: DataFrame, references: list[DataFrame]) -> DataFrame:

@@ -307,14 +307,16 @@ def canonical_order(t) -> DataFrame:
     return t("orders").select("o_orderkey", rank.alias("rank"), "o_orderpriority").orderBy("rank", "o_orderpriority", "o_orderkey")
 
 
-SEARCH = "CASE WHEN lower(p_name) = 'a' THEN 0 WHEN lower(p_name) LIKE 'a%' THEN 1 WHEN regexp_matches(lower(p_name), '(^|[^a-z0-9])a') THEN 2 WHEN contains(lower(p_name), 'a') THEN 3 END"
+WORDS = "list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '')"
+NAME, INITIALS = f"array_to_string({WORDS}, '')", f"array_to_string(list_transform({WORDS}, lambda w: w[1:1]), '')"
+SEARCH = f"CASE WHEN {NAME} = 're' OR {INITIALS} = 're' THEN 0 WHEN {NAME} LIKE 're%' THEN 1 WHEN {INITIALS} LIKE 're%' THEN 2 WHEN contains({NAME}, 're') THEN 3 END"
 
 
-@query("o06_search_rank", f"SELECT p_partkey, p_name, {SEARCH}::INTEGER AS rank FROM part WHERE {SEARCH} IS NOT NULL ORDER BY rank, length(p_name), p_partkey LIMIT 40")
+@query("o06_search_rank", f"SELECT p_partkey, p_name, {SEARCH}::INTEGER AS rank FROM part WHERE {SEARCH} IS NOT NULL ORDER BY rank, length({NAME}), p_partkey LIMIT 40")
 def search_rank(t) -> DataFrame:
     from draftlake.operators.reference_data import search
 
-    return search(t("part").select("p_partkey", "p_name"), "p_name", "a", "p_partkey").select("p_partkey", "p_name", "rank")
+    return search(t("part").select("p_partkey", "p_name"), "p_name", "re", "p_partkey").select("p_partkey", "p_name", "rank")
 
 
 @query("o08_topk", "SELECT c_custkey, sum_price FROM (SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS sum_price FROM orders GROUP BY o_custkey) ORDER BY sum_price DESC, c_custkey LIMIT 20")

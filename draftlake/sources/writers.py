@@ -1,4 +1,4 @@
-"""Sinks: versions of the target tables behind a pointer, reports, model bundles.
+"""Sinks: versions of the target tables behind a pointer, and reports.
 
 A version is a folder that is complete before the pointer names it, so a lost executor or driver
 leaves the old version in place. Paths are Hadoop paths; files are only written by Spark.
@@ -52,11 +52,12 @@ def write_report(frame: DataFrame, path: str, order: list[str]) -> None:
 
 
 def markdown(frame: DataFrame, most: int = 1000) -> str:
-    """A Markdown table of at most ``most`` rows of aggregates."""
+    """A Markdown table of rows of aggregates; if there are over ``most``, a last line says that more were left out."""
     from draftlake.functions.scalars import markdown_cell
 
-    rows = frame.select(*(markdown_cell(F.col(c).cast("string")).alias(c) for c in frame.columns)).limit(most).collect()
-    return "\n".join(["| " + " | ".join(frame.columns) + " |", "| " + " | ".join("---" for _ in frame.columns) + " |", *("| " + " | ".join(r) + " |" for r in rows)])
+    rows = frame.select(*(markdown_cell(F.col(c).cast("string")).alias(c) for c in frame.columns)).limit(most + 1).collect()
+    lines = ["| " + " | ".join(frame.columns) + " |", "| " + " | ".join("---" for _ in frame.columns) + " |", *("| " + " | ".join(r) + " |" for r in rows[:most])]
+    return "\n".join(lines + [f"\nOnly the first {most} rows are shown."] * (len(rows) > most))
 
 
 def append_new(rows: DataFrame, existing: DataFrame, path: str, keys: list[str]) -> None:
