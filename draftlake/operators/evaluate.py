@@ -22,6 +22,32 @@ def content_key(*columns: str) -> F.Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")) for c in columns)), 256)
 
 
+CONTEXT = ("game_id", "blue_team_id", "red_team_id", "patch", "history_cutoff_at")
+
+
+def create(scored: DataFrame, model_id: str, phase: str, parents: DataFrame | None = None) -> DataFrame:
+    """Evaluations of scored targets (CONTEXT columns and p): context and content keys, the id, and for POST the parent.
+
+    ``parents`` are the PRE evaluations; a POST belongs to the one of its context and is left out without it.
+    """
+    rows = scored.select(*CONTEXT, "p").withColumn("context_key", content_key(*CONTEXT)).withColumns({"model_id": F.lit(model_id), "phase": F.lit(phase)})
+    if parents is None:
+        rows = rows.withColumn("parent_id", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(parents.select("context_key", "model_id", F.col("evaluation_id").alias("parent_id")), ["context_key", "model_id"])
+    rows = rows.withColumn("content_sha256", content_key("context_key", "model_id", "phase", "parent_id", "p"))
+    return rows.withColumn("evaluation_id", F.concat(F.lower(F.col("phase")), F.lit("-"), F.substring("content_sha256", 1, 32)))
+
+
+def read_back(saved: DataFrame, warnings: DataFrame, ids: DataFrame) -> DataFrame:
+    """Saved evaluations of the ids asked for, with their warnings in order, and the POST evaluations that belong to them."""
+    said = warnings.groupBy("evaluation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "code"))), lambda w: w["code"]).alias("warnings"))
+    posts = saved.where("phase = 'POST'").groupBy(F.col("parent_id").alias("evaluation_id")).agg(F.sort_array(F.collect_list("evaluation_id")).alias("post_ids"))
+    none = F.array().cast("array<string>")
+    out = saved.join(ids.select("evaluation_id").distinct(), "evaluation_id", "left_semi").join(said, "evaluation_id", "left").join(posts, "evaluation_id", "left")
+    return out.withColumns({"warnings": F.coalesce("warnings", none), "post_ids": F.coalesce("post_ids", none)})
+
+
 def save(new: DataFrame, stored: DataFrame, key: str = "idempotency_key", content: str = "content_sha256") -> tuple[DataFrame, DataFrame]:
     """(rows to append, conflicts): a key that is stored with the same content is skipped, with another a conflict; of equal keys in one batch the first by time counts."""
     first = new.withColumn("n__", F.row_number().over(Window.partitionBy(key).orderBy("created_at", content))).where("n__ = 1").drop("n__")

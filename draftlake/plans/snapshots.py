@@ -81,3 +81,45 @@ def split_check(t) -> DataFrame:
     m = settled(matches(t).where("ended_at > history_cutoff_at").withColumn("y_blue_win", (F.col("winner_team_id") == F.col("blue_team_id")).cast("int")), "samples")
     split = P.temporal_split(m.where(_k() % 50 != 0), "history_cutoff_at")
     return R.split_issues(split.select("game_id", "partition", "purged", "y_blue_win"), m)
+
+
+@query("e01_evaluations", f"""WITH {SQL}, c AS (SELECT game_id, sha256(concat_ws(chr(31), game_id, blue, red, '15.01', strftime(cutoff, '%Y-%m-%d %H:%M:%S'))) AS context_key, (k % 97)::INTEGER AS p FROM m),
+    e AS (SELECT *, sha256(concat_ws(chr(31), context_key, 'm1', 'PRE', '<NULL>', p::VARCHAR)) AS h FROM c)
+    SELECT game_id, context_key, 'pre-' || h[1:32] AS pre_id, CASE WHEN p % 2 = 0 THEN 'post-' || sha256(concat_ws(chr(31), context_key, 'm1', 'POST', 'pre-' || h[1:32], (p + 1)::VARCHAR))[1:32] END AS post_id FROM e""")
+def evaluations(t) -> DataFrame:
+    """PRE evaluations of all matches and POST of every second, by content keys."""
+    from draftlake.operators import evaluate as E
+
+    m = matches(t).withColumn("p", (_k() % 97).cast("int"))
+    pre = settled(E.create(m, "m1", "PRE"), "pre-evaluations")
+    post = E.create(m.where("p % 2 = 0").withColumn("p", F.col("p") + 1), "m1", "POST", pre)
+    return pre.join(post.select("game_id", F.col("evaluation_id").alias("post_id")), "game_id", "left").select("game_id", "context_key", F.col("evaluation_id").alias("pre_id"), "post_id")
+
+
+@query("s24_read_back", f"""WITH {SQL} SELECT 'e' || k AS evaluation_id, array_to_string(list_filter(['W_B', 'W_A'], lambda w: (w = 'W_B' AND k % 2 = 0) OR (w = 'W_A' AND k % 3 = 0)), ',') AS warnings, CASE WHEN k % 4 = 0 THEN 'p' || k ELSE '' END AS post_ids FROM m WHERE k % 7 = 0""")
+def read_back(t) -> DataFrame:
+    from draftlake.operators import evaluate as E
+
+    k = matches(t).select(_k().alias("k"))
+    name = lambda p: F.concat(F.lit(p), F.col("k").cast("string"))
+    pre = k.select(name("e").alias("evaluation_id"), F.lit("PRE").alias("phase"), F.lit(None).cast("string").alias("parent_id"))
+    saved = pre.union(k.where("k % 4 = 0").select(name("p"), F.lit("POST"), name("e")))
+    warnings = k.where("k % 3 = 0").select(name("e").alias("evaluation_id"), F.lit(1).alias("position"), F.lit("W_A").alias("code")).union(k.where("k % 2 = 0").select(name("e"), F.lit(0), F.lit("W_B")))
+    found = E.read_back(saved, warnings, k.where("k % 7 = 0").select(name("e").alias("evaluation_id")))
+    return found.select("evaluation_id", F.array_join("warnings", ",").alias("warnings"), F.array_join("post_ids", ",").alias("post_ids"))
+
+
+@query("s14_as_text", "SELECT o_orderkey::VARCHAR AS o_orderkey, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END, '') AS o_orderpriority FROM orders")
+def as_text(t) -> DataFrame:
+    from draftlake.sources.evidence import as_text as texts
+
+    return texts(t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("o_orderpriority")))
+
+
+@query("f16_media_url", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '/api/media/teams/' || replace(p_name, ' ', '%20') || '.png' END AS url FROM part")
+def media(t) -> DataFrame:
+    from draftlake.functions.scalars import media_url
+
+    r = F.col("p_partkey") % 4
+    path = F.when(r == 0, F.concat(F.lit("assets/teams/"), "p_name", F.lit(".png"))).when(r == 1, F.concat(F.lit("assets/players/"), "p_name", F.lit(".png"))).when(r == 2, F.concat(F.lit("assets/teams/../"), "p_name", F.lit(".png"))).otherwise(F.concat(F.lit("assets/teams/"), "p_name", F.lit(".exe")))
+    return t("part").select("p_partkey", media_url(path, "teams").alias("url"))
