@@ -46,13 +46,19 @@ def _plain(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"[\x09-\x0D\x1C-\x20]+", " ")), F.lit(""))
 
 
-def clean_label(text: Column) -> Column:
+def _column(text: Column | str) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
+def clean_label(text: Column | str) -> Column:
     """NFKC with runs of white space as one blank; null if nothing is left. Only texts that are not ASCII go to Python."""
+    text = _column(text)
     return F.when(_ascii(text), _plain(text)).otherwise(_clean(F.when(~_ascii(text), text)))
 
 
-def canonical_key(text: Column) -> Column:
+def canonical_key(text: Column | str) -> Column:
     """The clean label, case-folded."""
+    text = _column(text)
     return F.when(_ascii(text), F.lower(_plain(text))).otherwise(_folded(F.when(~_ascii(text), text)))
 
 
