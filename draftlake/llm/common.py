@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +70,19 @@ def join_held(rows: DataFrame, names: DataFrame, key: str, part: int = 1000) ->
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name (its own lookup takes a dot in a name for a field); ``work`` sees the names of ``df``."""
+    names = df.columns
+    plain = [f"c{i}" for i in range(len(kind))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=plain)
+
+    fields = [T.StructField(c, f.dataType) for c, f in zip(plain, kind.fields, strict=True)]
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, T.StructType(fields)).toDF(*kind.names)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name for a helper column that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

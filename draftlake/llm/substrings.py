@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from draftlake.llm.common import free_name, join_held, stored, utf8
+from draftlake.llm.common import free_name, join_held, map_arrow, stored, utf8
 
 WINDOW, GRAM = 13, 5
 FACTOR = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
@@ -60,6 +61,7 @@ class Parsed:
         n = len(self.words)
         self.windows = max(0, n - WINDOW + 1)
         if not self.windows:
+            self.begins = self.ends = self.anchors = self.phrases = np.empty(0, np.int64)
             return
         power, inverse = powers(n)
         one = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, n)
@@ -78,20 +80,24 @@ class Parsed:
 
     def of_windows(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, anchor and hash of each window of some phrases."""
+        if not len(phrases):
+            return (np.empty(0, np.int64),) * 3
         count = self.ends[phrases] - self.begins[phrases]
         start = np.repeat(self.begins[phrases] - np.cumsum(count) + count, count) + np.arange(count.sum())
         return start, np.repeat(self.anchors[phrases], count), self.hashes(start, WINDOW).view(np.int64)
 
 
-def _packed(level: int = 3) -> Callable:
-    """Texts compressed: they are dealt by document twice."""
+def _packed(at: int, level: int = 3) -> Callable:
+    """Texts (column ``at``) compressed: they are dealt by document twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=level).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([pack(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.binary())], names=batch.schema.names)
+            columns = list(batch.columns)
+            columns[at] = pa.array([pack(x.as_py()) for x in columns[at]], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
 
@@ -124,8 +130,6 @@ def _border_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, anchors, hashes = [], [], []
         for i, (text, listed) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
             own = Parsed(unpack(text.as_py()))
-            if not own.windows:
-                continue
             wanted = np.flatnonzero(np.isin(own.phrases, listed.values.to_numpy()))
             _, a, h = own.of_windows(wanted)
             h, first = np.unique(h, return_index=True)
@@ -242,23 +246,20 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     plain = docs.select(F.col(id_col).alias("doc"), utf8(F.col(text_col)).alias("text"))
     frequent = _frequent(plain.sample(SAMPLE, seed=1).mapInArrow(_phrase_rows, f"doc {kind}, a long, h long"))
     index = stored(phrase_index(plain, frequent), "copied-phrases")
-    borders = stored(border_copies(plain.mapInArrow(_packed(), f"doc {kind}, text binary"), index), "copied-windows")
+    borders = stored(border_copies(plain.mapInArrow(_packed(1), f"doc {kind}, text binary"), index), "copied-windows")
     copies = index.where("first < doc").select("doc", F.struct("h", "first").alias("phrase"), F.lit(None).cast(f"struct<h:bigint,first:{kind}>").alias("window"))
     copies = copies.union(borders.select("doc", F.lit(None).cast(f"struct<h:bigint,first:{kind}>"), F.struct("h", "first")))
     own, phrases, windows, n_words, factors = (free_name(docs, c) for c in ("copies_of", "copied_phrases", "copied_windows", "words_before", "copied_factors"))
     lists = copies.groupBy(F.col("doc").alias(own)).agg(F.collect_list("phrase").alias(phrases), F.collect_list("window").alias(windows))
-    names = docs.columns
-    at = names.index(text_col)
-    last = docs.select(*(F.col(f"`{c}`") for c in names if c != text_col), utf8(F.col(text_col)).alias(text_col))
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in names}
-    schema = lambda cols: ", ".join(f"`{c}` {k}" for c, k in cols.items())
-    rest = {c: k for c, k in kinds.items() if c != text_col}
-    packed = last.mapInArrow(_packed(), schema(rest | {text_col: "binary"}))
-    both = packed.join(lists, F.col(f"`{id_col}`") == F.col(own), "left").select(*(F.col(f"`{c}`") for c in names), phrases, windows)
-    factor = f"array<struct<start:bigint,length:bigint,source:{kind}>>"
-    out = kinds | {text_col: "string", n_words: "bigint", factors: factor}
-    arrow = _arrow_factors(docs.schema[id_col].dataType)
-    return both.mapInArrow(_rewritten(list(out), at, arrow), schema(out)), n_words, factors
+    at = docs.columns.index(text_col)
+    fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields]
+    raw = docs.withColumn(text_col, utf8(F.col(text_col)))
+    packed = map_arrow(raw, _packed(at), T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in fields]))
+    both = packed.join(lists, F.col(f"`{id_col}`") == F.col(own), "left").drop(own)
+    id_type = docs.schema[id_col].dataType
+    factor = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("source", id_type)])
+    out = T.StructType([*fields, T.StructField(n_words, T.LongType()), T.StructField(factors, T.ArrayType(factor))])
+    return map_arrow(both, _rewritten(out.names, at, _arrow_factors(id_type)), out), n_words, factors
 
 
 def _arrow_factors(id_type) -> pa.DataType:
