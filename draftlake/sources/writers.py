@@ -1,6 +1,6 @@
-"""Sinks: versions of the target tables behind a pointer, and reports.
+"""Sinks: versions of the target tables behind a log of commits, and reports.
 
-A version is a folder that is complete before the pointer names it, so a lost executor or driver
+A version is a folder that is complete before a commit names it, so a lost executor or driver
 leaves the old version in place. Paths are Hadoop paths; files are only written by Spark.
 """
 
@@ -11,30 +11,26 @@ from pyspark.sql import functions as F
 
 from draftlake import schemas as C
 from draftlake.operators import reconcile as R
-from draftlake.sources.readers import read_snapshot
+from draftlake.sources.versions import Log, commit, only_skips
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """The latest version that was published."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_published")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    last = spark.read.parquet(f"{root}/_published").agg(F.max_by("version", "sequence")).first()
-    return last[0] if last else None
-
-
-def publish(spark: SparkSession, root: str, version: str, planned: dict[str, DataFrame], snapshot: dict[str, DataFrame]) -> None:
-    """Write the nine tables after ``planned`` as a new version, check that a replay would only skip, then name it current."""
-    folder = f"{root}/{version}"
-    for table, keys in C.TARGET_KEYS.items():
-        R.applied(planned[table], snapshot[table], list(keys)).write.mode("errorifexists").parquet(f"{folder}/{table}")
-    written = read_snapshot(spark, folder)
-    for table, keys in C.TARGET_KEYS.items():
-        again = R.actions(planned[table].drop("action"), written[table], list(keys)).where(F.col("action") != R.SKIP)
-        if not again.isEmpty():
-            raise RuntimeError(f"{table} of {version} is not what was planned; it stays unpublished")
-    sequence = spark.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("sequence"))
-    sequence.coalesce(1).write.mode("append").parquet(f"{root}/_published")
+    """The folder of the latest version that was published."""
+    log = Log(spark, root)
+    last = log.latest()
+    return log.entry(last)["folder"] if last else None
+
+
+def publish(spark: SparkSession, root: str, version: str, planned: dict[str, DataFrame], snapshot: dict[str, DataFrame], base: int | None = None) -> int:
+    """Write the nine tables after ``planned`` as a new version in the folder ``version``, check that a replay would only skip, and commit it.
+
+    ``base`` is the commit that the plan was made on (None: the latest as this begins). If another version has been committed since, this one stays
+    unpublished and fails with E_VERSION_BASE_MOVED; ``versions.apply`` plans again instead.
+    """
+    base = Log(spark, root).latest() if base is None else base
+    tables = {t: (R.applied(planned[t], snapshot[t], list(keys)), list(keys)) for t, keys in C.TARGET_KEYS.items()}
+    replay = lambda back: only_skips({t: R.actions(planned[t].drop("action"), back[t], list(k)) for t, k in C.TARGET_KEYS.items()})
+    return commit(spark, root, base, tables, version, replay)
 
 
 def backfill_times(games: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame]:
