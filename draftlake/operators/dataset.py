@@ -104,12 +104,13 @@ def pre_features(targets: DataFrame, history: DataFrame, recent: int = RECENT, s
     """
     team = _sided(history, "ended_at", "winner_team_id").withColumn("won", F.col("winner_team_id") == F.col("team"))
     asked = _sided(targets, "history_cutoff_at")
-    game = F.struct("game_id", "won", "players")
-    seen = last_n_before(team, asked, ["team"], recent + 1, {"games": F.collect_list(game)}, cutoff="history_cutoff_at")
+    # players only of the last game, and of the one before in case that the last is the target's own
+    states = {"games": F.collect_list(F.struct("game_id", "won")), "rosters": (2, F.collect_list(F.struct("game_id", "players")))}
+    seen = last_n_before(team, asked, ["team"], recent + 1, states, cutoff="history_cutoff_at")
     seen = last_n_before(team, seen, ["team", "side"], side + 1, {"side_games": F.collect_list(F.struct("game_id", "won"))}, cutoff="history_cutoff_at")
-    games, own_side = (F.coalesce(F.col(c), F.array()) for c in ("games", "side_games"))
+    games, own_side, rosters = (F.coalesce(F.col(c), F.array()) for c in ("games", "side_games", "rosters"))
     own = F.col("game_id")
-    last = F.get(_last(games, 1, own), F.lit(0))
+    last = F.get(_last(rosters, 1, own), F.lit(0))
     stats = seen.select(
         "game_id", "side", _stat(_last(games, recent, own)).alias("recent_form"), _stat(_last(own_side, side, own)).alias("side_win_rate"),
         F.struct(
@@ -257,7 +258,7 @@ def paired_dataset(
     counted = targets.join(targets.groupBy("game_id").agg(F.count(F.lit(1)).alias("copies__")), "game_id")
     cutoffs = resolve_cutoffs(targets, records, approved, protocol).withColumnRenamed("reason", "cutoff_reason__")
     rows = counted.join(cutoffs, "game_id")
-    clash = source_conflicts(history, targets)
+    clash = source_conflicts(history.where("ended_at IS NOT NULL"), targets)  # a match without an end is no accepted history
     first = clash.agg(F.min(F.struct("ended_at", "game_id")).alias("c__"))  # one row; of another id for the match itself
     others = clash.groupBy("game_id").agg(F.min("ended_at").alias("ended_at"))
     second = others.crossJoin(F.broadcast(first)).where("game_id <> c__.game_id").agg(F.min("ended_at").alias("d__"))

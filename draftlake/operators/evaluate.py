@@ -49,12 +49,14 @@ def read_back(saved: DataFrame, warnings: DataFrame, ids: DataFrame) -> DataFram
 
 
 def save(new: DataFrame, stored: DataFrame, key: str = "idempotency_key", content: str = "content_sha256") -> tuple[DataFrame, DataFrame]:
-    """(rows to append, conflicts): a key that is stored with the same content is skipped, with another a conflict; of equal keys in one batch the first by time counts."""
-    first = new.withColumn("n__", F.row_number().over(Window.partitionBy(key).orderBy("created_at", content))).where("n__ = 1").drop("n__")
+    """(rows to append, conflicts): a key that is stored with the same content is skipped. Of the rows of one key in a batch the first by time
+    counts; a key is a conflict if any of its rows has another content than the one that is stored or counts.
+    """
+    order = Window.partitionBy(key).orderBy("created_at", content)
     known = stored.select(key, F.col(content).alias("stored__"))
-    both = first.join(known, key, "left")
-    conflicts = both.where(F.col("stored__").isNotNull() & (F.col("stored__") != F.col(content))).select(key, F.lit(STORAGE_CONFLICT).alias("code"))
-    return both.where("stored__ IS NULL").drop("stored__"), conflicts
+    both = new.withColumns({"n__": F.row_number().over(order), "first__": F.first(content).over(order)}).join(known, key, "left")
+    conflicts = both.where(F.col(content) != F.coalesce("stored__", "first__")).select(key, F.lit(STORAGE_CONFLICT).alias("code")).distinct()
+    return both.where("n__ = 1 AND stored__ IS NULL").select(*new.columns), conflicts
 
 
 def with_activity(saved: DataFrame, invalidated: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,9 @@ aggregate of the last n rows up to it, and one pass over history and targets tog
 each target the last such state strictly before its cutoff. Cost is a sort of history and targets by
 key, never targets x history. Rows of one moment are ordered by descending id, so that of equal
 times the smallest id counts as the latest, as in ``ORDER BY ended_at DESC, game_id ASC``.
+
+A key of over ``BUCKET_ROWS`` rows is cut into stretches of time, and each stretch is given the last n rows of those before it (from a
+table of n rows a stretch): then a task works on one stretch, whatever share of the history one key has.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftlake.session import settled
+
 TARGET_GAME, MISSING_ENDED_AT, END_NOT_BEFORE_CUTOFF = "TARGET_GAME", "MISSING_ENDED_AT", "END_NOT_BEFORE_CUTOFF"
 
 
@@ -26,31 +31,81 @@ def exclusion_reason(game_id: Column, ended_at: Column, target_id: Column, cutof
     )
 
 
+BUCKET_ROWS = 1_000_000
+
+
+def by_stretches(history: DataFrame, targets: DataFrame, keys: Sequence[str], n: int, ts: str, id_col: str, cutoff: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """History and targets with ``stretch__``, and the last n rows before each stretch of a large key among its own.
+
+    Stretches are cut at times, so rows of one moment stay together. Keys of up to ``bucket_rows`` rows are one stretch.
+    """
+    zero = F.lit(0).alias("stretch__")
+    own = history.where(F.col(ts).isNotNull())
+    if history.count() <= bucket_rows:
+        return history.select("*", zero), targets.select("*", zero)
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows__")).where(F.col("rows__") > bucket_rows)
+    hot = settled(sizes.withColumn("cuts__", F.ceil(F.col("rows__") / bucket_rows).cast("int")), "hot-keys")  # fewer than all rows / bucket_rows
+    most = hot.agg(F.max("cuts__")).first()[0]
+    if not most:
+        return history.select("*", zero), targets.select("*", zero)
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    of_hot = own.alias("o").join(F.broadcast(hot.select(*keys).alias("h")), same("o", "h"), "left_semi")
+    marks = [i / most for i in range(1, most)]
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = settled(of_hot.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(at, marks, 10_000)).alias("cuts__")), "hot-cuts")
+
+    def placed(rows: DataFrame, time: str) -> DataFrame:
+        at = F.unix_micros(F.col(f"o.{time}").cast("timestamp"))
+        found = rows.alias("o").join(F.broadcast(cuts.alias("h")), same("o", "h"), "left")
+        return found.select("o.*", F.coalesce(F.size(F.filter("h.cuts__", lambda c: c < at)), F.lit(0)).alias("stretch__"))
+
+    rows = placed(own, ts)
+    recent = Window.partitionBy(*keys, "stretch__").orderBy(F.desc(ts), id_col)
+    tails = placed(of_hot, ts).withColumn("n__", F.row_number().over(recent)).where(F.col("n__") <= n).drop("n__")
+    # one row a stretch: its tail, and the newest n of its own and all tails before it
+    row = F.struct(F.col(ts).alias("at__"), F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row__"))
+    lists = tails.groupBy(*keys, "stretch__").agg(F.collect_list(row).alias("tail__"))
+    empty = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.size("cuts__"))).alias("stretch__"))
+    lists = empty.alias("o").join(lists.alias("h"), [*same("o", "h"), F.col("o.stretch__") == F.col("h.stretch__")], "left").select("o.*", "h.tail__")
+    earlier = Window.partitionBy(*keys).orderBy("stretch__").rowsBetween(-n, -1)
+    full = lists.withColumn("before__", F.flatten(F.collect_list("tail__").over(earlier)))
+    carried = full.select(*keys, "stretch__", F.explode("before__").alias("c__")).select("stretch__", "c__.row__.*")
+    newest = Window.partitionBy(*keys, "stretch__").orderBy(F.desc(ts), id_col)
+    carried = carried.withColumn("n__", F.row_number().over(newest)).where(F.col("n__") <= n).drop("n__")
+    return rows.unionByName(carried), placed(targets, cutoff)
+
+
 def last_n_before(
     history: DataFrame,
     targets: DataFrame,
     keys: Sequence[str],
     n: int | None,
-    states: dict[str, Column],
+    states: dict[str, Column | tuple[int, Column]],
     ts: str = "ended_at",
     id_col: str = "game_id",
     cutoff: str = "cutoff",
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """``targets`` with each of ``states``, an aggregate of the last n (None: all) rows of its keys before its cutoff.
 
-    States are null where there is no such row. Targets keep all their columns and may repeat; null
-    keys match null keys.
+    A state may be a pair of a smaller n of its own and the aggregate. States are null where there is no such row. Targets
+    keep all their columns and may repeat; null keys match null keys.
     """
+    columns = targets.columns
+    if n is not None:
+        history, targets = by_stretches(history, targets, keys, n, ts, id_col, cutoff, bucket_rows)
+        keys = [*keys, "stretch__"]
     order = Window.partitionBy(*keys).orderBy(ts, F.desc(id_col))
-    frame = order.rowsBetween(Window.unboundedPreceding if n is None else 1 - n, Window.currentRow)
+    frame = lambda m: order.rowsBetween(Window.unboundedPreceding if m is None else 1 - m, Window.currentRow)
+    over = {s: e if isinstance(e, tuple) else (n, e) for s, e in states.items()}
     own = history.where(F.col(ts).isNotNull())
     own = own.select(
         *keys,
         F.unix_micros(F.col(ts).cast("timestamp")).alias("at__"),
-        F.struct(*(e.over(frame).alias(s) for s, e in states.items())).alias("state__"),
+        F.struct(*(e.over(frame(m)).alias(s) for s, (m, e) in over.items())).alias("state__"),
         (~F.lead(ts).over(order).eqNullSafe(F.col(ts))).alias("last__"),
     ).where("last__")
-    asked = targets.select(*keys, F.unix_micros(F.col(cutoff).cast("timestamp")).alias("at__"), F.struct(*(F.col(c) for c in targets.columns)).alias("row__"))
+    asked = targets.select(*keys, F.unix_micros(F.col(cutoff).cast("timestamp")).alias("at__"), F.struct(*(F.col(c) for c in columns)).alias("row__"))
     both = own.select(*keys, "at__", "state__").unionByName(asked, allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy("at__").rangeBetween(Window.unboundedPreceding, -1)
     seen = both.withColumn("seen__", F.last("state__", ignorenulls=True).over(before)).where("row__ IS NOT NULL")

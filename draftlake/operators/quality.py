@@ -194,6 +194,8 @@ def audit(feed: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
     skipped = {n: gone for n, (_, needs) in RULES.items() if (gone := missing_columns(feed, needs))}
     parts = [schema_issues(feed).drop("detail").withColumn("rule_ord", F.lit(0))]
     parts += [rule(feed).withColumn("rule_ord", F.lit(i)) for i, (n, (rule, _)) in enumerate(RULES.items(), 1) if n not in skipped]
+    if "time" not in skipped:
+        parts.append(end_time_issues(feed).withColumn("rule_ord", F.lit(list(RULES).index("time") + 1)))
     return reduce(DataFrame.unionByName, parts), skipped
 
 

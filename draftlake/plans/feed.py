@@ -66,7 +66,8 @@ issues AS (
   UNION ALL SELECT gameid, 'INVALID_TEAM_SIDE_STRUCTURE' FROM g WHERE t <> 2 OR sides <> 2 UNION ALL SELECT gameid, 'INVALID_RESULT_VALUE' FROM c WHERE result = '2' UNION ALL SELECT gameid, 'INVALID_RESULT_STRUCTURE' FROM g WHERE NOT (t = 2 AND won = 1 AND lost = 1)
   UNION ALL SELECT c.gameid, 'PLAYER_TEAM_RESULT_MISMATCH' FROM c JOIN w ON c.gameid = w.gameid AND c.side = w.side WHERE c.kind = 'player' AND c.result <> w.r
   UNION ALL SELECT gameid, 'INVALID_DATE' FROM c WHERE date = 'someday' UNION ALL SELECT gameid, 'INVALID_YEAR' FROM c WHERE contains(year, '.') UNION ALL SELECT gameid, 'YEAR_DATE_MISMATCH' FROM c WHERE date <> 'someday' AND NOT contains(year, '.') AND year <> year(d)::VARCHAR
-  UNION ALL SELECT gameid, 'INCONSISTENT_GAME_YEAR' FROM g WHERE years > 1 UNION ALL SELECT gameid, 'UNKNOWN_DATA_COMPLETENESS' FROM c WHERE datacompleteness = 'other' UNION ALL SELECT gameid, 'INVALID_GAME_DATA_COMPLETENESS' FROM g WHERE dc > 1)
+  UNION ALL SELECT gameid, 'INCONSISTENT_GAME_YEAR' FROM g WHERE years > 1 UNION ALL SELECT gameid, 'UNKNOWN_DATA_COMPLETENESS' FROM c WHERE datacompleteness = 'other' UNION ALL SELECT gameid, 'INVALID_GAME_DATA_COMPLETENESS' FROM g WHERE dc > 1
+  UNION ALL SELECT NULL, 'MISSING_EXPLICIT_GAME_END_TIME')
 """
 LISTED = "(VALUES " + ", ".join(f"('{c}', '{g}', '{s}')" for c, (g, s) in C.ISSUES.items()) + ") AS v(issue_code, issue_group, severity)"
 

@@ -34,7 +34,7 @@ def match_rows(game="G1", blue="TB", red="TR", won="Blue", number=1, **over):
     rows = []
     meta = {
         "gameid": game, "datacompleteness": "complete", "url": "", "league": "LCK", "year": "2025", "split": "Spring", "playoffs": "0",
-        "date": "2025-03-01 10:00:00", "game": str(number), "patch": "15.01", "gamelength": "1800",
+        "date": "2025-03-01 10:00:00", "game": str(number), "patch": "15.01", "gamelength": "1800", "ended_at": "2025-03-01 10:30:00",
     }
     meta |= {f"{k}{i}": f"C{i}" for k in ("pick", "ban") for i in range(1, 6)} | over
     for side, team, first in (("Blue", blue, 1), ("Red", red, 6)):
