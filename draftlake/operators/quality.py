@@ -11,12 +11,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake import schemas as C
 from draftlake.functions import scalars as S
 from draftlake.operators.groups import repeated
+from draftlake.session import settled
 
 
 @dataclass
@@ -203,6 +204,21 @@ def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("issue_code", "issue_group", "severity").agg(F.count(F.lit(1)).alias("n_issues"), F.countDistinct("gameid").alias("n_games"))
 
 
+def samples(issues: DataFrame, k: int = 5) -> DataFrame:
+    """``summary`` with the first k match ids of each code (``sample``).
+
+    Ids are made distinct once, for the counts and the samples alike; of a code, a task sends on no more than k ids to be ranked.
+    """
+    ids = issues.groupBy("issue_code", "issue_group", "severity", "gameid").agg(F.count(F.lit(1)).alias("n"))
+    ids = settled(ids, "issue-ids")
+    keys = ["issue_code", "issue_group", "severity"]
+    counts = ids.groupBy(*keys).agg(F.sum("n").alias("n_issues"), F.count("gameid").alias("n_games"))
+    first = Window.partitionBy(*keys).orderBy("gameid")
+    few = ids.where("gameid IS NOT NULL").withColumn("at__", F.row_number().over(first)).where(F.col("at__") <= k)
+    lists = few.groupBy(*keys).agg(F.sort_array(F.collect_list("gameid")).alias("sample"))
+    return counts.join(lists, keys, "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
+
+
 def benchmark(observed: DataFrame, expected: DataFrame) -> DataFrame:
     """(metric, value) of both sides: MATCH, MISMATCH or NOT_AVAILABLE."""
     both = expected.select("metric", F.col("value").alias("expected")).join(observed.select("metric", F.col("value").alias("observed")), "metric", "left")
