@@ -21,7 +21,7 @@ def stripped(text: Column) -> Column:
 
 
 def is_missing(text: Column) -> Column:
-    return text.isNull() | (stripped(text) == "")
+    return text.isNull() | ~text.rlike(r"(?U)\S")
 
 
 def blank_to_null(text: Column) -> Column:

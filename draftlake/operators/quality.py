@@ -60,14 +60,12 @@ def row_kind() -> Column:
     )
 
 
+def identifier_rules() -> list[Rule]:
+    return [Rule(S.is_missing(F.col("gameid")), "MISSING_GAME_ID"), Rule(S.is_missing(F.col("participantid")), "MISSING_PARTICIPANT_ID")]
+
+
 def identifier_issues(feed: DataFrame) -> DataFrame:
-    blank = row_issues(
-        feed,
-        [
-            Rule(S.is_missing(F.col("gameid")), "MISSING_GAME_ID"),
-            Rule(S.is_missing(F.col("participantid")), "MISSING_PARTICIPANT_ID"),
-        ],
-    )
+    blank = row_issues(feed, identifier_rules())
     named = feed.where(~S.is_missing(F.col("gameid")) & ~S.is_missing(F.col("participantid")))
     twice = named.select(*KEYS).join(repeated(named, *KEYS), list(KEYS), "left_semi")
     return blank.unionByName(row_issues(twice, [Rule(F.lit(True), "DUPLICATE_GAME_PARTICIPANT")]))
@@ -77,28 +75,29 @@ def _games(feed: DataFrame) -> DataFrame:
     return feed.where(~S.is_missing(F.col("gameid"))).withColumn("kind__", row_kind())
 
 
+def structure_rules() -> list[Rule]:
+    return [Rule(F.col("n") != 12, "INVALID_GAME_ROW_COUNT"), Rule(F.col("players") != 10, "INVALID_PLAYER_ROW_COUNT"), Rule(F.col("teams") != 2, "INVALID_TEAM_ROW_COUNT")]
+
+
 def structure_issues(feed: DataFrame) -> DataFrame:
     counts = _games(feed).groupBy("gameid").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind__") == "player").alias("players"), F.count_if(F.col("kind__") == "team").alias("teams")
     )
-    return _match_issues(
-        counts,
-        [
-            Rule(F.col("n") != 12, "INVALID_GAME_ROW_COUNT"),
-            Rule(F.col("players") != 10, "INVALID_PLAYER_ROW_COUNT"),
-            Rule(F.col("teams") != 2, "INVALID_TEAM_ROW_COUNT"),
-        ],
-    )
+    return _match_issues(counts, structure_rules())
 
 
 PLAYER_FIELDS = {"playerid": "PLAYER_ID", "teamid": "TEAM_ID", "playername": "PLAYER_NAME", "teamname": "TEAM_NAME", "position": "POSITION", "side": "SIDE", "patch": "PATCH", "champion": "PLAYER_CHAMPION"}
 TEAM_FIELDS = {"teamid": "TEAM_ID", "teamname": "TEAM_NAME", "side": "SIDE", "patch": "PATCH"}
 
 
+def player_rules(feed: DataFrame) -> list[Rule]:
+    rules = [Rule(S.is_missing(F.col(c)), f"MISSING_{n}") for c, n in PLAYER_FIELDS.items() if c in feed.columns]
+    return [*rules, Rule(~S.is_missing(F.col("position")) & ~F.col("position").isin(*C.POSITIONS), "INVALID_POSITION")]
+
+
 def player_issues(feed: DataFrame) -> DataFrame:
     players = _games(feed).where("kind__ = 'player'")
-    rules = [Rule(S.is_missing(F.col(c)), f"MISSING_{n}") for c, n in PLAYER_FIELDS.items() if c in feed.columns]
-    rules.append(Rule(~S.is_missing(F.col("position")) & ~F.col("position").isin(*C.POSITIONS), "INVALID_POSITION"))
+    rules = player_rules(feed)
     sides = players.where(~S.is_missing(F.col("side"))).groupBy("gameid", "side")
     roles = sides.agg(F.collect_set(F.when(F.col("position").isin(*C.POSITIONS), F.col("position"))).alias("roles"))
     of_sides = _match_issues(roles, [Rule(F.size("roles") < 5, "INCOMPLETE_TEAM_ROLES")])
@@ -107,13 +106,18 @@ def player_issues(feed: DataFrame) -> DataFrame:
     return row_issues(players, rules).unionByName(of_sides).unionByName(row_issues(twice, [Rule(F.lit(True), "DUPLICATE_TEAM_ROLE")]))
 
 
-def team_issues(feed: DataFrame) -> DataFrame:
-    games = _games(feed)
-    teams = games.where("kind__ = 'team'")
+def team_rules(feed: DataFrame) -> list[Rule]:
     rules = [Rule(S.is_missing(F.col(c)), f"MISSING_{n}") for c, n in TEAM_FIELDS.items() if c in feed.columns]
     for code, columns in (("MISSING_TEAM_PICK", C.PICKS), ("MISSING_TEAM_BAN", C.BANS)):
         if not missing_columns(feed, columns):
             rules.append(Rule(reduce(lambda a, b: a | b, (S.is_missing(F.col(c)) for c in columns)), code))
+    return rules
+
+
+def team_issues(feed: DataFrame) -> DataFrame:
+    games = _games(feed)
+    teams = games.where("kind__ = 'team'")
+    rules = team_rules(feed)
     # matches without any team row count as well
     own = games.groupBy("gameid").agg(
         F.collect_set(F.when(F.col("kind__") == "team", F.col("side"))).alias("sides"), F.count_if(F.col("kind__") == "team").alias("n")
@@ -122,13 +126,18 @@ def team_issues(feed: DataFrame) -> DataFrame:
     return row_issues(teams, rules).unionByName(_match_issues(own, [Rule(wrong, "INVALID_TEAM_SIDE_STRUCTURE")]))
 
 
-def result_issues(feed: DataFrame) -> DataFrame:
+def known_result() -> Column:
     result = S.whole_number(F.col("result"))
-    games = _games(feed).withColumn("result__", F.when(result.isin(0, 1), result))
-    rules = [
-        Rule(S.is_missing(F.col("result")), "MISSING_RESULT"),
-        Rule(~S.is_missing(F.col("result")) & F.col("result__").isNull(), "INVALID_RESULT_VALUE"),
-    ]
+    return F.when(result.isin(0, 1), result)
+
+
+def result_rules() -> list[Rule]:
+    return [Rule(S.is_missing(F.col("result")), "MISSING_RESULT"), Rule(~S.is_missing(F.col("result")) & F.col("result__").isNull(), "INVALID_RESULT_VALUE")]
+
+
+def result_issues(feed: DataFrame) -> DataFrame:
+    games = _games(feed).withColumn("result__", known_result())
+    rules = result_rules()
     team = F.col("kind__") == "team"
     own = games.groupBy("gameid").agg(F.count_if(team).alias("n"), F.count_if(team & (F.col("result__") == 1)).alias("won"), F.count_if(team & (F.col("result__") == 0)).alias("lost"))
     whole = _match_issues(own, [Rule(~((F.col("n") == 2) & (F.col("won") == 1) & (F.col("lost") == 1)), "INVALID_RESULT_STRUCTURE")])
@@ -138,15 +147,19 @@ def result_issues(feed: DataFrame) -> DataFrame:
     return row_issues(games, rules).unionByName(whole).unionByName(mismatch)
 
 
-def time_issues(feed: DataFrame) -> DataFrame:
-    games = feed.withColumns({"date__": S.timestamp(F.col("date")), "year__": S.whole_number(F.col("year"))})
-    rules = [
+def time_rules() -> list[Rule]:
+    return [
         Rule(S.is_missing(F.col("date")), "MISSING_DATE"),
         Rule(~S.is_missing(F.col("date")) & F.col("date__").isNull(), "INVALID_DATE"),
         Rule(S.is_missing(F.col("year")), "MISSING_YEAR"),
         Rule(~S.is_missing(F.col("year")) & F.col("year__").isNull(), "INVALID_YEAR"),
         Rule(F.coalesce(F.year("date__") != F.col("year__"), F.lit(False)), "YEAR_DATE_MISMATCH"),
     ]
+
+
+def time_issues(feed: DataFrame) -> DataFrame:
+    games = feed.withColumns({"date__": S.timestamp(F.col("date")), "year__": S.whole_number(F.col("year"))})
+    rules = time_rules()
     years = games.where(~S.is_missing(F.col("gameid"))).groupBy("gameid").agg(F.countDistinct("year__").alias("n"))
     return row_issues(games, rules).unionByName(_match_issues(years, [Rule(F.col("n") > 1, "INCONSISTENT_GAME_YEAR")]))
 
@@ -162,12 +175,14 @@ def end_time_issues(feed: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "gameid string, participantid string, issue_code string, issue_group string, severity string")
 
 
+def completeness_rules() -> list[Rule]:
+    value = F.col("datacompleteness")
+    return [Rule(S.is_missing(value), "MISSING_DATA_COMPLETENESS"), Rule(~S.is_missing(value) & ~value.isin(*C.COMPLETENESS), "UNKNOWN_DATA_COMPLETENESS")]
+
+
 def completeness_issues(feed: DataFrame) -> DataFrame:
     value = F.col("datacompleteness")
-    rules = [
-        Rule(S.is_missing(value), "MISSING_DATA_COMPLETENESS"),
-        Rule(~S.is_missing(value) & ~value.isin(*C.COMPLETENESS), "UNKNOWN_DATA_COMPLETENESS"),
-    ]
+    rules = completeness_rules()
     own = feed.where(~S.is_missing(F.col("gameid"))).groupBy("gameid").agg(F.collect_set(F.coalesce(S.blank_to_null(value), F.lit("<MISSING>"))).alias("values"))
     wrong = ~((F.size("values") == 1) & F.element_at("values", 1).isin(*C.COMPLETENESS))
     return row_issues(feed, rules).unionByName(_match_issues(own, [Rule(wrong, "INVALID_GAME_DATA_COMPLETENESS")]))
@@ -178,7 +193,7 @@ RULES = {
     "structure": (structure_issues, ("gameid", "position", "participantid")),
     "players": (player_issues, ("gameid", "position", "participantid", "side")),
     "teams": (team_issues, ("gameid", "position", "participantid", "side")),
-    "results": (result_issues, ("gameid", "position", "participantid", "side")),
+    "results": (result_issues, ("gameid", "position", "participantid", "side", "result")),
     "time": (time_issues, ("gameid", "participantid", "date", "year")),
     "completeness": (completeness_issues, ("gameid", "participantid", "datacompleteness")),
 }
@@ -190,16 +205,111 @@ def schema_issues(feed: DataFrame, required: Iterable[str] = (*C.CORE_COLUMNS[:-
     return spark.createDataFrame(rows, "gameid string, participantid string, issue_code string, issue_group string, severity string, detail string")
 
 
+def _sides(rows: DataFrame, live: set[str]) -> DataFrame:
+    """One row for each match and side (as written): all counts that the rules of matches and sides ask for."""
+    player, team = F.col("kind__") == "player", F.col("kind__") == "team"
+    out = [F.count(F.lit(1)).alias("n"), F.count_if(player).alias("players"), F.count_if(team).alias("teams")]
+    if "players" in live:
+        out += [F.count_if(player & (F.col("position") == p)).alias(f"r_{p}") for p in C.POSITIONS]
+    if "results" in live:
+        out += [F.max(F.when(team, F.col("result__"))).alias("of_team")]
+        out += [F.count_if(k & (F.col("result__") == v)).alias(f"{n}_{v}") for n, k in (("team", team), ("player", player)) for v in (0, 1)]
+    if "time" in live:
+        out += [F.min("year__").alias("year_a"), F.max("year__").alias("year_b")]
+    if "completeness" in live:
+        value = F.coalesce(S.blank_to_null(F.col("datacompleteness")), F.lit("<MISSING>"))
+        out += [F.min(value).alias("dc_a"), F.max(value).alias("dc_b")]
+    return rows.groupBy("gameid", "side").agg(*out)
+
+
+def _ordered(rows: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """As ``row_issues``, with the place of each rule's group in ``rule_ord``."""
+    found = F.array_compact(F.array(*(F.when(r.broken, F.struct(F.lit(i).alias("rule_ord"), r.issue().alias("issue"))) for i, r in rules)))
+    return rows.select(*KEYS, F.explode(found).alias("f")).select(*KEYS, "f.issue.*", "f.rule_ord")
+
+
 def audit(feed: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Issues of all rules in order (``rule_ord``), and the rules that were skipped with the columns they miss."""
+    """Issues of all rules in order (``rule_ord``), and the rules that were skipped with the columns they miss.
+
+    The feed is read four times, whatever the number of rules: for the rules of single rows; for one grouped count by match and side, from which all
+    rules of sides and matches follow; for repeated participants; and for the players of the few sides that the counts show to hold a repeated role or a
+    result unlike their team's.
+    """
     skipped = {n: gone for n, (_, needs) in RULES.items() if (gone := missing_columns(feed, needs))}
+    live, place = set(RULES) - set(skipped), {n: i for i, n in enumerate(RULES, 1)}
     parts = [schema_issues(feed).drop("detail").withColumn("rule_ord", F.lit(0))]
-    parts += [rule(feed).withColumn("rule_ord", F.lit(i)) for i, (n, (rule, _)) in enumerate(RULES.items(), 1) if n not in skipped]
-    if "time" not in skipped:
-        parts.append(end_time_issues(feed).withColumn("rule_ord", F.lit(list(RULES).index("time") + 1)))
+    rows = feed.withColumn("named__", ~S.is_missing(F.col("gameid")) if "gameid" in feed.columns else F.lit(False))
+    grouped = "structure" in live and "side" in feed.columns
+    if "structure" in live:
+        rows = rows.withColumn("kind__", row_kind())
+    if "results" in live:
+        rows = rows.withColumn("result__", known_result())
+    if "time" in live:
+        rows = rows.withColumns({"date__": S.timestamp(F.col("date")), "year__": S.whole_number(F.col("year"))})
+
+    of = lambda name, rules, where=None: [(place[name], Rule(r.broken if where is None else where & r.broken, r.code)) for r in rules] if name in live else []
+    named, player, team = F.col("named__"), F.col("named__") & (F.col("kind__") == "player"), F.col("named__") & (F.col("kind__") == "team")
+    single = of("identifiers", identifier_rules()) + of("time", time_rules()) + of("completeness", completeness_rules())
+    single += (of("players", player_rules(feed), player) if "players" in live else []) + (of("teams", team_rules(feed), team) if "teams" in live else []) + (of("results", result_rules(), named) if "results" in live else [])
+    if single:
+        parts.append(_ordered(rows, single))
+    if "identifiers" in live:
+        whole = rows.where(named & ~S.is_missing(F.col("participantid")))
+        twice = repeated(whole, *KEYS).select(*KEYS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        parts.append(_ordered(twice, [(place["identifiers"], Rule(F.lit(True), "DUPLICATE_GAME_PARTICIPANT"))]))
+    if grouped:
+        parts += _grouped_issues(rows.where(named), live, place)
+    else:  # without sides or kinds: what is left of the rules, one by one
+        rest = [n for n in ("structure", "time", "completeness") if n in live]
+        matches = {"structure": ("INVALID_GAME_ROW_COUNT", "INVALID_PLAYER_ROW_COUNT", "INVALID_TEAM_ROW_COUNT"), "time": ("INCONSISTENT_GAME_YEAR",), "completeness": ("INVALID_GAME_DATA_COMPLETENESS",)}
+        parts += [RULES[n][0](feed).where(F.col("issue_code").isin(*matches[n])).withColumn("rule_ord", F.lit(place[n])) for n in rest]
+    if "time" in live:
+        parts.append(end_time_issues(feed).withColumn("rule_ord", F.lit(place["time"])))
     return reduce(DataFrame.unionByName, parts), skipped
 
 
+def _grouped_issues(rows: DataFrame, live: set[str], place: dict[str, int]) -> list[DataFrame]:
+    """Issues of matches and sides, and of the players of the sides that the counts point at."""
+    sides = settled(_sides(rows, live), "audit-sides")
+    total = lambda c: F.sum(c).alias(c)
+    columns = set(sides.columns)
+    side_teams = lambda s: F.sum(F.when(F.col("side") == s, F.col("teams")).otherwise(0))
+    sums = [total(c) for c in ("n", "players", "teams", "team_0", "team_1") if c in columns] + [side_teams(s).alias(f"teams_{s}") for s in C.SIDES]
+    spans = [f(c).alias(c) for f, c in ((F.min, "year_a"), (F.max, "year_b"), (F.min, "dc_a"), (F.max, "dc_b")) if c in columns]
+    matches = sides.groupBy("gameid").agg(*sums, *spans).withColumn("participantid", F.lit(None).cast("string"))
+    rules = [(place["structure"], r) for r in structure_rules()]
+    if "teams" in live:
+        one_each = reduce(lambda a, b: a & b, (F.col(f"teams_{s}") == 1 for s in C.SIDES)) & (F.col("teams") == 2)
+        rules.append((place["teams"], Rule(~one_each, "INVALID_TEAM_SIDE_STRUCTURE")))
+    if "results" in live:
+        rules.append((place["results"], Rule(~((F.col("teams") == 2) & (F.col("team_1") == 1) & (F.col("team_0") == 1)), "INVALID_RESULT_STRUCTURE")))
+    if "time" in live:
+        rules.append((place["time"], Rule(F.coalesce(F.col("year_a") != F.col("year_b"), F.lit(False)), "INCONSISTENT_GAME_YEAR")))
+    if "completeness" in live:
+        rules.append((place["completeness"], Rule(~((F.col("dc_a") == F.col("dc_b")) & F.col("dc_a").isin(*C.COMPLETENESS)), "INVALID_GAME_DATA_COMPLETENESS")))
+    out = [_ordered(matches, rules)]
+
+    pointed, found = F.lit(False), []
+    own = sides.where(~S.is_missing(F.col("side")))
+    if "players" in live:
+        roles = reduce(lambda a, b: a + b, ((F.col(f"r_{p}") > 0).cast("int") for p in C.POSITIONS))
+        few = own.where("players > 0").withColumn("participantid", F.lit(None).cast("string"))
+        out.append(_ordered(few, [(place["players"], Rule(roles < len(C.POSITIONS), "INCOMPLETE_TEAM_ROLES"))]))
+        twice = F.array_compact(F.array(*(F.when(F.col(f"r_{p}") > 1, p) for p in C.POSITIONS)))
+        sides = sides.withColumn("twice__", F.when(S.is_missing(F.col("side")), F.array().cast("array<string>")).otherwise(twice))
+        pointed = pointed | (F.size("twice__") > 0)
+        found.append((place["players"], Rule(F.array_contains("twice__", F.col("position")), "DUPLICATE_TEAM_ROLE")))
+    if "results" in live:
+        sides = sides.withColumn("told__", F.when((F.col("teams") == 1) & (F.col("of_team") == 1), F.when(F.col("player_0") > 0, 1)).when((F.col("teams") == 1) & (F.col("of_team") == 0), F.when(F.col("player_1") > 0, 0)))
+        pointed = pointed | F.col("told__").isNotNull()
+        found.append((place["results"], Rule(F.coalesce(F.col("result__") != F.col("told__"), F.lit(False)), "PLAYER_TEAM_RESULT_MISMATCH")))
+    if found:
+        marks = [c for c in ("twice__", "told__") if c in sides.columns]
+        suspects = settled(sides.where(pointed).select("gameid", "side", *marks), "audit-suspects")
+        out.append(_ordered(rows.where("kind__ = 'player'").join(suspects, ["gameid", "side"]), found))
+    return out
+
+
 def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("issue_code", "issue_group", "severity").agg(F.count(F.lit(1)).alias("n_issues"), F.countDistinct("gameid").alias("n_games"))
 

@@ -64,3 +64,26 @@ def test_two_contents_under_one_key_in_a_batch_are_a_conflict(spark):
     rows, conflicts = E.save(new, stored)
     assert sorted(r.evaluation_id for r in rows.collect()) == [2, 3]
     assert sorted((r.idempotency_key, r.code) for r in conflicts.collect()) == [("k1", E.STORAGE_CONFLICT), ("k3", E.STORAGE_CONFLICT)]
+
+
+def test_the_audit_in_few_passes_is_the_union_of_its_rules(spark, feed):
+    rng = random.Random(9)
+    rows = []
+    for g in range(40):
+        own = [dict(r) for r in match_rows(f"G{g}")]
+        for _ in range(rng.randrange(4)):
+            r = rng.choice(own)
+            c = rng.choice(["gameid", "participantid", "side", "position", "teamid", "champion", "result", "date", "year", "datacompleteness", "pick2"])
+            r[c] = rng.choice([None, "", "  ", "x", "Blue", "top", "1", "0", "2024", "partial"])
+        if rng.random() < 0.3:
+            own.append(dict(rng.choice(own)))
+        if rng.random() < 0.3:
+            own.pop(rng.randrange(len(own)))
+        rows += own
+    for drop in ([], ["side"], ["position"], ["result", "datacompleteness"], ["gameid"]):
+        frame = feed([{k: v for k, v in r.items() if k not in drop} for r in rows])
+        got, skipped = Q.audit(frame)
+        parts = [rule(frame) for n, (rule, _) in Q.RULES.items() if n not in skipped] + [Q.schema_issues(frame).drop("detail")]
+        expected = sorted((tuple(r) for p in parts for r in p.collect()), key=str)
+        assert sorted((tuple(r) for r in got.drop("rule_ord").collect()), key=str) == expected
+        assert len(expected) > 20 or drop == ["gameid"]
