@@ -166,16 +166,21 @@ def slots_reason(reference: Column | None = None) -> Column:
 
 def post_features(targets: DataFrame, history: DataFrame) -> DataFrame:
     """``targets`` (one row an id) with the 50 POST columns: each player's games and wins with their champion, for any team."""
-    slot = history.select("game_id", "ended_at", "winner_team_id", F.explode("slots").alias("s"))
-    own_side = slot.select("game_id", "ended_at", "s.player_id", "s.champion_id", (F.col("s.team_id") == F.col("winner_team_id")).cast("int").alias("won"))
-    asked = targets.select("game_id", "history_cutoff_at", F.explode("slots").alias("s")).select("game_id", "history_cutoff_at", "s.side", "s.role", "s.player_id", "s.champion_id")
-    seen = last_n_before(own_side, asked, ["player_id", "champion_id"], None, {"games": F.count(F.lit(1)), "wins": F.sum("won")}, cutoff="history_cutoff_at")
-    # a target's own match that ended before its cutoff is no history of it
-    self_ = own_side.select("game_id", "player_id", "champion_id", F.col("ended_at").alias("own_end"), F.col("won").alias("own_won"))
-    seen = seen.join(self_, ["game_id", "player_id", "champion_id"], "left")
-    counted = F.coalesce(F.col("own_end") < F.col("history_cutoff_at"), F.lit(False))
-    games = F.coalesce("games", F.lit(0)) - counted.cast("int")
-    wins = F.coalesce("wins", F.lit(0)) - F.when(counted, F.col("own_won")).otherwise(0)
+    slot = history.select("ended_at", "winner_team_id", "game_id", F.explode("slots").alias("s"))
+    played = slot.select("game_id", "ended_at", "s.player_id", "s.champion_id", (F.col("s.team_id") == F.col("winner_team_id")).cast("int").alias("won"))
+    # a target's own match that ended before its cutoff is no history of it: one row a match tells, not one a slot
+    own = history.select("game_id", F.col("ended_at").alias("own_end"), F.col("winner_team_id").alias("own_winner"), F.col("slots").alias("own_slots"))
+    asked = targets.select("game_id", "history_cutoff_at", "slots").join(own, "game_id", "left")
+    mine = lambda s: F.filter("own_slots", lambda o: (o["player_id"] == s["player_id"]) & (o["champion_id"] == s["champion_id"]))
+    early = F.coalesce(F.col("own_end") < F.col("history_cutoff_at"), F.lit(False))
+    slots = F.transform("slots", lambda s: F.struct(s["side"].alias("side"), s["role"].alias("role"), s["player_id"].alias("player_id"), s["champion_id"].alias("champion_id"), F.when(early, mine(s)).alias("mine")))
+    asked = asked.select("game_id", "history_cutoff_at", "own_winner", F.explode(slots).alias("s")).select(
+        "game_id", "history_cutoff_at", "s.side", "s.role", "s.player_id", "s.champion_id", F.coalesce(F.size("s.mine"), F.lit(0)).alias("own_games"),
+        F.coalesce(F.size(F.filter("s.mine", lambda o: o["team_id"] == F.col("own_winner"))), F.lit(0)).alias("own_wins"),
+    )
+    seen = last_n_before(played, asked, ["player_id", "champion_id"], None, {"games": F.count(F.lit(1)), "wins": F.sum("won")}, cutoff="history_cutoff_at")
+    games = F.coalesce("games", F.lit(0)) - F.col("own_games")
+    wins = F.coalesce("wins", F.lit(0)) - F.col("own_wins")
     rows = seen.select("game_id", "side", "role", F.struct(F.col("champion_id"), games.cast("int").alias("games_count"), wins.cast("int").alias("wins_count"), F.when(games > 0, wins / games).alias("win_rate"), (games == 0).alias("missing")).alias("f"))
     wide = rows.groupBy("game_id").agg(*(F.max(F.when((F.col("side") == s) & (F.col("role") == r), F.col("f"))).alias(f"{s}_{r}") for s in SIDES for r in ROLES))
     flat = [F.col(f"{s}_{r}")[x].alias(f"{s.lower()}_{r.lower()}_{x}") for s in SIDES for r in ROLES for x in POST_FIELDS]

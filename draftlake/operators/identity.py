@@ -28,29 +28,42 @@ def recover(rows: DataFrame, context: list[str], id_col: str) -> DataFrame:
 
 
 CONTEXT = ("name_key", "league_key", "year", "split_key", "playoffs", "day")
-OPTIONAL = ("split_key",)
+RAW = ("league", "year", "split", "playoffs", "date")
+OPTIONAL = ("split",)
 
 
 def team_groups(feed: DataFrame) -> DataFrame:
-    """One row for each (gameid, side): ids, names and context, from player and team rows alike."""
+    """One row for each (gameid, side): ids, names and context, from player and team rows alike; keys are made of what all rows agree on."""
     named = feed.select(
         "gameid", "side", S.blank_to_null(F.col("teamid")).alias("id"), S.source_id_state(F.col("teamid")).alias("id_state"),
-        S.canonical_key(F.col("teamname")).alias("name_key"), S.canonical_key(F.col("league")).alias("league_key"), F.col("year").cast("string").alias("year"),
-        S.canonical_key(F.col("split")).alias("split_key"), F.col("playoffs").cast("string").alias("playoffs"), F.to_date(S.timestamp(F.col("date"))).alias("day"),
+        S.canonical_key(F.col("teamname")).alias("name_key"), *(S.blank_to_null(F.col(c).cast("string")).alias(c) for c in RAW),
     )
-    return named.groupBy("gameid", "side").agg(
+    own = named.groupBy("gameid", "side").agg(
         F.sort_array(F.collect_set(F.when(F.col("id_state") == "VALID", F.col("id")))).alias("ids"), F.count_if(F.col("id_state") == "INVALID").alias("n_invalid"),
-        *(collapse_state(F.col(c)).alias(f"{c}_state") for c in CONTEXT), *(collapse_value(F.col(c)).alias(c) for c in CONTEXT),
-        F.countDistinct("name_key").alias("n_names"),
+        *(collapse_state(F.col(c)).alias(f"{c}_state") for c in RAW), *(collapse_value(F.col(c)).alias(f"{c}_value") for c in RAW),
+        F.countDistinct("name_key").alias("n_names"), collapse_value(F.col("name_key")).alias("name_key"),
     )
+    whole = lambda c: F.when(F.trim(c).rlike(r"^[+-]?[0-9]{1,9}\z"), F.trim(c).cast("int"))
+    return own.withColumns(
+        {
+            "league_key": S.canonical_key(F.col("league_value")), "split_key": S.canonical_key(F.col("split_value")), "year": whole(F.col("year_value")).cast("string"),
+            "playoffs": F.when(whole(F.col("playoffs_value")).isin(0, 1), whole(F.col("playoffs_value")).cast("string")), "day": F.to_date(S.timestamp(F.col("date_value"))),
+        }
+    )
 
 
 def _context_reason() -> Column:
-    out = F.when(F.col("n_names") == 0, "MISSING_TEAM_NAME").when(F.col("n_names") > 1, "TEAM_NAME_CONFLICT")
-    for c in CONTEXT[1:]:
-        bad = F.col(f"{c}_state").isin(CONFLICT, MIXED) if c in OPTIONAL else F.col(f"{c}_state").isin(CONFLICT, MIXED, MISSING)
-        out = out.when(bad, F.concat(F.lit(f"{c.upper()}_"), F.col(f"{c}_state"), F.lit("_CONTEXT")))
-    return out
+    """Why a side's context is no key: its name, else all codes of its fields, sorted and joined by commas."""
+    codes = []
+    for c in RAW:
+        state, name = F.col(f"{c}_state"), c.upper()
+        codes += [F.when(state == CONFLICT, f"CONFLICTING_{name}_CONTEXT"), F.when(state == MIXED, f"MIXED_MISSING_{name}_CONTEXT")]
+        if c not in OPTIONAL:
+            codes.append(F.when(state == MISSING, f"MISSING_{name}_CONTEXT"))
+    codes += [F.when((F.col(f"{c}_state") == SINGLE) & F.col(k).isNull(), f"INVALID_{c.upper()}_CONTEXT") for c, k in (("year", "year"), ("playoffs", "playoffs"), ("date", "day"))]
+    found = F.array_join(F.array_sort(F.array_compact(F.array(*codes))), ",")
+    keys = F.when(F.col("league_key").isNull(), "MISSING_LEAGUE_CONTEXT").when(F.col("split_value").isNotNull() & F.col("split_key").isNull(), "INVALID_SPLIT_CONTEXT")
+    return F.when(F.col("n_names") == 0, "MISSING_TEAM_NAME").when(F.col("n_names") > 1, "TEAM_NAME_CONFLICT").when(found != "", found).otherwise(keys)
 
 
 def resolve_teams(feed: DataFrame) -> DataFrame:

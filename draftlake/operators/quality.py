@@ -329,6 +329,41 @@ def samples(issues: DataFrame, k: int = 5) -> DataFrame:
     return counts.join(lists, keys, "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
 
 
+METRICS = (
+    "total_rows", "distinct_games", "games_with_valid_structure", "complete_games", "partial_games", "player_rows_missing_playerid", "player_rows_missing_teamid", "player_rows_missing_patch",
+    "player_rows_missing_champion", "games_missing_pick", "games_missing_ban", "duplicate_game_participant_rows",
+)
+
+
+def benchmark_metrics(feed: DataFrame, years: Iterable[int] = (2025, 2026)) -> DataFrame:
+    """(metric, value) of METRICS and ``games_year_<year>``: what a benchmark is compared with. One grouped pass by match, and one for repeated participants."""
+    named, kind = ~S.is_missing(F.col("gameid")), row_kind()
+    rows = feed.select(
+        "*", named.alias("named__"), (named & (kind == "player")).alias("player__"), (named & (kind == "team")).alias("team__"), S.whole_number(F.col("year")).alias("year__"),
+        F.coalesce(S.blank_to_null(F.col("datacompleteness")), F.lit("<MISSING>")).alias("dc__"),
+    )
+    lacks = lambda columns: reduce(lambda a, b: a | b, (S.is_missing(F.col(c)) for c in columns))
+    games = rows.groupBy(F.when(F.col("named__"), F.col("gameid")).alias("gameid")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("player__").alias("players"), F.count_if("team__").alias("teams"), F.min("year__").alias("a"), F.max("year__").alias("b"), F.min("dc__").alias("c"), F.max("dc__").alias("d"),
+        *(F.count_if(F.col("player__") & S.is_missing(F.col(c))).alias(c) for c in ("playerid", "teamid", "patch", "champion")),
+        F.count_if(F.col("team__") & lacks(C.PICKS)).alias("picks"), F.count_if(F.col("team__") & lacks(C.BANS)).alias("bans"),
+    )
+    game = F.col("gameid").isNotNull()
+    one = lambda value: F.count_if(game & (F.col("c") == F.col("d")) & (F.col("c") == value))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    values = [
+        total("n"), F.count("gameid"), F.count_if(game & (F.col("n") == 12) & (F.col("players") == 10) & (F.col("teams") == 2)), one("complete"), one("partial"),
+        *(total(c) for c in ("playerid", "teamid", "patch", "champion")), F.count_if(F.col("picks") > 0), F.count_if(F.col("bans") > 0),
+    ]
+    names = [n for n in METRICS if n != "duplicate_game_participant_rows"]
+    values += [F.count_if(game & (F.col("a") == F.col("b")) & (F.col("a") == y)) for y in years]
+    names += [f"games_year_{y}" for y in years]
+    found = games.agg(*(v.cast("long").alias(n) for n, v in zip(names, values, strict=True)))  # one row
+    out = found.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))).alias("m")).select("m.*")
+    twice = repeated(feed.where(named & ~S.is_missing(F.col("participantid"))), *KEYS)
+    return out.unionByName(twice.agg(F.lit("duplicate_game_participant_rows").alias("metric"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("value")))
+
+
 def benchmark(observed: DataFrame, expected: DataFrame) -> DataFrame:
     """(metric, value) of both sides: MATCH, MISMATCH or NOT_AVAILABLE."""
     both = expected.select("metric", F.col("value").alias("expected")).join(observed.select("metric", F.col("value").alias("observed")), "metric", "left")

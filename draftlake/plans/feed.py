@@ -102,6 +102,24 @@ def audit(t) -> DataFrame:
     return Q.summary(Q.audit(feed(t))[0])
 
 
+@query("q09_benchmark", f"""WITH {SQL}, g AS (SELECT gameid, count(*) AS n, count(*) FILTER (WHERE kind = 'player') AS p, count(*) FILTER (WHERE kind = 'team') AS t, min(CASE WHEN NOT contains(year, '.') THEN year END) AS a, max(CASE WHEN NOT contains(year, '.') THEN year END) AS b,
+        min(datacompleteness) AS c, max(datacompleteness) AS d FROM c GROUP BY gameid),
+    v AS (SELECT 'total_rows' AS metric, count(*) AS value FROM c UNION ALL SELECT 'distinct_games', count(*) FROM g UNION ALL SELECT 'games_with_valid_structure', count(*) FROM g WHERE n = 12 AND p = 10 AND t = 2
+      UNION ALL SELECT 'complete_games', count(*) FROM g WHERE c = 'complete' AND d = 'complete' UNION ALL SELECT 'partial_games', 0 UNION ALL SELECT 'player_rows_missing_playerid', count(*) FROM c WHERE kind = 'player' AND trim(playerid) = ''
+      UNION ALL SELECT 'player_rows_missing_teamid', count(*) FROM c WHERE kind = 'player' AND teamid = '' UNION ALL SELECT 'player_rows_missing_patch', 0 UNION ALL SELECT 'player_rows_missing_champion', 0 UNION ALL SELECT 'games_missing_pick', 0 UNION ALL SELECT 'games_missing_ban', 0
+      UNION ALL SELECT 'duplicate_game_participant_rows', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM c GROUP BY gameid, participantid HAVING count(*) > 1)
+      UNION ALL SELECT 'games_year_' || y, (SELECT count(*) FROM g WHERE a = b AND a = y) FROM (VALUES ('1995'), ('1996')) AS x(y)),
+    e AS (SELECT 'total_rows' AS metric, count(*) * 12 AS expected FROM k UNION ALL SELECT 'distinct_games', count(*) FROM k UNION ALL SELECT 'missing_metric', 1)
+    SELECT coalesce(v.metric, e.metric) AS metric, v.value::BIGINT AS value, CASE WHEN e.metric IS NULL THEN 'NOT_ASKED' WHEN v.value IS NULL THEN 'NOT_AVAILABLE' WHEN v.value = expected THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM v FULL JOIN e USING (metric)""")
+def benchmark(t) -> DataFrame:
+    """The feed's metrics, and how three of them compare with what is expected."""
+    found = settled(Q.benchmark_metrics(feed(t), (1995, 1996)), "metrics")
+    n = t("orders").agg(F.count(F.lit(1)).alias("n"))
+    expected = n.select(F.explode(F.array(F.struct(F.lit("total_rows").alias("metric"), (F.col("n") * 12).alias("value")), F.struct(F.lit("distinct_games"), F.col("n")), F.struct(F.lit("missing_metric"), F.lit(1).cast("long")))).alias("e")).select("e.*")
+    judged = Q.benchmark(found, expected).select("metric", "status")
+    return found.join(judged, "metric", "full").select("metric", "value", F.coalesce("status", F.lit("NOT_ASKED")).alias("status"))
+
+
 @query("p03_classify", f"WITH {SQL} SELECT kind, count(*) AS n FROM c GROUP BY kind")
 def classify(t) -> DataFrame:
     """By position first, by participant id only where the position says nothing."""
