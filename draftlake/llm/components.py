@@ -11,16 +11,16 @@ from draftlake.llm.common import stored
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges`` (columns u, v): root is the least node reachable.
 
-    Every step is a grouped minimum and an equi-join, so hubs are pre-aggregated before the shuffle
-    and their edges may be split by adaptive skew joins. Each round is stored, which cuts lineage.
+    Every step is a grouped minimum and an equi-join, so hubs are pre-aggregated before the shuffle. Both sides
+    of a join are stored tables, so that a hub's edges may be split by adaptive skew joins.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, last = stored(edges, "edges"), None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftlake.llm.common import free_name, stored
+from draftlake.llm.common import free_name, map_arrow, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,7 +76,8 @@ def _with_owners(lines: DataFrame, owners: DataFrame, part: int = 1000) -> DataF
 
 def _drops(lines: DataFrame, batches: int, fanout: int) -> DataFrame:
     """(doc_id, gone): hashes of the lines that each document loses."""
-    marks = [i / batches for i in range(1, batches)]
+    numeric = isinstance(lines.schema["doc_id"].dataType, T.NumericType)
+    marks = [i / batches for i in range(1, batches)] if numeric else []
     cuts = (lines.agg(F.percentile_approx("doc_id", marks, 10000)).first()[0] or []) if marks else []
     index = LineIndex(fanout)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
@@ -113,8 +114,8 @@ def rewritten(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: in
     ``min_chars`` code points; a document loses it if one of smaller id has it, and repeats within the
     first document stay. Null and empty texts are one empty line. Rows of one id are one document, so
     repeated rows keep the same lines. Rows with a null id keep all lines and own none. Helper columns
-    get names that ``docs`` does not have. ``batches`` splits the ids into ranges of about equal lines,
-    in ascending order.
+    get names that ``docs`` does not have; names may hold dots. ``batches`` splits numeric ids into ranges of about
+    equal lines, in ascending order; ids of other types are one batch.
     """
     key = line_key(F.col("line"))
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
@@ -123,7 +124,7 @@ def rewritten(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: in
     drops = _drops(stored(lines, "lines"), batches, fanout).withColumnsRenamed({"doc_id": owner, "gone": gone})
     both = docs.join(drops, F.col(id_col) == F.col(owner), "left").drop(owner)
     kind = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
-    return both.mapInArrow(_rewrite(kind.names, text_col), kind), n_lines, n_dropped
+    return map_arrow(both, _rewrite(kind.names, text_col), kind), n_lines, n_dropped
 
 
 def with_kept_lines(docs: DataFrame, **options) -> DataFrame:
