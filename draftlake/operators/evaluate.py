@@ -39,6 +39,22 @@ def create(scored: DataFrame, model_id: str, phase: str, parents: DataFrame | No
     return rows.withColumn("evaluation_id", F.concat(F.lower(F.col("phase")), F.lit("-"), F.substring("content_sha256", 1, 32)))
 
 
+INCOMPATIBLE = "E_EVAL_INCOMPATIBLE"
+
+
+def sealed(evaluations: DataFrame, features: list[str]) -> DataFrame:
+    """Evaluations (with ``features`` and an array ``warnings``) with ``seal``: the digest of context, features, probability and warnings together."""
+    told = evaluations.withColumn("told__", F.to_json("warnings"))
+    return told.withColumn("seal", content_key("context_key", *features, "p", "told__")).drop("told__")
+
+
+def incompatible(pre: DataFrame, features: list[str]) -> DataFrame:
+    """(evaluation_id, code) of sealed PRE evaluations that no POST may be made on: another phase, or a context, features, probability or warnings that have changed since."""
+    own = pre.withColumn("told__", F.to_json("warnings"))
+    whole = (F.col("phase") == "PRE") & F.col("context_key").eqNullSafe(content_key(*CONTEXT)) & F.col("seal").eqNullSafe(content_key("context_key", *features, "p", "told__"))
+    return own.where(~F.coalesce(whole, F.lit(False))).select("evaluation_id", F.lit(INCOMPATIBLE).alias("code"))
+
+
 def read_back(saved: DataFrame, warnings: DataFrame, ids: DataFrame) -> DataFrame:
     """Saved evaluations of the ids asked for, with their warnings in order, and the POST evaluations that belong to them."""
     said = warnings.groupBy("evaluation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "code"))), lambda w: w["code"]).alias("warnings"))

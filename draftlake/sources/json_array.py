@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from draftlake.session import ship
+
 # Why a file is refused.
 DUPLICATE_KEY, NON_FINITE, INVALID, UNREADABLE, SCHEMA = (
     "E_EVIDENCE_DUPLICATE_JSON_KEY", "E_EVIDENCE_JSON_NONFINITE", "E_EVIDENCE_JSON_INVALID", "E_EVIDENCE_FILE_UNREADABLE", "E_TIME_SOURCE_SCHEMA",
@@ -344,6 +346,7 @@ def read_array(spark: SparkSession, paths: str | Iterable[str], columns: str, ra
     file and source_order ascends with the records of a file. A missing key is null; a string column holds the JSON text of other
     values. A value of another type than its column's fails, or is null in a ``lenient`` long column.
     """
+    ship(spark)
     files = [f for p in ([paths] if isinstance(paths, str) else paths) for f in files_under(p)]
     ranges = [(name, low, min(low + range_bytes, size), size) for name, size in files for low in range(0, max(size, 1), range_bytes)]
     several = [r for r in ranges if r[3] > range_bytes]
@@ -378,6 +381,7 @@ def file_digests(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
                 rows.append((name, size, digest.hexdigest()))
             yield pd.DataFrame(rows, columns=["source_file", "n_bytes", "source_sha256"])
 
+    ship(spark)
     files = [f for p in ([paths] if isinstance(paths, str) else paths) for f in files_under(p)]
     frame = spark.createDataFrame([(name,) for name, _ in files], "source_file string").repartition(max(1, len(files)))
     return frame.mapInPandas(run, "source_file string, n_bytes long, source_sha256 string")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from draftlake.session import ship
+
 EVENT = "kind string, subject_id string, model_id string, evaluation_id string, parent_id string, created_at timestamp"
 CHANGE = "subject_id string, model_id string, seq long, phase string, evaluation_id string, is_active boolean"
 NAMES = [c.split()[0] for c in CHANGE.split(", ")]
@@ -80,6 +82,7 @@ def changes(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
 def start(spark: SparkSession, events: DataFrame, path: str, checkpoint: str, idle_ms: int | None = None):
     """Append the changes of a stream to ``path`` and stop when it has caught up; state is kept in RocksDB, its snapshots at the checkpoint."""
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return changes(events, idle_ms).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 

@@ -109,3 +109,14 @@ def test_target_status(spark):
 def test_typed(spark, feed):
     row = T.typed(feed([match_rows()[0] | {"year": "2025.0", "game": "1.5", "split": " "}])).select("year", "game", "split", F.year("date").alias("y")).first()
     assert tuple(row) == (2025, None, None, 2025)
+
+
+def test_context_codes_of_a_side(spark, feed):
+    rows = [dict(r) for r in match_rows("G1")]
+    for r in rows:
+        r["teamid"] = "" if r["side"] == "Blue" else r["teamid"]
+    rows[0]["league"], rows[1]["year"], rows[2]["date"], rows[3]["split"] = "LEC", "", "someday", ""
+    two = [dict(r, teamid="", year="2025.5", playoffs="2", date="never", split="") for r in match_rows("G2")]
+    got = {(r.gameid, r.side): r.reason for r in I.resolve_teams(feed(rows + two)).collect()}
+    assert got["G1", "Blue"] == "CONFLICTING_DATE_CONTEXT,CONFLICTING_LEAGUE_CONTEXT,MIXED_MISSING_SPLIT_CONTEXT,MIXED_MISSING_YEAR_CONTEXT"
+    assert got["G2", "Blue"] == got["G2", "Red"] == "INVALID_DATE_CONTEXT,INVALID_PLAYOFFS_CONTEXT,INVALID_YEAR_CONTEXT"

@@ -144,3 +144,15 @@ def test_each_altered_link_is_named(spark):
     assert faults(spark, nodes, twice) == {(p, "model", "m2", "split", c) for p in ("p2", "p3") for c in (P.AMBIGUOUS, P.ALTERED)}
     loop = [*links, ("file", "f", "made_from", "dataset", "d", "dd")]
     assert {x[4] for x in faults(spark, nodes, loop)} == {P.CYCLE} and len(faults(spark, nodes, loop)) == 4 * 3
+
+
+def test_a_seal_breaks_with_anything_it_stands_for(spark):
+    rows = [(f"g{i}", "A", "B", "15.01", START, 0.5 + i / 100, 0.25, [f"W{i}"]) for i in range(6)]
+    scored = spark.createDataFrame(rows, "game_id string, blue_team_id string, red_team_id string, patch string, history_cutoff_at timestamp, p double, form double, warnings array<string>")
+    made = E.create(scored, "m", "PRE").join(scored.select("game_id", "form", "warnings"), "game_id")
+    pre = E.sealed(made, ["form"])
+    assert E.incompatible(pre, ["form"]).count() == 0
+    when = lambda c, i, v: F.when(F.col("game_id") == f"g{i}", v).otherwise(F.col(c))
+    torn = pre.withColumns({"p": when("p", 0, F.lit(0.9)), "form": when("form", 1, F.lit(None)), "warnings": when("warnings", 2, F.array(F.lit("x"))), "patch": when("patch", 3, F.lit("15.02")), "phase": when("phase", 4, F.lit("POST"))})
+    ids = {r.evaluation_id: r.game_id for r in pre.collect()}
+    assert {ids[r.evaluation_id] for r in E.incompatible(torn, ["form"]).collect()} == {"g0", "g1", "g2", "g3", "g4"}
