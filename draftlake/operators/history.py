@@ -50,28 +50,30 @@ def by_stretches(history: DataFrame, targets: DataFrame, keys: Sequence[str], n:
         return history.select("*", zero), targets.select("*", zero)
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     of_hot = own.alias("o").join(F.broadcast(hot.select(*keys).alias("h")), same("o", "h"), "left_semi")
-    marks = [i / most for i in range(1, most)]
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    cuts = settled(of_hot.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(at, marks, 10_000)).alias("cuts__")), "hot-cuts")
+    marks = ", ".join(f"{i / most}D" for i in range(1, most))
+    at = of_hot.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("at__"))
+    cuts = settled(at.groupBy(*keys).agg(F.array_distinct(F.expr(f"percentile_approx(at__, array({marks}), 10000)")).alias("cuts__")), "hot-cuts")
+    steps = [F.lit(1 << i) for i in reversed(range(most.bit_length()))]
 
     def placed(rows: DataFrame, time: str) -> DataFrame:
+        """The number of cuts before each row, by binary search: a key may have thousands of cuts."""
         at = F.unix_micros(F.col(f"o.{time}").cast("timestamp"))
         found = rows.alias("o").join(F.broadcast(cuts.alias("h")), same("o", "h"), "left")
-        return found.select("o.*", F.coalesce(F.size(F.filter("h.cuts__", lambda c: c < at)), F.lit(0)).alias("stretch__"))
+        passed = F.aggregate(F.array(*steps), F.lit(0), lambda low, step: F.when(F.get("h.cuts__", low + step - 1) < at, low + step).otherwise(low))
+        return found.select("o.*", passed.alias("stretch__"))
 
     rows = placed(own, ts)
     recent = Window.partitionBy(*keys, "stretch__").orderBy(F.desc(ts), id_col)
-    tails = placed(of_hot, ts).withColumn("n__", F.row_number().over(recent)).where(F.col("n__") <= n).drop("n__")
-    # one row a stretch: its tail, and the newest n of its own and all tails before it
-    row = F.struct(F.col(ts).alias("at__"), F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row__"))
-    lists = tails.groupBy(*keys, "stretch__").agg(F.collect_list(row).alias("tail__"))
+    tails = placed(of_hot, ts).withColumn("n__", F.row_number().over(recent)).where(F.col("n__") <= n)
+    # one row a stretch: its tail, newest first, and of all tails before it the newest n
+    row = F.struct("n__", F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row__"))
+    newest = F.array_sort(F.collect_list(row), lambda a, b: a["n__"] - b["n__"])
+    lists = tails.groupBy(*keys, "stretch__").agg(newest.alias("tail__"))
     empty = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.size("cuts__"))).alias("stretch__"))
     lists = empty.alias("o").join(lists.alias("h"), [*same("o", "h"), F.col("o.stretch__") == F.col("h.stretch__")], "left").select("o.*", "h.tail__")
     earlier = Window.partitionBy(*keys).orderBy("stretch__").rowsBetween(-n, -1)
-    full = lists.withColumn("before__", F.flatten(F.collect_list("tail__").over(earlier)))
-    carried = full.select(*keys, "stretch__", F.explode("before__").alias("c__")).select("stretch__", "c__.row__.*")
-    newest = Window.partitionBy(*keys, "stretch__").orderBy(F.desc(ts), id_col)
-    carried = carried.withColumn("n__", F.row_number().over(newest)).where(F.col("n__") <= n).drop("n__")
+    before = F.slice(F.flatten(F.reverse(F.collect_list("tail__").over(earlier))), 1, n)
+    carried = lists.select("stretch__", before.alias("before__")).select("stretch__", F.explode("before__").alias("c__")).select("stretch__", "c__.row__.*")
     return rows.unionByName(carried), placed(targets, cutoff)
 
 

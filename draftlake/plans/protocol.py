@@ -79,7 +79,8 @@ def pinned(t) -> DataFrame:
 def stretches(t) -> DataFrame:
     """Form of the last ten games, with the history of each team cut into stretches of about a hundred."""
     m = drafts.matches(t)
-    games = settled(D._sided(m, "ended_at", "winner_team_id").withColumn("won", (F.col("winner_team_id") == F.col("team")).cast("int")), "team-games")
+    won = (F.col("winner_team_id") == F.col("team")).cast("int")
+    games = settled(D._sided(m, "ended_at", "winner_team_id").select("game_id", "ended_at", "team", won.alias("won")), "team-games")
     asked = D._sided(m, "history_cutoff_at").select("game_id", "side", "team", "history_cutoff_at")
     states = {"n": F.count(F.lit(1)), "wins": F.sum("won"), "latest": F.last("game_id")}
     seen = last_n_before(games, asked, ["team"], 10, states, cutoff="history_cutoff_at", bucket_rows=100)
