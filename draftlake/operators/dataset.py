@@ -103,30 +103,33 @@ def pre_features(targets: DataFrame, history: DataFrame, recent: int = RECENT, s
     continuity (players in common with the team's latest game, of five); head to head from blue's point of view.
     """
     team = _sided(history, "ended_at", "winner_team_id").withColumn("won", F.col("winner_team_id") == F.col("team"))
+    # passes take no more of a target than they look at, and their results meet at the end, flat: what nobody asks for (lists of ids) is not shuffled
     asked = _sided(targets, "history_cutoff_at")
     # players only of the last game, and of the one before in case that the last is the target's own
     states = {"games": F.collect_list(F.struct("game_id", "won")), "rosters": (2, F.collect_list(F.struct("game_id", "players")))}
-    seen = last_n_before(team, asked, ["team"], recent + 1, states, cutoff="history_cutoff_at")
-    seen = last_n_before(team, seen, ["team", "side"], side + 1, {"side_games": F.collect_list(F.struct("game_id", "won"))}, cutoff="history_cutoff_at")
     games, own_side, rosters = (F.coalesce(F.col(c), F.array()) for c in ("games", "side_games", "rosters"))
     own = F.col("game_id")
     last = F.get(_last(rosters, 1, own), F.lit(0))
-    stats = seen.select(
-        "game_id", "side", _stat(_last(games, recent, own)).alias("recent_form"), _stat(_last(own_side, side, own)).alias("side_win_rate"),
-        F.struct(
-            F.when(last.isNotNull(), F.size(F.array_intersect("players", last["players"])) / 5).alias("value"), last.isNotNull().cast("int").alias("sample_count"),
-            last.isNull().alias("missing"), F.array_compact(F.array(last["game_id"])).alias("game_ids"),
-        ).alias("roster_continuity"),
+    continuity = F.struct(
+        F.when(last.isNotNull(), F.size(F.array_intersect("players", last["players"])) / 5).alias("value"), last.isNotNull().cast("int").alias("sample_count"),
+        last.isNull().alias("missing"), F.array_compact(F.array(last["game_id"])).alias("game_ids"),
     )
-    wide = stats.groupBy("game_id").agg(
-        *(F.max_by(F.col(f), F.col("side") == s).alias(f"{s.lower()}_{f}") for s in SIDES for f in ("recent_form", "side_win_rate", "roster_continuity"))
-    )
+    seen = last_n_before(team, asked, ["team"], recent + 1, states, cutoff="history_cutoff_at")
+    seen = seen.select("game_id", "side", _stat(_last(games, recent, own)).alias("recent_form"), continuity.alias("roster_continuity"))
+    on_side = last_n_before(team, asked.drop("players"), ["team", "side"], side + 1, {"side_games": F.collect_list(F.struct("game_id", "won"))}, cutoff="history_cutoff_at")
+    on_side = on_side.select("game_id", "side", _stat(_last(own_side, side, own)).alias("side_win_rate"))
     pair = lambda df: df.withColumns({"a": F.least("blue_team_id", "red_team_id"), "b": F.greatest("blue_team_id", "red_team_id")})
     met = pair(history).withColumn("a_won", F.col("winner_team_id") == F.col("a"))
-    both = last_n_before(met, pair(targets), ["a", "b"], head_to_head + 1, {"met": F.collect_list(F.struct("game_id", "a_won"))}, cutoff="history_cutoff_at")
+    narrow = pair(targets.select("game_id", "blue_team_id", "red_team_id", "history_cutoff_at"))
+    both = last_n_before(met, narrow, ["a", "b"], head_to_head + 1, {"met": F.collect_list(F.struct("game_id", "a_won"))}, cutoff="history_cutoff_at")
     met_games = F.transform(_last(F.coalesce(F.col("met"), F.array()), head_to_head, own), lambda g: F.struct(g["game_id"].alias("game_id"), (g["a_won"] == (F.col("blue_team_id") == F.col("a"))).alias("won")))
-    both = both.withColumn("h2h_blue", _stat(met_games)).join(wide, "game_id")
-    return both.select(*targets.columns, *(c for f in PRE_STATS for c in _flat(f)))
+    parts = [both.withColumn("h2h_blue", _stat(met_games)).select("game_id", *_flat("h2h_blue"))]
+    for s in SIDES:
+        for found, stats in ((seen, ("recent_form", "roster_continuity")), (on_side, ("side_win_rate",))):
+            mine = found.where(F.col("side") == s).select("game_id", *(F.col(f).alias(f"{s.lower()}_{f}") for f in stats))
+            parts.append(mine.select("game_id", *(c for f in stats for c in _flat(f"{s.lower()}_{f}"))))
+    out = reduce(lambda a, b: a.join(b, "game_id"), parts, targets)
+    return out.select(*targets.columns, *(f"{f}_{x}" for f in PRE_STATS for x in (*_fields(f), "game_ids")))
 
 
 PRE_STATS = tuple(f"{s}_{f}" for s in ("blue", "red") for f in ("recent_form", "side_win_rate", "roster_continuity")) + ("h2h_blue",)
@@ -136,9 +139,12 @@ POST_FIELDS = ("champion_id", "games_count", "wins_count", "win_rate", "missing"
 POST_COLUMNS = tuple(f"{s.lower()}_{r.lower()}_{x}" for s in SIDES for r in ROLES for x in POST_FIELDS)
 
 
+def _fields(stat: str) -> list[str]:
+    return [x for x in PRE_FIELDS if f"{stat}_{x}" in PRE_COLUMNS]
+
+
 def _flat(stat: str) -> list[Column]:
-    fields = [x for x in PRE_FIELDS if f"{stat}_{x}" in PRE_COLUMNS]
-    return [F.col(stat)[x].alias(f"{stat}_{x}") for x in (*fields, "game_ids")]
+    return [F.col(stat)[x].alias(f"{stat}_{x}") for x in (*_fields(stat), "game_ids")]
 
 
 def slots_reason(reference: Column | None = None) -> Column:
@@ -168,22 +174,30 @@ def post_features(targets: DataFrame, history: DataFrame) -> DataFrame:
     """``targets`` (one row an id) with the 50 POST columns: each player's games and wins with their champion, for any team."""
     slot = history.select("ended_at", "winner_team_id", "game_id", F.explode("slots").alias("s"))
     played = slot.select("game_id", "ended_at", "s.player_id", "s.champion_id", (F.col("s.team_id") == F.col("winner_team_id")).cast("int").alias("won"))
-    # a target's own match that ended before its cutoff is no history of it: one row a match tells, not one a slot
-    own = history.select("game_id", F.col("ended_at").alias("own_end"), F.col("winner_team_id").alias("own_winner"), F.col("slots").alias("own_slots"))
-    asked = targets.select("game_id", "history_cutoff_at", "slots").join(own, "game_id", "left")
+    # a target's own match that ended before its cutoff is no history of it; such matches are few, so slots are looked up of those only
+    ends = history.where("ended_at IS NOT NULL").select("game_id", F.col("ended_at").alias("own_end"))
+    early = settled(targets.select("game_id", "history_cutoff_at").join(ends, "game_id").where("own_end < history_cutoff_at").select("game_id"), "early-targets")
+    own = history.join(early, "game_id", "left_semi").select("game_id", F.col("ended_at").alias("own_end"), F.col("winner_team_id").alias("own_winner"), F.col("slots").alias("own_slots"))
+    asked = targets.select("game_id", "history_cutoff_at", "slots").join(settled(own, "early-slots"), "game_id", "left")
     mine = lambda s: F.filter("own_slots", lambda o: (o["player_id"] == s["player_id"]) & (o["champion_id"] == s["champion_id"]))
-    early = F.coalesce(F.col("own_end") < F.col("history_cutoff_at"), F.lit(False))
-    slots = F.transform("slots", lambda s: F.struct(s["side"].alias("side"), s["role"].alias("role"), s["player_id"].alias("player_id"), s["champion_id"].alias("champion_id"), F.when(early, mine(s)).alias("mine")))
+    before = F.coalesce(F.col("own_end") < F.col("history_cutoff_at"), F.lit(False))
+    places = {(s, r): i for i, (s, r) in enumerate((s, r) for s in SIDES for r in ROLES)}
+    place = lambda s: F.coalesce(*(F.when((s["side"] == side) & (s["role"] == role), F.lit(i).cast("byte")) for (side, role), i in places.items()))
+    slots = F.transform("slots", lambda s: F.struct(place(s).alias("place"), s["player_id"].alias("player_id"), s["champion_id"].alias("champion_id"), F.when(before, mine(s)).alias("mine")))
     asked = asked.select("game_id", "history_cutoff_at", "own_winner", F.explode(slots).alias("s")).select(
-        "game_id", "history_cutoff_at", "s.side", "s.role", "s.player_id", "s.champion_id", F.coalesce(F.size("s.mine"), F.lit(0)).alias("own_games"),
+        "game_id", "history_cutoff_at", "s.place", "s.player_id", "s.champion_id", F.coalesce(F.size("s.mine"), F.lit(0)).alias("own_games"),
         F.coalesce(F.size(F.filter("s.mine", lambda o: o["team_id"] == F.col("own_winner"))), F.lit(0)).alias("own_wins"),
     )
-    seen = last_n_before(played, asked, ["player_id", "champion_id"], None, {"games": F.count(F.lit(1)), "wins": F.sum("won")}, cutoff="history_cutoff_at")
+    seen = last_n_before(played.drop("game_id").withColumn("game_id", F.lit("")), asked, ["player_id", "champion_id"], None, {"games": F.count(F.lit(1)), "wins": F.sum("won")}, cutoff="history_cutoff_at")
     games = F.coalesce("games", F.lit(0)) - F.col("own_games")
     wins = F.coalesce("wins", F.lit(0)) - F.col("own_wins")
-    rows = seen.select("game_id", "side", "role", F.struct(F.col("champion_id"), games.cast("int").alias("games_count"), wins.cast("int").alias("wins_count"), F.when(games > 0, wins / games).alias("win_rate"), (games == 0).alias("missing")).alias("f"))
-    wide = rows.groupBy("game_id").agg(*(F.max(F.when((F.col("side") == s) & (F.col("role") == r), F.col("f"))).alias(f"{s}_{r}") for s in SIDES for r in ROLES))
-    flat = [F.col(f"{s}_{r}")[x].alias(f"{s.lower()}_{r.lower()}_{x}") for s in SIDES for r in ROLES for x in POST_FIELDS]
+    rows = seen.select("game_id", F.struct("place", "champion_id", games.cast("int").alias("games_count"), wins.cast("int").alias("wins_count")).alias("f"))
+    lists = rows.repartition("game_id").groupBy("game_id").agg(F.collect_list("f").alias("found"))
+    at = lambda i: lambda f: f["place"] == i
+    of_place = {k: F.array_max(F.filter("found", at(i))) for k, i in places.items()}
+    wide = lists.select("game_id", *(f.alias(f"{s}_{r}") for (s, r), f in of_place.items()))
+    fields = lambda f: {"champion_id": f["champion_id"], "games_count": f["games_count"], "wins_count": f["wins_count"], "win_rate": F.when(f["games_count"] > 0, f["wins_count"] / f["games_count"]), "missing": f["games_count"] == 0}
+    flat = [fields(F.col(f"{s}_{r}"))[x].alias(f"{s.lower()}_{r.lower()}_{x}") for s, r in places for x in POST_FIELDS]
     return targets.join(wide.select("game_id", *flat), "game_id").select(*targets.columns, *POST_COLUMNS)
 
 
@@ -251,35 +265,60 @@ def source_conflicts(history: DataFrame, targets: DataFrame) -> DataFrame:
     return history.join(known, "game_id").select("game_id", "ended_at", differs.alias("columns")).where(F.size("columns") > 0)
 
 
-def paired_dataset(
-    targets: DataFrame, records: DataFrame, history: DataFrame, approved: list[str], champions: list[str] | None = None, protocol: str = STRICT, **windows: int
-) -> tuple[DataFrame, DataFrame]:
-    """(pairs, exclusions): rows with the label, 26 PRE and 50 POST columns; (game_id, reason) of targets left out.
+def _contradicting(history: DataFrame, targets: DataFrame) -> DataFrame:
+    """(game_id, ended_at) of ``source_conflicts``: each match travels as its short columns and the digests of its lists."""
+    shared = [c for c in COMPARED if c in history.columns and c in targets.columns]
+    value = lambda c: F.md5(F.to_json(F.sort_array(c))) if c in ("blue_roster", "red_roster", "slots") else F.col(c)
+    known = targets.select("game_id", *(value(c).alias(f"t_{c}") for c in shared))
+    known = known.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"), *(F.max(f"t_{c}").alias(f"t_{c}") for c in shared))
+    own = history.select("game_id", F.col("ended_at").alias("own_end"), *(value(c).alias(f"h_{c}") for c in shared))
+    differs = reduce(lambda a, b: a | b, (~F.col(f"h_{c}").eqNullSafe(F.col(f"t_{c}")) for c in shared), F.col("n") > 1)
+    return own.join(known, "game_id").where(differs).select("game_id", F.col("own_end").alias("ended_at"))
+
+
+def judged_targets(targets: DataFrame, records: DataFrame, history: DataFrame, approved: list[str], champions: list[str] | None = None, protocol: str = STRICT) -> DataFrame:
+    """(game_id, history_cutoff_at, reason) of each target row; no reason: it can be a pair.
 
     A target (a match with ``patch``, ``slots``, ``winner_team_id``, ``ended_at``) is left out as a pair for its first
     reason: copies of an id, the cutoff's, the label's, the lineup's, history that contradicts a target, the slots'.
-    ``approved`` and ``champions`` are lists of a policy and a catalogue.
+    ``approved`` and ``champions`` are lists of a policy and a catalogue. Rosters and slots are judged where they lie and do not travel.
     """
-    counted = targets.join(targets.groupBy("game_id").agg(F.count(F.lit(1)).alias("copies__")), "game_id")
-    cutoffs = resolve_cutoffs(targets, records, approved, protocol).withColumnRenamed("reason", "cutoff_reason__")
-    rows = counted.join(cutoffs, "game_id")
-    clash = source_conflicts(history.where("ended_at IS NOT NULL"), targets)  # a match without an end is no accepted history
+    known = F.array(*map(F.lit, champions)) if champions else None
+    own = targets.select(
+        "game_id", F.col("ended_at"), first_reason((F.col("winner_team_id").isNull() | ~F.col("winner_team_id").isin(F.col("blue_team_id"), F.col("red_team_id")), TARGET_WINNER)).alias("winner__"),
+        F.coalesce(lineup_reason(), first_reason((F.col("patch").isNull() | (F.trim("patch") == "") | (F.length("patch") > 20), PATCH_INVALID))).alias("lineup__"), slots_reason(known).alias("slots__"),
+    )
+    cutoffs = resolve_cutoffs(targets, records, approved, protocol).withColumnRenamed("reason", "cutoff__")
+    rows = own.join(targets.groupBy("game_id").agg(F.count(F.lit(1)).alias("copies__")), "game_id").join(cutoffs, "game_id")
+    clash = settled(_contradicting(history.where("ended_at IS NOT NULL"), targets), "contradictions")  # a match without an end is no accepted history
     first = clash.agg(F.min(F.struct("ended_at", "game_id")).alias("c__"))  # one row; of another id for the match itself
     others = clash.groupBy("game_id").agg(F.min("ended_at").alias("ended_at"))
     second = others.crossJoin(F.broadcast(first)).where("game_id <> c__.game_id").agg(F.min("ended_at").alias("d__"))
     rows = rows.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(second))
     earliest = F.when(F.col("c__.game_id") == F.col("game_id"), F.col("d__")).otherwise(F.col("c__.ended_at"))
-    known = F.array(*map(F.lit, champions)) if champions else None
     reason = F.coalesce(
-        first_reason((F.col("copies__") > 1, TARGET_DUPLICATE)), F.col("cutoff_reason__"),
-        first_reason((F.col("winner_team_id").isNull() | ~F.col("winner_team_id").isin(F.col("blue_team_id"), F.col("red_team_id")), TARGET_WINNER), (F.col("ended_at").isNull(), END_MISSING), (F.col("ended_at") <= F.col("history_cutoff_at"), END_EARLY)),
-        lineup_reason(), first_reason((F.col("patch").isNull() | (F.trim("patch") == "") | (F.length("patch") > 20), PATCH_INVALID), (earliest < F.col("history_cutoff_at"), SOURCE_CONFLICT)), slots_reason(known),
+        first_reason((F.col("copies__") > 1, TARGET_DUPLICATE)), F.col("cutoff__"), F.col("winner__"),
+        first_reason((F.col("ended_at").isNull(), END_MISSING), (F.col("ended_at") <= F.col("history_cutoff_at"), END_EARLY)), F.col("lineup__"),
+        first_reason((earliest < F.col("history_cutoff_at"), SOURCE_CONFLICT)), F.col("slots__"),
     )
-    rows = settled(rows.withColumn("reason", reason).drop("copies__", "cutoff_reason__", "c__", "d__"), "judged-targets")
-    good = rows.where("reason IS NULL").drop("reason")
-    pre = settled(pre_features(good, history, **windows), "pre-features")
-    pairs = post_features(pre, history).withColumn("y_blue_win", (F.col("winner_team_id") == F.col("blue_team_id")).cast("byte"))
-    return pairs.withColumnRenamed("ended_at", "target_ended_at"), rows.where("reason IS NOT NULL").select("game_id", "reason").distinct()
+    return rows.select("game_id", "history_cutoff_at", reason.alias("reason"))
+
+
+def exclusions(judged: DataFrame) -> DataFrame:
+    """(game_id, reason) of the ``judged_targets`` that are left out."""
+    return judged.where("reason IS NOT NULL").select("game_id", "reason").distinct()
+
+
+def paired_dataset(
+    targets: DataFrame, records: DataFrame, history: DataFrame, approved: list[str], champions: list[str] | None = None, protocol: str = STRICT, **windows: int
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs, exclusions): rows with the label, 26 PRE and 50 POST columns; (game_id, reason) of targets left out (``judged_targets``)."""
+    judged = settled(judged_targets(targets, records, history, approved, champions, protocol), "judged-targets")
+    good = targets.join(judged.where("reason IS NULL").select("game_id", "history_cutoff_at"), "game_id")  # of a repeated id none is good
+    pre = pre_features(good, history, **windows)
+    post = post_features(good.select("game_id", "history_cutoff_at", "slots"), history).select("game_id", *POST_COLUMNS)
+    pairs = pre.join(post, "game_id").withColumn("y_blue_win", (F.col("winner_team_id") == F.col("blue_team_id")).cast("byte"))
+    return pairs.withColumnRenamed("ended_at", "target_ended_at"), exclusions(judged)
 
 
 def table_issues(pairs: DataFrame) -> DataFrame:

@@ -107,11 +107,12 @@ def last_n_before(
         F.struct(*(e.over(frame(m)).alias(s) for s, (m, e) in over.items())).alias("state__"),
         (~F.lead(ts).over(order).eqNullSafe(F.col(ts))).alias("last__"),
     ).where("last__")
-    asked = targets.select(*keys, F.unix_micros(F.col(cutoff).cast("timestamp")).alias("at__"), F.struct(*(F.col(c) for c in columns)).alias("row__"))
+    rest = [c for c in columns if c not in keys]
+    asked = targets.select(*keys, F.unix_micros(F.col(cutoff).cast("timestamp")).alias("at__"), F.struct(F.lit(True).alias("asked__"), *(F.col(c) for c in rest)).alias("row__"))
     both = own.select(*keys, "at__", "state__").unionByName(asked, allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy("at__").rangeBetween(Window.unboundedPreceding, -1)
     seen = both.withColumn("seen__", F.last("state__", ignorenulls=True).over(before)).where("row__ IS NOT NULL")
-    return seen.select("row__.*", *(F.col(f"seen__.{s}").alias(s) for s in states))
+    return seen.select(*(F.col(c) if c in keys else F.col(f"row__.{c}") for c in columns), *(F.col(f"seen__.{s}").alias(s) for s in states))
 
 
 def reason_counts(history: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str = "ended_at", id_col: str = "game_id", cutoff: str = "cutoff") -> DataFrame:

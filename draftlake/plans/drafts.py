@@ -155,14 +155,15 @@ def cutoffs(t) -> DataFrame:
 @query("x09_exclusions", f"""WITH {SQL} SELECT reason, count(*) AS n FROM (SELECT coalesce({CUTOFF_CASE}, CASE WHEN ended_at IS NULL THEN 'E_LABEL_END_MISSING' WHEN ended_at <= cutoff THEN 'E_LABEL_END_NOT_AFTER_CUTOFF' END) AS reason FROM m) WHERE reason IS NOT NULL GROUP BY reason""")
 def exclusions(t) -> DataFrame:
     m = matches(t)
-    return D.paired_dataset(m.drop("history_cutoff_at"), records(m), m, [VERSION])[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return D.exclusions(D.judged_targets(m.drop("history_cutoff_at"), records(m), m, [VERSION])).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x09_dataset", f"""WITH {SQL} SELECT count(*) AS n_pairs, sum((winner = blue)::INTEGER)::BIGINT AS wins, min(cutoff) AS first_cutoff, max(ended_at) AS last_end, 0::BIGINT AS n_issues FROM m
     WHERE {CUTOFF_CASE} IS NULL AND ended_at > cutoff""")
 def dataset(t) -> DataFrame:
     m = matches(t)
-    pairs = settled(D.paired_dataset(m.drop("history_cutoff_at"), records(m), m, [VERSION])[0], "pairs")
+    pairs = D.paired_dataset(m.drop("history_cutoff_at"), records(m), m, [VERSION])[0]
+    pairs = settled(pairs.select("game_id", "history_cutoff_at", "target_ended_at", "y_blue_win", *D.PRE_COLUMNS, *D.POST_COLUMNS), "pairs")
     issues = D.table_issues(pairs).agg(F.count(F.lit(1)).alias("n_issues"))  # one row
     counted = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("y_blue_win").alias("wins"), F.min("history_cutoff_at").alias("first_cutoff"), F.max("target_ended_at").alias("last_end"))
     return counted.crossJoin(issues)
