@@ -105,22 +105,22 @@ def lineup_codes(players: DataFrame) -> DataFrame:
     A row with a code is no valid row; a match needs ten valid ones, of ten players and participant ids, five roles a side.
     """
     role, ok = F.coalesce(F.col("position").isin(*C.POSITIONS), F.lit(False)), F.coalesce(F.col("side").isin(*C.SIDES), F.lit(False))
-    row = F.array_compact(
-        F.array(
-            F.when(~ok, "INVALID_SIDE"), F.when(~role, "INVALID_ROLE"), F.when(F.col("participantid").isNull(), "MISSING_PARTICIPANT_ID"),
-            F.when(F.col("player_id").isNull(), "PLAYER_ID_UNRESOLVED"), F.when(F.col("champion_id").isNull(), "CHAMPION_UNMAPPED"),
-        )
-    )
-    rows = players.withColumn("row_codes", row).withColumn("valid", F.size("row_codes") == 0)
-    good = lambda c: F.when(F.col("valid"), F.col(c))
+    faults = {
+        "INVALID_SIDE": ~ok, "INVALID_ROLE": ~role, "MISSING_PARTICIPANT_ID": F.col("participantid").isNull(),
+        "PLAYER_ID_UNRESOLVED": F.col("player_id").isNull(), "CHAMPION_UNMAPPED": F.col("champion_id").isNull(),
+    }
+    rows = players.select("gameid", "side", "position", "participantid", "player_id", *(bad.alias(code) for code, bad in faults.items()))
+    rows = rows.withColumn("valid", ~reduce(lambda a, b: a | b, (F.col(code) for code in faults)))
+    several = lambda c: F.size(F.collect_set(F.when(F.col("valid"), F.col(c))))
     side = lambda s: F.col("valid") & (F.col("side") == s)
-    torn = lambda s: (F.count_if(side(s)) != 5) | (F.countDistinct(F.when(side(s), F.col("position"))) != 5)
+    # valid rows have one of five positions: they are five, and none twice, if each is there once
+    torn = lambda s: reduce(lambda a, b: a | b, (F.count_if(side(s) & (F.col("position") == p)) != 1 for p in C.POSITIONS))
     whole = rows.groupBy("gameid").agg(
-        F.flatten(F.collect_set("row_codes")).alias("of_rows"),
+        F.array_compact(F.array(*(F.when(F.bool_or(code), code) for code in faults))).alias("of_rows"),
         F.array_compact(
             F.array(
-                F.when(F.count_if("valid") != 10, "GAME_REQUIRES_TEN_RESOLVED_PLAYERS"), F.when(F.countDistinct(good("player_id")) != 10, "GAME_REQUIRES_TEN_UNIQUE_PLAYERS"),
-                F.when(F.countDistinct(good("participantid")) != 10, "DUPLICATE_GAME_PARTICIPANT_ID"), F.when(torn("Blue") | torn("Red"), "TEAM_ROLE_SET_INCOMPLETE"),
+                F.when(F.count_if("valid") != 10, "GAME_REQUIRES_TEN_RESOLVED_PLAYERS"), F.when(several("player_id") != 10, "GAME_REQUIRES_TEN_UNIQUE_PLAYERS"),
+                F.when(several("participantid") != 10, "DUPLICATE_GAME_PARTICIPANT_ID"), F.when(torn("Blue") | torn("Red"), "TEAM_ROLE_SET_INCOMPLETE"),
             )
         ).alias("of_match"),
     )

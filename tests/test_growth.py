@@ -20,3 +20,48 @@ def test_stretches_are_found_by_binary_search_and_tails_not_exploded_twice(spark
     for h, ids in seen.items():
         before = sorted(sorted((g for g in games if g[0] < h), key=lambda g: g[1]), key=lambda g: -g[0])[:3]
         assert (ids or []) == [g for _, g in reversed(before)]
+
+
+def test_exclusions_make_no_features(spark, monkeypatch):
+    from test_dataset import DAY, SCHEMA, match, records, targets
+
+    from draftlake.operators import dataset as D
+
+    history = spark.createDataFrame([match("h1", "A", "B", "A", DAY)], SCHEMA)
+    asked = targets(spark, 3).drop("history_cutoff_at")
+    monkeypatch.setattr(D, "pre_features", None)  # would fail if called
+    judged = D.judged_targets(asked, records(spark, ["t00", "t01"]), history, ["p1"])
+    assert [(r.game_id, r.reason) for r in D.exclusions(judged).collect()] == [("t02", "E_CUTOFF_MISSING")]
+
+
+def test_states_of_a_group_need_no_distinct_counts(spark):
+    from draftlake.operators import groups as G
+
+    rows = spark.createDataFrame([(k, v) for k, vs in (("one", "aa"), ("two", "ab"), ("some", ["a", None]), ("none", [None])) for v in vs], "k string, v string")
+    out = rows.groupBy("k").agg(G.collapse_state(F.col("v")).alias("state"), G.collapse_value(F.col("v")).alias("value"), G.collapse_state(F.upper("v")).alias("other"))
+    assert {r.k: (r.state, r.value, r.other) for r in out.collect()} == {"one": ("SINGLE", "a", "SINGLE"), "two": ("CONFLICT", None, "CONFLICT"), "some": ("MIXED", None, "MIXED"), "none": ("MISSING", None, "MISSING")}
+    assert "Expand" not in plan_of(out)  # several distinct counts multiply the rows
+
+
+def test_lineup_codes_do_not_multiply_rows(spark):
+    from draftlake.operators import conform as T
+
+    sides = [(s, p) for s in ("Blue", "Red") for p in ("top", "jng", "mid", "bot", "sup")]
+    rows = [("ok", s, p, str(i), f"p{i}", "c") for i, (s, p) in enumerate(sides)]
+    rows += [("twice", s, "top" if (s, p) == ("Red", "mid") else p, str(max(i, 1)), f"p{min(i, 8)}", "c") for i, (s, p) in enumerate(sides)]
+    rows += [("bad", "Blue", "xyz", None, None, None), ("bad", "Grey", "top", "1", "p1", "c")]
+    out = T.lineup_codes(spark.createDataFrame(rows, "gameid string, side string, position string, participantid string, player_id string, champion_id string"))
+    whole = ["DUPLICATE_GAME_PARTICIPANT_ID", "GAME_REQUIRES_TEN_UNIQUE_PLAYERS", "TEAM_ROLE_SET_INCOMPLETE"]
+    rest = ["CHAMPION_UNMAPPED", "GAME_REQUIRES_TEN_RESOLVED_PLAYERS", "INVALID_ROLE", "INVALID_SIDE", "MISSING_PARTICIPANT_ID", "PLAYER_ID_UNRESOLVED"]
+    assert {r.gameid: r.codes for r in out.collect()} == {"ok": [], "twice": whole, "bad": sorted(whole + rest)}
+    assert "Expand" not in plan_of(out)
+
+
+def test_rules_of_a_feed_read_their_columns_only(spark, tmp_path):
+    import duckdb
+
+    from draftlake.plans import feed
+
+    duckdb.sql("COPY (SELECT i AS o_orderkey, i AS o_custkey, TIMESTAMP '1995-01-01' AS o_orderdate FROM range(60) t(i)) TO '%s/orders.parquet'" % tmp_path)
+    rows = feed.feed(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet"))
+    assert [f for f in rows.inputFiles() if not f.endswith("orders.parquet")] == []  # not written whole before it is read
