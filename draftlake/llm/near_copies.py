@@ -17,6 +17,9 @@ The first round takes eight keys a text, of each text the pairs of its small key
 the large groups. The second takes all keys, where a group of over ``BIG`` texts counts as one: a task sends on one
 text of it a key, and what meets that text is compared with the heads of the whole group as well. Texts of one group
 are not compared again.
+
+What the heads leave over is compared in full: every two texts of a key that are not in one group after two rounds, and
+every text with all texts of a large group that it met. So the heads only save comparisons within groups, and lose none.
 """
 
 from __future__ import annotations
@@ -208,8 +211,11 @@ def first_candidates(nodes: DataFrame) -> DataFrame:
     return _ordered(_plausible(pairs.union(majority_heads(top))))
 
 
-def more_candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs u < v of different groups that may be similar enough: of small keys, with the heads of larger ones, and with those of the large groups met."""
+def more_candidates(nodes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs u < v of different groups that may be similar enough: of small keys, with the heads of larger ones, and with those of the large groups met.
+
+    Also the texts with their groups, and the shared keys of all (for ``rest_candidates``).
+    """
     rooted = nodes.select("node", "n", "bits", "codes").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = groups.groupBy("root").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > BIG)
     rooted = rooted.join(held, "root", "left").withColumn("unit", F.when(F.col("held").isNull(), F.col("node")).otherwise(F.col("root")))
@@ -228,7 +234,42 @@ def more_candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     heads = stored(_heads(*_salted(large)).drop("key"), "copy-heads")
     both = near.union(near.select(*PAIR[len(PAIR) // 2 :], *PAIR[: len(PAIR) // 2]))
     met = both.select("node", "n", "bits", "root", "root2").distinct().join(heads, "root2").select(*PAIR)
-    return _ordered(_plausible(near.union(met)))
+    return _ordered(_plausible(near.union(met))), rooted, shared
+
+
+def rest_candidates(rooted: DataFrame, shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs u < v that may be similar enough and that ``groups`` still holds apart: all of each key of over ``BUCKET`` texts, and all texts of the large groups met.
+
+    A task compares at most SALT texts at a time with those dealt to it. Of each key the texts of its commonest group are on one side only: they are not compared with each other.
+    """
+    now = groups.select("node", F.col("root").alias("now"))
+    placed = lambda df: stored(df.join(now, "node", "left").withColumn("root", F.coalesce("now", "node")).drop("now"), "copy-placed")
+    keyed = placed(shared.withColumn("unit", F.when(F.col("held").isNull(), F.col("node")).otherwise(F.col("root"))))
+    sizes = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("own", "root")).alias("most"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    parts = lambda c: (F.floor((c - 1) / SALT) + 1).cast("int")
+    mixed = stored(mixed.select("key", F.col("most.root").alias("main"), parts(F.col("all") - F.col("most.own")).alias("rows"), parts(F.col("all")).alias("columns")), "copy-mixed")
+    own = ("node", "n", "bits", "root", "unit", "held")
+    both = stored(keyed.join(mixed, "key"), "copy-keyed")
+    dealt = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    few = both.where("root <> main").select("key", "main", "texts", *own, dealt("rows").alias("a"), every("columns").alias("b"))
+    all_ = both.select(F.col("key").alias("key2"), *(F.col(c).alias(f"{c}2") for c in own), dealt("columns").alias("b2"), every("rows").alias("a2"))
+    near = (F.least("n", "n2") * WHOLE >= F.greatest("n", "n2") * PART) & (_apart("bits", "bits2") <= FAR) & (F.col("texts") > BUCKET)
+    large = F.col("held").isNotNull() | F.col("held2").isNotNull()
+    once = (F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2"))
+    same = (F.col("key") == F.col("key2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
+    met = stored(few.join(all_, same & once & (F.col("root") != F.col("root2")) & (near | large)).select(*own, *(f"{c}2" for c in own)), "copy-met")
+
+    # each text that met a large group, or the texts of a smaller one, with all texts of the group
+    texts = placed(rooted.select(*own))
+    sides = [F.struct(F.coalesce(f"held{i}", F.lit(1).cast("long")).alias("texts"), F.col(f"unit{i}").alias("unit")) for i in ("", "2")]
+    units = met.where(large).select(F.least(*sides).alias("x"), F.greatest(*sides).alias("y")).distinct()
+    units = units.select(F.col("x.unit").alias("unit"), F.col("y.unit").alias("group"), F.explode(F.sequence(F.lit(0), parts(F.col("y.texts")) - 1)).alias("b"))
+    left = texts.select("node", "n", "bits", "root", "unit").join(units, "unit").drop("unit")
+    members = texts.where("held IS NOT NULL").select(*(F.col(c).alias(f"{c}2") for c in ("node", "n", "bits", "root", "unit")), F.pmod(F.xxhash64("node"), parts(F.col("held"))).cast("int").alias("b2"))
+    inside = left.join(members, (F.col("group") == F.col("unit2")) & (F.col("b") == F.col("b2")) & (F.col("root") != F.col("root2")))
+    return _ordered(_plausible(met.where(~large).select(*PAIR).union(inside.select(*PAIR))))
 
 
 def similar(found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,13 +284,18 @@ def _ends(found: DataFrame) -> DataFrame:
 
 
 def groups_of(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the groups that the similar ones of the candidates make, in two rounds."""
+    """(node, root) of the groups that the similar ones of the candidates make, in two rounds and one over what they leave."""
     first = stored(first_candidates(nodes), "copy-first")
     sure = stored(similar(first, sets_of(_ends(first))), "copy-links")
     groups = stored(components(sure), "copy-groups")
-    left = stored(more_candidates(nodes, groups).join(first, ["u", "v"], "left_anti"), "copy-left")
+    found, rooted, shared = more_candidates(nodes, groups)
+    left = stored(found.join(first, ["u", "v"], "left_anti"), "copy-left")
     more = stored(similar(left, sets_of(_ends(left))), "copy-links")
-    return stored(components(sure.union(more)), "copy-groups")
+    groups = stored(components(sure.union(more)), "copy-groups")
+    rest = rest_candidates(rooted, shared, groups).join(first.select("u", "v").union(left.select("u", "v")), ["u", "v"], "left_anti")
+    rest = stored(rest, "copy-rest")
+    last = stored(similar(rest, sets_of(_ends(rest))), "copy-links")
+    return groups if last.isEmpty() else stored(components(sure.union(more).union(last)), "copy-groups")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

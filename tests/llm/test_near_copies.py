@@ -105,3 +105,16 @@ def test_groups_of_more_texts_than_a_unit(spark, monkeypatch):
     got = {r.doc_id for r in near_copies.first_of_each(frame(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
     expected = heads_of(texts)
     assert expected <= got and len(got - expected) <= 1
+
+
+def test_no_partner_is_lost_to_heads(spark, monkeypatch):
+    """Twelve texts with all keys in common: those near to neither head of a key, and one near to a single text of a large group, are found too."""
+    from draftlake.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BIG", 2)
+    monkeypatch.setattr(near_copies, "SALT", 3)
+    starts = {0: 0, 1: 5, 2: 10, 11: 20, 3: 1000, 4: 1010, 5: 2000, 6: 2010} | {i: i * 1000 for i in range(7, 11)}
+    sets = spark.createDataFrame([(i, list(range(at, at + 100))) for i, at in starts.items()], "node long, hashes array<long>")
+    nodes = spark.createDataFrame([(i, 100, 0, [0] * near_copies.PARTS) for i in starts], "node long, n int, bits long, codes array<short>")
+    groups = near_copies.groups_of(nodes, lambda wanted: sets.join(wanted, "node"))
+    assert {(r.node, r.root) for r in groups.collect()} == {(0, 0), (1, 0), (2, 0), (11, 0), (3, 3), (4, 3), (5, 5), (6, 5)}
