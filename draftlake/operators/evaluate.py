@@ -64,14 +64,22 @@ def read_back(saved: DataFrame, warnings: DataFrame, ids: DataFrame) -> DataFram
     return out.withColumns({"warnings": F.coalesce("warnings", none), "post_ids": F.coalesce("post_ids", none)})
 
 
+def beside(new: DataFrame, known: DataFrame, key: str = "idempotency_key", content: str = "content_sha256") -> DataFrame:
+    """``new`` with its order within a key (n__, first__) and the columns of ``known`` (its key and content as stored__), null if the key is not stored."""
+    order = Window.partitionBy(key).orderBy("created_at", content)
+    return new.withColumns({"n__": F.row_number().over(order), "first__": F.first(content).over(order)}).join(known, key, "left")
+
+
+def conflicting(content: str = "content_sha256") -> F.Column:
+    return F.col(content) != F.coalesce("stored__", "first__")
+
+
 def save(new: DataFrame, stored: DataFrame, key: str = "idempotency_key", content: str = "content_sha256") -> tuple[DataFrame, DataFrame]:
     """(rows to append, conflicts): a key that is stored with the same content is skipped. Of the rows of one key in a batch the first by time
     counts; a key is a conflict if any of its rows has another content than the one that is stored or counts.
     """
-    order = Window.partitionBy(key).orderBy("created_at", content)
-    known = stored.select(key, F.col(content).alias("stored__"))
-    both = new.withColumns({"n__": F.row_number().over(order), "first__": F.first(content).over(order)}).join(known, key, "left")
-    conflicts = both.where(F.col(content) != F.coalesce("stored__", "first__")).select(key, F.lit(STORAGE_CONFLICT).alias("code")).distinct()
+    both = beside(new, stored.select(key, F.col(content).alias("stored__")), key, content)
+    conflicts = both.where(conflicting(content)).select(key, F.lit(STORAGE_CONFLICT).alias("code")).distinct()
     return both.where("n__ = 1 AND stored__ IS NULL").select(*new.columns), conflicts
 
 

@@ -65,3 +65,15 @@ def test_rules_of_a_feed_read_their_columns_only(spark, tmp_path):
     duckdb.sql("COPY (SELECT i AS o_orderkey, i AS o_custkey, TIMESTAMP '1995-01-01' AS o_orderdate FROM range(60) t(i)) TO '%s/orders.parquet'" % tmp_path)
     rows = feed.feed(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet"))
     assert [f for f in rows.inputFiles() if not f.endswith("orders.parquet")] == []  # not written whole before it is read
+
+
+def test_an_import_reads_its_batch_once_beside_what_is_stored(spark, tmp_path, monkeypatch):
+    from draftlake.operators import evaluate as E
+    from draftlake.streaming import imports as I
+
+    ledger = I.Ledger(spark, f"file://{tmp_path}/ledger", "idempotency_key string, content_sha256 string, created_at timestamp, p double")
+    rows = spark.range(6).selectExpr("concat('k', id) idempotency_key", "concat('c', id) content_sha256", "timestamp '2025-01-01' created_at", "id / 10.0D p")
+    monkeypatch.setattr(E, "save", None)  # two plans over one batch; would fail if called
+    assert ledger.import_batch(rows.limit(3), 0) == I.IMPORTED and ledger.import_batch(rows, 1) == I.IMPORTED
+    assert ledger.import_batch(rows, 1) == I.VERIFIED  # three of its keys are in the folder of the first
+    assert sorted(r.idempotency_key for r in ledger.rows().collect()) == [f"k{i}" for i in range(6)]
