@@ -11,6 +11,7 @@ from draftlake.functions import scalars as S
 from draftlake.operators import groups as G
 from draftlake.operators import joins as J
 from draftlake.plans.registry import query
+from draftlake.session import dealt
 
 
 @query("s04_scan_project", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_quantity > 45")
@@ -205,10 +206,12 @@ def pair(t) -> DataFrame:
     SELECT l_orderkey, count(*) <> count(DISTINCT n) AS has_duplicate, max(n) = count(DISTINCT n) AND min(n) = 1 AS is_contiguous, max(n) <= 5 AS within_best_of, bool_and(coalesce(prev <= d, true)) AS is_ordered FROM l GROUP BY l_orderkey""")
 def series_checks(t) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate")
-    lines = t("lineitem").withColumn("prev", F.lag("l_shipdate").over(order))
     n = F.col("l_linenumber")
+    lines = dealt(t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_orderkey")
+    lines = lines.withColumns({"prev": F.lag("l_shipdate").over(order), "fresh": n.isNotNull() & ~n.eqNullSafe(F.lag(n).over(order))})
+    distinct = F.count_if("fresh")  # rows of one number are neighbours
     return lines.groupBy("l_orderkey").agg(
-        (F.count(F.lit(1)) != F.countDistinct(n)).alias("has_duplicate"), ((F.max(n) == F.countDistinct(n)) & (F.min(n) == 1)).alias("is_contiguous"),
+        (F.count(F.lit(1)) != distinct).alias("has_duplicate"), ((F.max(n) == distinct) & (F.min(n) == 1)).alias("is_contiguous"),
         (F.max(n) <= 5).alias("within_best_of"), F.bool_and(F.coalesce(F.col("prev") <= F.col("l_shipdate"), F.lit(True))).alias("is_ordered"),
     )
 

@@ -77,3 +77,10 @@ def test_an_import_reads_its_batch_once_beside_what_is_stored(spark, tmp_path, m
     assert ledger.import_batch(rows.limit(3), 0) == I.IMPORTED and ledger.import_batch(rows, 1) == I.IMPORTED
     assert ledger.import_batch(rows, 1) == I.VERIFIED  # three of its keys are in the folder of the first
     assert sorted(r.idempotency_key for r in ledger.rows().collect()) == [f"k{i}" for i in range(6)]
+
+
+def test_tasks_grow_with_the_rows_that_they_sort(spark, monkeypatch):
+    from draftlake import session as S
+
+    monkeypatch.setattr(S, "PART_ROWS", 100)
+    assert S.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 11
