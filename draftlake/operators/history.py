@@ -115,6 +115,16 @@ def last_n_before(
     return seen.select(*(F.col(c) if c in keys else F.col(f"row__.{c}") for c in columns), *(F.col(f"seen__.{s}").alias(s) for s in states))
 
 
+def nth_end(history: DataFrame, keys: Sequence[str], n: int, ts: str = "ended_at", name: str = "nth_end") -> DataFrame:
+    """The keys of at least n rows with a time, each once, with the time of their n-th row. A cutoff has n rows before it if it is after that time.
+
+    Of each key a task sends on n rows at most.
+    """
+    order = Window.partitionBy(*keys).orderBy(ts)
+    first = history.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias(name), F.row_number().over(order).alias("n__")).where(F.col("n__") <= n)
+    return first.where(F.col("n__") == n).drop("n__")
+
+
 def reason_counts(history: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str = "ended_at", id_col: str = "game_id", cutoff: str = "cutoff") -> DataFrame:
     """(reason, n): how many matches of its keys each reason keeps out of a target's history, or ACCEPTED, over all targets.
 

@@ -212,12 +212,12 @@ def warnings(t) -> DataFrame:
     from draftlake.operators.evaluate import warning_codes
 
     m = matches(t)
-    one = {"n": F.count(F.lit(1))}
-    targets = m.select("game_id", F.col("blue").alias("team"), "blue", "red", "champion", "cutoff")
-    seen = H.last_n_before(team_history(m), targets, ["team"], 10, one).withColumnRenamed("n", "games")
-    seen = H.last_n_before(m.select("blue", "red", "game_id", "ended_at"), seen, ["blue", "red"], None, one).withColumnRenamed("n", "met")
-    seen = H.last_n_before(m.select("blue", "champion", "game_id", "ended_at"), seen, ["blue", "champion"], None, one).withColumnRenamed("n", "played")
-    codes = warning_codes(F.coalesce("games", F.lit(0)) < 10, F.coalesce("met", F.lit(0)) == 0, F.coalesce("played", F.lit(0)) == 0)
+    tenth = H.nth_end(team_history(m), ["team"], 10, name="tenth").withColumnRenamed("team", "blue")
+    first = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.min("ended_at").over(Window.partitionBy(a, b)))
+    seen = m.select("game_id", "blue", "red", "champion", "ended_at", "cutoff").withColumn("met", first("blue", "red")).drop("red").withColumn("played", first("blue", "champion"))
+    seen = seen.select("game_id", "blue", "cutoff", "met", "played").join(tenth, "blue", "left")
+    before = lambda c: F.coalesce(F.col(c) < F.col("cutoff"), F.lit(False))
+    codes = warning_codes(~before("tenth"), ~before("met"), ~before("played"))
     return seen.select("game_id", F.posexplode(codes).alias("position", "code"))
 
 

@@ -84,3 +84,12 @@ def test_tasks_grow_with_the_rows_that_they_sort(spark, monkeypatch):
 
     monkeypatch.setattr(S, "PART_ROWS", 100)
     assert S.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 11
+
+
+def test_warnings_need_no_running_history(spark, monkeypatch):
+    from draftlake.plans import features
+
+    monkeypatch.setattr(H, "last_n_before", None)  # a sort of history and of targets each; would fail if called
+    assert features.warnings(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")).columns == ["game_id", "position", "code"]
+    rows = spark.createDataFrame([("a", 3), ("a", 1), ("a", 1), ("a", None), ("b", 5), (None, 1), (None, 2)], "k string, at int")
+    assert {(r.k, r.nth_end) for r in H.nth_end(rows, ["k"], 2, ts="at").collect()} == {("a", 1), (None, 2)}
