@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,22 +32,26 @@ class Activity(StatefulProcessor):
         self.state = handle.getValueState("state", "pre string, pre_at long, post string, post_at long, parent string, since long, shown_pre string, shown_post string, seq long")
         self.gone = handle.getMapState("gone", "evaluation_id string", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pre, pre_at, post, post_at, parent, since, shown_pre, shown_post, seq = self.state.get() if self.state.exists() else (None, None, None, None, None, None, None, None, 0)
-        for frame in rows:
-            for e in frame.itertuples():
-                at = e.created_at.value // 1000 if pd.notna(e.created_at) else 0
-                if e.kind == "INVALIDATE":
-                    self.gone.updateValue((e.evaluation_id,), (at,))
-                elif e.kind == "CONTEXT":
-                    since = at if since is None else max(since, at)
-                elif e.kind == "PRE" and (pre is None or (at, e.evaluation_id) > (pre_at, pre)):
-                    pre, pre_at = e.evaluation_id, at
-                elif e.kind == "POST" and (post is None or (at, e.evaluation_id) > (post_at, post)):
-                    post, post_at, parent = e.evaluation_id, at, e.parent_id
-        holds = lambda i, at: i is not None and not self.gone.containsKey((i,)) and (since is None or at >= since)
-        now_pre = pre if holds(pre, pre_at) else None
-        now_post = post if holds(post, post_at) and now_pre is not None and parent == now_pre else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # each call of the state is a message to the JVM and back, so there are as few as may be
+        pre, pre_at, post, post_at, parent, since, shown_pre, shown_post, seq = self.state.get() or (None, None, None, None, None, None, None, None, 0)
+        fresh = {}
+        for e in rows:
+            kind, i, at = e.kind, e.evaluation_id, e.at
+            if kind == "INVALIDATE":
+                fresh[i] = at
+            elif kind == "CONTEXT":
+                since = at if since is None else max(since, at)
+            elif kind == "PRE" and (pre is None or (at, i) > (pre_at, pre)):
+                pre, pre_at = i, at
+            elif kind == "POST" and (post is None or (at, i) > (post_at, post)):
+                post, post_at, parent = i, at, e.parent_id
+        for i, at in fresh.items():
+            self.gone.updateValue((i,), (at,))
+        # what was shown had not been taken back before
+        holds = lambda i, at, shown: i is not None and (since is None or at >= since) and i not in fresh and (i == shown or not self.gone.containsKey((i,)))
+        now_pre = pre if holds(pre, pre_at, shown_pre) else None
+        now_post = post if now_pre is not None and parent == now_pre and holds(post, post_at, shown_post) else None
         changes = []
         for phase, old, new in (("PRE", shown_pre, now_pre), ("POST", shown_post, now_post)):
             if old != new:
@@ -59,16 +62,14 @@ class Activity(StatefulProcessor):
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=NAMES)
+        yield from (Row(**dict(zip(NAMES, c, strict=True))) for c in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         *_, shown_pre, shown_post, seq = self.state.get()
         out = [(*key, seq + n, phase, i, False) for n, (phase, i) in enumerate(x for x in (("PRE", shown_pre), ("POST", shown_post)) if x[1] is not None)]
         self.state.clear()
         self.gone.clear()
-        if out:
-            yield pd.DataFrame(out, columns=NAMES)
+        yield from (Row(**dict(zip(NAMES, c, strict=True))) for c in out)
 
     def close(self) -> None:
         pass
@@ -76,8 +77,9 @@ class Activity(StatefulProcessor):
 
 def changes(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """A stream of EVENT rows as a stream of CHANGE rows."""
-    keyed = events.select(*(c.split()[0] for c in EVENT.split(", "))).groupBy("subject_id", "model_id")
-    return keyed.transformWithStateInPandas(Activity(idle_ms), CHANGE, "Append", "None" if idle_ms is None else "ProcessingTime")
+    at = F.coalesce(F.unix_micros("created_at"), F.lit(0).cast("long")).alias("at")
+    keyed = events.select("kind", "subject_id", "model_id", "evaluation_id", "parent_id", at).groupBy("subject_id", "model_id")
+    return keyed.transformWithState(Activity(idle_ms), CHANGE, "Append", "None" if idle_ms is None else "ProcessingTime")
 
 
 def start(spark: SparkSession, events: DataFrame, path: str, checkpoint: str, idle_ms: int | None = None):

@@ -93,3 +93,19 @@ def test_warnings_need_no_running_history(spark, monkeypatch):
     assert features.warnings(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")).columns == ["game_id", "position", "code"]
     rows = spark.createDataFrame([("a", 3), ("a", 1), ("a", 1), ("a", None), ("b", 5), (None, 1), (None, 2)], "k string, at int")
     assert {(r.k, r.nth_end) for r in H.nth_end(rows, ["k"], 2, ts="at").collect()} == {("a", 1), (None, 2)}
+
+
+def test_activity_asks_its_state_as_seldom_as_may_be():
+    from types import SimpleNamespace as N
+    from unittest.mock import Mock
+
+    from draftlake.streaming import activity as A
+
+    state, gone = Mock(), Mock()
+    state.get.return_value = ("e1", 5, None, None, None, None, "e1", None, 1)
+    work = A.Activity()
+    work.init(N(getValueState=lambda *_: state, getMapState=lambda *_: gone))
+    events = [N(kind="POST", evaluation_id="e2", parent_id="e1", at=7)]
+    gone.containsKey.return_value = False
+    assert [tuple(r) for r in work.handleInputRows(("s", "m"), iter(events), None)] == [("s", "m", 1, "POST", "e2", True)]
+    assert not state.exists.called and gone.containsKey.call_count == 1  # e1 is shown already
