@@ -1,5 +1,8 @@
 """Steps whose cost once grew faster than their input: the results stay, the dear form of the plan is gone."""
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from draftlake.operators import history as H
@@ -109,3 +112,58 @@ def test_activity_asks_its_state_as_seldom_as_may_be():
     gone.containsKey.return_value = False
     assert [tuple(r) for r in work.handleInputRows(("s", "m"), iter(events), None)] == [("s", "m", 1, "POST", "e2", True)]
     assert not state.exists.called and gone.containsKey.call_count == 1  # e1 is shown already
+
+
+def test_history_and_targets_are_dealt_out_once_and_narrow(spark):
+    from test_dataset import DAY, SCHEMA, match, targets
+
+    from draftlake.operators import dataset as D
+
+    history = spark.createDataFrame([match("h1", "A", "B", "A", DAY)], SCHEMA)
+    asked = targets(spark, 3)
+    plan = D.pre_features(asked, history).select("game_id", *D.PRE_COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(team#") == plan.count("Exchange hashpartitioning(a#") == 1  # states of the history were dealt out again with the targets
+    plan = D.post_features(asked, history).select("game_id", *D.POST_COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(player_id#") == 1
+
+
+def test_lists_of_a_key_and_of_a_part_of_it_by_stretches(spark):
+    rng = random.Random(7)
+    at = lambda h: datetime(2025, 1, 1) + timedelta(hours=h)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice(["B", "R", "R", "R", "R", "R"]), at(rng.randrange(90)) if rng.random() < 0.95 else None, f"g{i}") for i in range(400)]
+    history = spark.createDataFrame(rows, "team string, side string, ended_at timestamp, game_id string")
+    asked = [(t, s, at(h), f"t{h}") for t in ("hot", "a", "b", None) for s in "BR" for h in range(-3, 95, 4)]
+    targets = spark.createDataFrame([*asked, asked[-1]], "team string, side string, cutoff timestamp, game_id string")
+    lists = [(4, F.col("game_id"), (), lambda x: [x.alias("of_team"), F.size(x).alias("n")]), (7, F.struct("game_id", "side"), ("side",), lambda x: [x["game_id"].alias("of_side")])]
+    for bucket in (10**6, 15):
+        out = H.lists_before(history, targets, ["team"], lists, bucket_rows=bucket)
+        assert out.columns == ["team", "side", "game_id", "of_team", "n", "of_side"] and out.count() == len(asked) + 1
+        got = {(r.team, r.side, r.game_id): (r.of_team, r.n, r.of_side) for r in out.collect()}
+        for t, s, cutoff, i in asked:
+            own = sorted(sorted((r for r in rows if r[0] == t and r[2] and r[2] < cutoff), key=lambda r: r[3], reverse=True), key=lambda r: r[2])
+            of_team, of_side = [r[3] for r in own][-4:], [r[3] for r in own if r[1] == s][-7:]
+            assert got[t, s, i] == (of_team, len(of_team), of_side)
+
+
+def test_a_dataset_does_not_mind_the_order_of_lineups(spark):
+    from test_dataset import DAY, SCHEMA, match, records, targets
+
+    from draftlake.operators import dataset as D
+
+    rng = random.Random(3)
+    mixed = lambda m: tuple(rng.sample(x, len(x)) if isinstance(x, list) else x for x in m)
+    past = [match(f"h{i}", "AB"[i % 2], "BA"[i % 2], "A", DAY + timedelta(hours=i), shift=i % 3) for i in range(7)]
+    own = [tuple(r) for r in targets(spark, 5).collect()]
+    told = records(spark, [r[0] for r in own])
+    early = match("t01", "A", "B", "A", datetime(2025, 7, 1, 2))  # another end than the target's, before its cutoff: a contradiction for those after it
+    for history, left in ((past, 0), ([*past, *own], 0), ([*past, early], 4)):
+        found = []
+        for change in (lambda m: m, mixed):
+            asked = spark.createDataFrame([change(m) for m in own], SCHEMA).drop("history_cutoff_at")
+            pairs, out = D.paired_dataset(asked, told, spark.createDataFrame([change(m) for m in history], SCHEMA), ["p1"])
+            found.append(sorted(map(tuple, pairs.select("game_id", "y_blue_win", "history_cutoff_at", *D.PRE_COLUMNS, *D.POST_COLUMNS).collect())))
+            assert out.count() == {0: 0, 4: 3}[left] and D.table_issues(pairs).count() == 0
+            assert {"blue_roster", "slots", "blue_recent_form_game_ids", "target_ended_at"} <= set(pairs.columns)
+        assert found[0] == found[1] and len(found[0]) == 5 - {0: 0, 4: 3}[left]
+    twice = pairs.union(pairs.limit(1))
+    assert [r.problem for r in D.table_issues(twice).collect()] == ["repeated id"] * 2
