@@ -120,3 +120,36 @@ def test_context_codes_of_a_side(spark, feed):
     got = {(r.gameid, r.side): r.reason for r in I.resolve_teams(feed(rows + two)).collect()}
     assert got["G1", "Blue"] == "CONFLICTING_DATE_CONTEXT,CONFLICTING_LEAGUE_CONTEXT,MIXED_MISSING_SPLIT_CONTEXT,MIXED_MISSING_YEAR_CONTEXT"
     assert got["G2", "Blue"] == got["G2", "Red"] == "INVALID_DATE_CONTEXT,INVALID_PLAYOFFS_CONTEXT,INVALID_YEAR_CONTEXT"
+
+
+def test_resolved_teams_of_a_table(spark, tmp_path):
+    from datetime import datetime
+
+    import duckdb
+
+    from draftlake.plans.catalogue import QUERIES, SQL
+
+    keys = [26, 39, 52, 65, 91, 105, 130, 133, 164, 212, 259, *range(300, 340)]
+    rows = [(k, 7 + 40 * (k % 3) if k % 2 else k % 40, datetime(1995, 1, 1 + k % 3, 10)) for k in keys] + [(131, 26 + 40, datetime(1995, 1, 3)), (401, 23, datetime(1995, 1, 3))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT o_orderkey, o_custkey, o_orderdate::TIMESTAMP AS o_orderdate FROM '{tmp_path}/orders.parquet/*.parquet'")
+    out = QUERIES["i01_resolve_teams"](spark, str(tmp_path))
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted(con.sql(f"SELECT {', '.join(out.columns)} FROM ({SQL['i01_resolve_teams']})").fetchall(), key=str) and len(got) == 2 * len(rows)
+    assert {r[2] for r in got} == {"SOURCE_ID", "RECOVERED_UNIQUE", "UNRESOLVED"}
+    assert {"UNIQUE_FULL_CONTEXT", "NO_SOURCE_ID_CANDIDATE", "SOURCE_ID_PRESENT"} <= {r[3] for r in got}
+    assert {r[6] for r in got} == {"EXISTING", "NEW_TARGET_REQUIRED", "TARGET_CONFLICT", "NOT_APPLICABLE"}
+
+
+def test_candidates_are_the_own_ids_or_those_of_the_context(spark, feed):
+    over = lambda g, **new: [dict(r, **(new if r["side"] == "Blue" else {})) for r in match_rows(g, red=f"R{g}")]
+    two = over("G3")
+    two[1]["teamid"] = "other"
+    padded = over("G4", teamid="")
+    padded[0]["teamid"] = " TB"
+    rows = over("G1") + over("G2", teamid="") + two + padded
+    found = {r.gameid: (r.reason, r.candidates) for r in I.resolve_teams(feed(rows)).where("side = 'Blue'").collect()}
+    assert found == {"G1": ("SOURCE_ID_PRESENT", ["TB"]), "G2": ("UNIQUE_FULL_CONTEXT", ["TB"]), "G3": ("SOURCE_ID_CONFLICT", ["TB", "other"]), "G4": ("INVALID_SOURCE_ID", [])}
+    found = {r.gameid: (r.reason, r.candidates) for r in I.resolve_teams(feed(rows + over("G5", teamid="TC"))).where("side = 'Blue'").collect()}
+    assert found["G1"] == found["G5"] == ("SOURCE_ID_CONFLICT", ["TB", "TC"]) and found["G2"] == ("AMBIGUOUS_SOURCE_ID_CANDIDATES", ["TB", "TC"])
